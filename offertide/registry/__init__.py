@@ -3,6 +3,8 @@
 from offertide.registry.core import ORACLES, QUERIES
 from offertide.registry import (  # noqa: F401  (each module registers its queries)
     prepare,
+    quality,
+    describe,
 )
 
 __all__ = ["ORACLES", "QUERIES"]
