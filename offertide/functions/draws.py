@@ -16,9 +16,9 @@ _HEX_DIGITS = 13
 _SPAN = float(16**_HEX_DIGITS)
 
 
-def keyed_uniform(seed: int, *keys) -> Column:
-    """Uniform in (0, 1) from the first 52 bits of md5(seed|key|...)."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[_column(k).cast("string") for k in keys])
+def keyed_uniform(seed: int, purpose: str, *keys) -> Column:
+    """Uniform in (0, 1) from the first 52 bits of md5(seed|purpose|key|...)."""
+    text = F.concat_ws("|", F.lit(f"{seed}|{purpose}"), *[_column(k).cast("string") for k in keys])
     bits = F.conv(F.substring(F.md5(text), 1, _HEX_DIGITS), 16, 10).cast("double")
     return (bits + F.lit(0.5)) / F.lit(_SPAN)
 

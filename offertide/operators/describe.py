@@ -411,7 +411,7 @@ def ticket_by_conversion(processed: DataFrame, cfg: Settings, column: str = "con
     rows = processed.selectExpr(*GRAIN, "converted", f"CAST({column} AS DOUBLE) AS v").where("v IS NOT NULL")
     point = rows.groupBy("converted").agg(*_aggs(received="count(1)", mean="avg(v)"))
     draws = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn(
-        "weight", poisson_one(keyed_uniform(cfg.seed, "replicate", *GRAIN)))
+        "weight", poisson_one(keyed_uniform(cfg.seed, "poisson", "replicate", *GRAIN)))
     means = draws.groupBy("converted", "replicate").agg(
         F.expr("try_divide(sum(weight * v), sum(weight)) AS m"))
     band = means.groupBy("converted").agg(

@@ -5,6 +5,7 @@ from offertide.registry import (  # noqa: F401  (each module registers its queri
     prepare,
     quality,
     describe,
+    evaluate,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -248,7 +248,7 @@ SELECT p.converted, p.received, p.mean, b.mean_lo, b.mean_hi FROM
 LEFT JOIN (SELECT converted, quantile_cont(m, 0.025) AS mean_lo, quantile_cont(m, 0.975) AS mean_hi FROM (
   SELECT converted, replicate, sum(weight * conversion_value) / sum(weight) AS m FROM (
     SELECT converted, conversion_value, replicate, len(list_filter({_CDF}, lambda c: c <=
-      (('0x' || substr(md5('42|' || replicate || '|' || account_id || '|' || offer_id || '|' || received_time), 1, 13))::UBIGINT + 0.5) / 4503599627370496.0)) AS weight
+      (('0x' || substr(md5('42|poisson|' || replicate || '|' || account_id || '|' || offer_id || '|' || received_time), 1, 13))::UBIGINT + 0.5) / 4503599627370496.0)) AS weight
     FROM processed, range(1, {_REPLICATES + 1}) r(replicate)) GROUP BY 1, 2) GROUP BY 1) b USING (converted)""",
        "mean mean_lo mean_hi")
 def _(w):
