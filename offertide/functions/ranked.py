@@ -65,3 +65,18 @@ def numbered(df: DataFrame, order: Sequence[Column], group: Sequence[str] = (),
     ranked = Ranked(df, order, group, partitions)
     out = ranked.running(ranked.rows, sums={name: F.lit(1).cast("long")})
     return out.drop(_PART)
+
+
+SMALL_TOP = 10_000
+
+
+def top(df: DataFrame, order: Sequence[Column], n: int, name: str = "rank") -> DataFrame:
+    """The first `n` rows of a total order with their position.
+
+    A short list is merged from per-task heaps, without sorting the table; a long one
+    is cut from the full numbering, so that it never passes through one task.
+    """
+    if n <= SMALL_TOP:
+        head = df.orderBy(*order).limit(n)
+        return head.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return numbered(df, order, name=name).where(F.col(name) <= n)

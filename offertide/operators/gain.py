@@ -48,7 +48,7 @@ def _curves(rows: DataFrame, group: list[str], order: list) -> DataFrame:
         "*", f"{CONVERSIONS} AS raw_conversions", f"{CONVERSIONS} * {UNIT_PROFIT} AS raw_gain")
     top = ranked.running(raw, maxima={"gain": F.col("raw_gain"), "conversions": F.col("raw_conversions")})
     curve = top.selectExpr(*group, "n", "greatest(gain, 0D) AS gain", "greatest(conversions, 0D) AS conversions")
-    origin = rows.select(*group).distinct().selectExpr(*group, "0L AS n", "0D AS gain", "0D AS conversions")
+    origin = ranked.rows.select(*group).distinct().selectExpr(*group, "0L AS n", "0D AS gain", "0D AS conversions")
     return curve.unionByName(origin)
 
 

@@ -6,6 +6,8 @@ from offertide.registry import (  # noqa: F401  (each module registers its queri
     quality,
     describe,
     evaluate,
+    serve,
+    segment,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from offertide.functions.storage import written
-from offertide.operators import clean
+from offertide.operators import clean, quadrant, ranking, segments, serving
 from offertide.operators.attribution import with_validity
 from offertide.plans import processed as prep
 from offertide.sources import testbed
@@ -94,6 +94,37 @@ class Workspace:
         return written(with_formula_scores(clean.add_net_profit(holdout)), "scored")
 
 
+    @cached_property
+    def serving_frame(self) -> DataFrame:
+        at = serving.decision_time(self.log).first()[0]
+        frame = serving.build_scoring_frame(
+            self.log, self.offers, self.profile, at, self.cfg, hot=self.hot)
+        return written(frame, "serving")
+
+    @cached_property
+    def matrix(self) -> DataFrame:
+        """Serving rows with formula scores; other types keep null scores."""
+        frame = self.serving_frame
+        paid = quadrant.add_quadrant(
+            ranking.add_dynamic_score(with_formula_scores(clean.paid_types_only(frame)), 1.0), self.cfg)
+        keep = ["account_id", "offer_id", "offer_type"]
+        scores = ["uplift", "p_convert", "uncertainty", "score_dynamic", "quadrant"]
+        others = frame.where("offer_type NOT IN ('bogo', 'discount')").select(*keep)
+        return written(
+            paid.select(*keep, *scores).unionByName(others, allowMissingColumns=True), "matrix")
+
+    @cached_property
+    def scored_holdout(self) -> DataFrame:
+        """Holdout with formula scores, dynamic score, quadrant and random score."""
+        scored = ranking.add_dynamic_score(self.scored, 1.0)
+        return written(
+            serving.add_hash_score(quadrant.add_quadrant(scored, self.cfg), self.cfg.seed), "scored-holdout")
+
+    @property
+    def clients(self) -> DataFrame:
+        return segments.client_features(self.processed, self.log)
+
+
 # Simple stand-ins for model output, so that ranking and evaluation can be checked
 # exactly: rounded, with ties among customers without history.
 FORMULA_SCORES = {
