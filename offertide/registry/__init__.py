@@ -6,6 +6,7 @@ from offertide.registry import (  # noqa: F401  (each module registers its queri
     quality,
     describe,
     evaluate,
+    model,
     serve,
     segment,
 )

@@ -183,8 +183,8 @@ def _(w):
 
 @query("v12_segment_audience", _PROJECT, _PROJECT_DOUBLES, ", ".join([
     _MATRIX, _FILTERED, SPEND_SEGMENTS,
-    "in_segment AS (SELECT * FROM filtered WHERE account_id IN (SELECT account_id FROM segments WHERE segment = 'older'))",
+    "in_segment AS (SELECT * FROM filtered WHERE account_id IN (SELECT account_id FROM segments WHERE segment = 'newer'))",
     _allocation("in_segment"), _MEANS]))
 def _(w):
-    rows = serving.eligible(w.matrix, _TYPES, _ALLOWED, tenure_segments(w), ["older"])
+    rows = serving.eligible(w.matrix, _TYPES, _ALLOWED, tenure_segments(w), ["newer"])
     return serving.project(_audience(w, rows), w.offers, serving.conversion_means(w.scored_holdout))

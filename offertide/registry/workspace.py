@@ -11,6 +11,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from offertide.functions.storage import written
+from offertide.models.blended import BlendedModel
+from offertide.models.effect import EffectModel
+from offertide.models.learners import CellMeanLearner
 from offertide.operators import clean, quadrant, ranking, segments, serving
 from offertide.operators.attribution import with_validity
 from offertide.plans import processed as prep
@@ -120,11 +123,28 @@ class Workspace:
         return written(
             serving.add_hash_score(quadrant.add_quadrant(scored, self.cfg), self.cfg.seed), "scored-holdout")
 
+    @cached_property
+    def small_cfg(self):
+        """Few small trees: enough to exercise every stage."""
+        return self.cfg.but(effect_trees=4, effect_depth=3, conversion_trees=4, conversion_depth=3, tree_min_rows=5)
+
+    @cached_property
+    def cell_effect(self) -> EffectModel:
+        train, _ = self.split
+        return EffectModel(self.cfg, CellMeanLearner(CELL_CONDITIONS, self.cfg)).fit(train)
+
+    @cached_property
+    def blended(self) -> BlendedModel:
+        train, _ = self.split
+        return BlendedModel(self.small_cfg).fit(train)
+
     @property
     def clients(self) -> DataFrame:
         return segments.client_features(self.processed, self.log)
 
 
+CELL_CONDITIONS = ("hist_txn_count >= 4", "min_value >= 15", "hist_offers_viewed >= 1")
+
 # Simple stand-ins for model output, so that ranking and evaluation can be checked
 # exactly: rounded, with ties among customers without history.
 FORMULA_SCORES = {

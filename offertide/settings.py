@@ -52,6 +52,7 @@ class Settings:
     conversion_depth: int = 5
     conversion_step: float = 0.05
     logit_max_iter: int = 1000
+    tree_min_rows: int = 20
     effect_trees: int = 200
     effect_depth: int = 5
     effect_step: float = 0.05
