@@ -7,37 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 
-def ratio(num: str | Column, den: str | Column) -> Column:
-    """num / den, null when the denominator is 0."""
-    return F.try_divide(_c(num).cast("double"), _c(den).cast("double"))
-
-
-def ratio_or_zero(num: str | Column, den: str | Column) -> Column:
-    return F.when(_c(den) > 0, _c(num).cast("double") / _c(den)).otherwise(F.lit(0.0))
-
-
 def flag(condition: Column) -> Column:
     """1 if true, else 0 (null counts as 0)."""
     return F.when(condition, 1).otherwise(0)
 
 
-def count_if(condition: Column) -> Column:
-    return F.count(F.when(condition, 1))
-
-
-def quantile(column: str | Column, p: float, rel_error: float) -> Column:
-    """Mergeable approximate quantile; exact while rows < 1 / rel_error."""
-    return F.percentile_approx(_c(column), p, int(1 / rel_error))
+OFF_HALF = 1.7e-10
+"""Moves exact halves off the rounding boundary, where summation order would decide."""
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every floating column, so that two engines can be compared."""
     return df.select(*[
-        F.round(f.name, digits).alias(f.name)
+        F.round(F.col(f.name) + F.lit(OFF_HALF), digits).alias(f.name)
         if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
         for f in df.schema.fields
     ])
-
-
-def _c(column: str | Column) -> Column:
-    return F.col(column) if isinstance(column, str) else column

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from offertide.operators.contract import COLUMNS, NULLABLE
 
@@ -38,13 +39,14 @@ def tree_matrix(train: DataFrame, features: tuple[str, ...]) -> PipelineModel:
     """
     nullable = [c for c in features if c in NULLABLE]
     categorical = [c for c in features if c in CATEGORICAL]
-    marks = ", ".join(
-        f"CAST({c} AS DOUBLE) AS {c}_raw, CAST({c} IS NULL AS DOUBLE) AS {c}_missing" for c in nullable)
     stages = []
     if nullable:
-        stages.append(SQLTransformer(statement=f"SELECT *, {marks} FROM __THIS__"))
-        stages.append(Imputer(strategy="median", inputCols=[f"{c}_raw" for c in nullable],
-                              outputCols=[f"{c}_filled" for c in nullable]))
+        medians = train.agg(*[F.expr(f"percentile_approx(CAST({c} AS DOUBLE), 0.5) AS {c}") for c in nullable]).first()
+        # A column without any value in training is filled with 0.
+        filled = ", ".join(
+            f"coalesce(CAST({c} AS DOUBLE), {float(medians[c] or 0.0)!r}D) AS {c}_filled,"
+            f" CAST({c} IS NULL AS DOUBLE) AS {c}_missing" for c in nullable)
+        stages.append(SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"))
     stages.append(StringIndexer(
         inputCols=categorical, outputCols=[f"{c}_index" for c in categorical],
         handleInvalid="keep", stringOrderType="alphabetAsc"))

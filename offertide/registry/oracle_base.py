@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from offertide.functions.numbers import OFF_HALF
 from offertide.registry.workspace import FORMULA_SCORES
 
 _SCORES = ", ".join(f"{sql} AS {name}" for name, sql in FORMULA_SCORES.items())
@@ -186,11 +187,15 @@ scored AS MATERIALIZED (SELECT *, """ + _SCORES + """ FROM holdout)
 """
 
 
+def half_safe_round(sql: str) -> str:
+    return f"round({sql} + {OFF_HALF!r}, 6) + 0.0"
+
+
 def oracle(body: str, doubles: str = "", extra: str = "") -> str:
     """`body` over the shared CTEs, with the named double columns rounded to 6 digits."""
     text = body
     if doubles:
-        parts = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in doubles.split())
+        parts = ", ".join(f"{half_safe_round(c)} AS {c}" for c in doubles.split())
         text = f"SELECT * REPLACE ({parts}) FROM ({body}) AS answer"
     more = f", {extra}" if extra else ""
     return BASE + more + "\n" + text

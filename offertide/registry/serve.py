@@ -139,7 +139,7 @@ def _audience(w, rows=None):
     return serving.allocate(rows, _BUDGET, w.cfg.seed)
 
 
-@query("v8_allocate", "SELECT strategy, rank, account_id, offer_id, offer_type, round(score, 6) + 0.0 AS score FROM audience", "",
+@query("v8_allocate", "SELECT strategy, rank, account_id, offer_id, offer_type, score FROM audience", "score",
        _MATRIX + ", " + _FILTERED + ", " + _allocation("filtered"))
 def _(w):
     return _audience(w).select("strategy", "rank", "account_id", "offer_id", "offer_type", "score")

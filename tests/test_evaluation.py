@@ -37,9 +37,8 @@ def test_envelope_never_falls(make_holdout):
 
 def test_control_scales_to_the_treated(make_holdout):
     _, conversions = _curve(make_holdout((0, 1, 10, 0, 3), (1, 1, 10, 0, 2), (1, 1, 10, 0, 1)))
-    assert conversions[-1] == 0.0 or conversions[-1] >= 0.0
-    raw_end = 2 - 1 * 2 / 1
-    assert raw_end == 0 and conversions == [0, 0, 0, 0]
+    # Two converted treated rows against one converted control scaled by 2 / 1.
+    assert conversions == [0, 0, 0, 0]
 
 
 def _brute_curve(rows):
@@ -132,8 +131,7 @@ def test_qini_by_hand(make_holdout):
     points = {r["n_targeted"]: r["gain"] for r in uplift_metrics.qini_curves(df, {"a": "s"}).collect()}
     assert points == {0: 0.0, 1: 1.0, 2: 0.0, 4: 1.0}
     model = 0.5 + 0.5 + 2 * 0.5
-    perfect = 0.5 * 2 * 2 + 2 + (2 + 1) / 2  # (0,0) (2,2) (3,2) (4,1)
-    perfect = 2.0 + (2 + 2) / 2 * 1 + (2 + 1) / 2 * 1
+    perfect = 2 * 2 / 2 + (2 + 2) / 2 + (2 + 1) / 2  # (0, 0), (2, 2), (3, 2), (4, 1)
     base = 4 * 1 / 2
     got = uplift_metrics.qini_auuc(df, {"a": "s"}).first()["qini"]
     assert got == pytest.approx((model - base) / (perfect - base))
