@@ -66,3 +66,16 @@ def check_schema(df: DataFrame, strict: bool = False) -> DataFrame:
     if strict and found:
         raise ValueError(f"schema differs from the contract: {found}")
     return df.sparkSession.createDataFrame(found, "position int, expected string, found string")
+
+
+def column_report(df: DataFrame) -> DataFrame:
+    """Per contract column: expected and found type, filled rows, whether it differs; one pass."""
+    found = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    wrong = {d["position"] for d in schema_differences(df)}
+    rows = ", ".join(
+        f"struct({i} AS position, '{f.name}' AS column, '{f.dataType.simpleString()}' AS expected,"
+        f" '{found.get(f.name, 'missing')}' AS found, {f.name} AS filled, {str(i in wrong).lower()} AS differs)"
+        for i, f in enumerate(PROCESSED_SCHEMA.fields))
+    counts = [F.expr(f"count({f.name}) AS {f.name}" if f.name in found else f"0L AS {f.name}")
+              for f in PROCESSED_SCHEMA.fields]
+    return df.agg(*counts).selectExpr(f"inline(array({rows}))")

@@ -64,10 +64,9 @@ def history(grain: DataFrame, events: DataFrame, offers: DataFrame,
     `grain` itself.
     """
     halves = "array(false, true)" if PURCHASES in blocks else "array(false)"
-    looks = (
-        grain.select("account_id", "received_time").distinct()
-        .selectExpr("*", f"explode({halves}) AS half")
-    )
+    # Offers sent together share a moment; the aggregation below removes the copies, so
+    # they need no shuffle of their own here.
+    looks = grain.selectExpr("account_id", "received_time", f"explode({halves}) AS half")
     rows = [_row(looks, "IF(half, received_time / 2, received_time)", _LOOKS,
                  moment="received_time", half="half")]
     if PURCHASES in blocks:
@@ -85,9 +84,11 @@ def history(grain: DataFrame, events: DataFrame, offers: DataFrame,
 
     runs = [r for b in blocks for r in _RUNS[b]]
     swept = scan(reduce(DataFrame.unionByName, rows), ["account_id"], "at ASC, kind ASC", runs, hot)
-    picked = [f"max(IF(half, NULL, {r.name})) AS {r.name}" for r in runs]
+    # Plain columns, not structs, keep this a hash aggregation.
+    picked = [f"max(IF(half, NULL, {r.name})) AS {r.name}" for r in runs if r.kind != "moments"]
     if PURCHASES in blocks:
-        picked.append("max(IF(half, spend, NULL)) AS early")
+        picked += [f"max(IF(half, NULL, spend.{m})) AS spend_{m}" for m in ("n", "s", "m2")]
+        picked += [f"max(IF(half, spend.{m}, NULL)) AS early_{m}" for m in ("n", "s")]
     at_moment = (
         swept.where(f"kind = {_LOOKS}")
         .groupBy("account_id", F.col("moment").alias("received_time"))
@@ -182,14 +183,14 @@ _RUNS = {
 
 _FINISH = {
     PURCHASES: [
-        "spend.s AS hist_spend_total",
-        "CAST(spend.n AS INT) AS hist_txn_count",
-        "IF(spend.n > 0, spend.s / spend.n, 0D) AS hist_avg_ticket",
-        "IF(spend.n > 1, sqrt(spend.m2 / (spend.n - 1)), 0D) AS hist_spend_std",
+        "spend_s AS hist_spend_total",
+        "CAST(spend_n AS INT) AS hist_txn_count",
+        "IF(spend_n > 0, spend_s / spend_n, 0D) AS hist_avg_ticket",
+        "IF(spend_n > 1, sqrt(spend_m2 / (spend_n - 1)), 0D) AS hist_spend_std",
         "received_time - last_spend AS hist_recency_days",
-        "IF(received_time > 0, spend.n / received_time, 0D) AS hist_frequency",
-        "IF(spend.n > early.n, (spend.s - early.s) / (spend.n - early.n), 0D)"
-        " - IF(early.n > 0, early.s / early.n, 0D) AS hist_spend_trend",
+        "IF(received_time > 0, spend_n / received_time, 0D) AS hist_frequency",
+        "IF(spend_n > early_n, (spend_s - early_s) / (spend_n - early_n), 0D)"
+        " - IF(early_n > 0, early_s / early_n, 0D) AS hist_spend_trend",
     ],
     RESPONSES: [
         "CAST(coalesce(n_sent, 0) AS INT) AS hist_offers_received",

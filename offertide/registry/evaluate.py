@@ -38,17 +38,17 @@ def _only_rank(df):
 
 @query("r1_uplift_ranking", ranking_sql("uplift"), "received_time")
 def _(w):
-    return _only_rank(ranking.uplift_ranking(w.scored))
+    return _only_rank(ranking.uplift_ranking(w.scored.select(*GRAIN, "uplift")))
 
 
 @query("r2_conversion_ranking", ranking_sql("p_convert"), "received_time")
 def _(w):
-    return _only_rank(ranking.conversion_ranking(w.scored))
+    return _only_rank(ranking.conversion_ranking(w.scored.select(*GRAIN, "p_convert")))
 
 
 @query("r3_hybrid_ranking", ranking_sql("uplift + 0.3 * p_convert"), "received_time")
 def _(w):
-    return _only_rank(ranking.hybrid_ranking(w.scored, 0.3))
+    return _only_rank(ranking.hybrid_ranking(w.scored.select(*GRAIN, "uplift", "p_convert"), 0.3))
 
 
 @query("r4_min_max", f"""SELECT {_G}, (uplift - min(uplift) OVER ()) / (max(uplift) OVER () - min(uplift) OVER () + 1e-9) AS uplift_scaled,
@@ -66,7 +66,7 @@ def _(w):
 @query("r5_dynamic_ranking", ranking_sql(f"round({dynamic(1.0)}, 9)"), "received_time")
 def _(w):
     scored = ranking.add_dynamic_score(w.scored, 1.0, "score")
-    return _only_rank(ranking.rank_by(scored.withColumn("score", F.round("score", 9)), "score"))
+    return _only_rank(ranking.rank_by(scored.select(*GRAIN, F.round("score", 9).alias("score")), "score"))
 
 
 @query("r6_blend_score", f"""SELECT 'fixed' AS mode, {_G}, uplift + 0.3 * p_convert AS score FROM scored
@@ -127,19 +127,19 @@ def _(w):
 
 @query("r10_random_ranking", ranking_sql(unit(42, "'random'", "account_id", "offer_id", "received_time")), "received_time")
 def _(w):
-    return _only_rank(ranking.random_ranking(w.scored, w.cfg.seed))
+    return _only_rank(ranking.random_ranking(w.scored.select(*GRAIN), w.cfg.seed))
 
 
 @query("r11_softmax_ranking", ranking_sql(
     "(uplift - min(uplift) OVER ()) / (max(uplift) OVER () - min(uplift) OVER () + 1e-9) / 0.1 - ln(-ln("
     + unit(42, "'softmax'", "account_id", "offer_id", "received_time") + "))"), "received_time")
 def _(w):
-    return _only_rank(ranking.softmax_ranking(w.scored, 0.1, w.cfg.seed, "uplift"))
+    return _only_rank(ranking.softmax_ranking(w.scored.select(*GRAIN, "uplift"), 0.1, w.cfg.seed, "uplift"))
 
 
 @query("r11_softmax_cold", ranking_sql("uplift"), "received_time")
 def _(w):
-    return _only_rank(ranking.softmax_ranking(w.scored, 0.0, w.cfg.seed, "uplift"))
+    return _only_rank(ranking.softmax_ranking(w.scored.select(*GRAIN, "uplift"), 0.0, w.cfg.seed, "uplift"))
 
 
 @query("r12_gain_curve", "SELECT n, gain, conversions FROM curves WHERE g = 'uplift'", "gain conversions", _CURVES)
@@ -243,7 +243,7 @@ SELECT a.account_id, a.offer_id, a.received_time, a.offer_type, b.treatment FROM
 JOIN (SELECT offer_type, treatment, row_number() OVER (PARTITION BY offer_type ORDER BY {unit(42, "'placebo'", "'0'", "account_id", "offer_id", "received_time")}, {_G}) AS k FROM scored) b
   USING (offer_type, k)""", "received_time")
 def _(w):
-    return uplift_metrics.shuffle_treatment(w.scored, w.cfg.seed).select(*GRAIN, "offer_type", "treatment")
+    return uplift_metrics.shuffle_treatment(w.scored.select(*GRAIN, "offer_type", "treatment"), w.cfg.seed).select(*GRAIN, "offer_type", "treatment")
 
 
 @query("r22_placebo_verdict", """
@@ -271,10 +271,16 @@ def _(w):
     return quadrant.quadrant_distribution(quadrant.add_quadrant(w.scored, w.cfg))
 
 
+def _marked(w):
+    """Only what the rankings and the quadrant tables need goes through the stored layout."""
+    return quadrant.add_quadrant(w.scored, w.cfg).select(
+        *GRAIN, "treatment", "converted", "net_profit", "uplift", "p_convert", "quadrant")
+
+
 @query("q3_composition_at_budget", """SELECT quadrant, count(*) AS n, count(*) / (SELECT count(*) FROM top_rows) AS share, avg(uplift) AS mean_tau
 FROM top_rows GROUP BY 1""", "share mean_tau", _TOP)
 def _(w):
-    ranked = ranking.conversion_ranking(quadrant.add_quadrant(w.scored, w.cfg))
+    ranked = ranking.conversion_ranking(_marked(w))
     return quadrant.composition_at_budget(ranked, 150)
 
 
@@ -283,7 +289,7 @@ SELECT quadrant, n, CASE WHEN nc > 0 THEN (ct - cc * nt / nc) * (CASE WHEN ct >
   SELECT quadrant, count(*) AS n, sum(treatment) AS nt, sum(1 - treatment) AS nc, sum(treatment * converted) AS ct, sum((1 - treatment) * converted) AS cc,
     sum(treatment * converted * net_profit) AS pt, avg(uplift) AS mean_tau FROM top_rows GROUP BY 1)""", "gain mean_tau", _TOP)
 def _(w):
-    ranked = ranking.conversion_ranking(quadrant.add_quadrant(w.scored, w.cfg))
+    ranked = ranking.conversion_ranking(_marked(w))
     return quadrant.gain_by_quadrant(ranked, 150)
 
 
@@ -292,5 +298,5 @@ SELECT count(*) AS persuadables, count(*) FILTER (c.rank IS NULL) AS missed, cou
   (SELECT *, row_number() OVER (ORDER BY uplift DESC, {_G}) AS place FROM quadrants) r
 LEFT JOIN top_rows c USING (account_id, offer_id, received_time) WHERE r.place <= 150 AND r.quadrant = 'persuadable'""", "missed_share", _TOP)
 def _(w):
-    marked = quadrant.add_quadrant(w.scored, w.cfg)
+    marked = _marked(w)
     return quadrant.left_on_table(ranking.uplift_ranking(marked), ranking.conversion_ranking(marked), 150)

@@ -60,7 +60,14 @@ def _(w):
     return wide.select(*GRAIN, *[F.col("x")[place[s]].alias(s) for s in wanted])
 
 
-@query("m2_linear_matrix")
+_PLAIN = [c for c in FEATURES if c not in ("gender", "offer_type")]
+_LINEAR = [f"coalesce({c}, 0)::DOUBLE" for c in _PLAIN] + [
+    f"(gender = '{g}')::INT::DOUBLE" for g in ("M", "O", "unknown")] + ["(offer_type = 'discount')::INT::DOUBLE"]
+
+
+@query("m2_linear_matrix", f"""SELECT {_G}, unnest(range(0, {len(_LINEAR)}))::INT AS position, unnest([""" + ", ".join(
+    f"CASE WHEN stddev_samp({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () ELSE 0.0 END" for c in _LINEAR)
+    + """]) AS value FROM train""", "received_time value")
 def _(w):
     train, _ = w.split
     return linear_matrix(train).transform(train).select(*GRAIN, vector_to_array("linear").alias("linear")).select(
@@ -142,15 +149,14 @@ def _folder(w, name: str) -> str:
     return f"{shared_folder(w.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("m14_save_and_load")
+@query("m14_save_and_load", f"SELECT {_G}, 0.0::DOUBLE AS difference FROM holdout", "received_time difference")
 def _(w):
-    # Rows whose score changes by saving and loading; the difference must be 0 everywhere.
     path, holdout = _folder(w, "model"), w.split[1]
     w.blended.save(path, w.spark)
     again = blended.BlendedModel.load(w.spark, w.small_cfg, path)
     before = w.blended.score(holdout).select(*GRAIN, F.col("score").alias("before"))
     after = again.score(holdout).select(*GRAIN, F.col("score").alias("after"))
-    return before.join(after, list(GRAIN)).withColumn("difference", F.col("before") - F.col("after"))
+    return before.join(after, list(GRAIN)).select(*GRAIN, (F.col("before") - F.col("after")).alias("difference"))
 
 
 @query("r6_blended_model")
@@ -213,7 +219,12 @@ def _(w):
     return w.spark.read.csv(out, header=True, schema="rank bigint, account_id string, offer_id string, offer_type string, score double")
 
 
-@query("j4_publish")
+@query("j4_publish", """
+SELECT (SELECT max(time) FROM log) AS decision_time, coalesce(avg(net_profit) FILTER (treatment = 1 AND converted = 1), 0.0) AS mean_profit,
+  coalesce(avg(conversion_value) FILTER (treatment = 1 AND converted = 1), 0.0) AS mean_revenue, (SELECT count(*) FROM profile) AS n_clients,
+  (SELECT count(*) FROM profile) * (SELECT count(*) FROM offers) AS n_rows, count(*) AS n_holdout_rows, 42 AS seed, 1000 AS default_budget,
+  0.0::DOUBLE AS temperature_default, 1.0::DOUBLE AS temperature_max FROM holdout""",
+       "decision_time mean_profit mean_revenue temperature_default temperature_max")
 def _(w):
     model, processed = _folder(w, "model"), _folder(w, "processed")
     w.blended.save(model, w.spark)

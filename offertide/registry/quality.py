@@ -30,17 +30,14 @@ def _(w):
     return quality.duplicate_grain(w.processed)
 
 
-@query("d2_schema")
-def _(w):
-    # One row per contract column, with the type found in the processed table.
-    found = {f.name: f.dataType.simpleString() for f in w.processed.schema.fields}
-    wrong = {d["position"] for d in contract.schema_differences(w.processed)}
-    per_type = w.processed.selectExpr("stack({n}, {items}) AS (column, filled)".format(
-        n=len(contract.COLUMNS), items=", ".join(f"'{c}', {c} IS NOT NULL" for c in contract.COLUMNS)))
-    kinds = ", ".join(f"'{c}', '{found[c]}', {str(i in wrong).lower()}" for i, c in enumerate(contract.COLUMNS))
-    named_types = w.spark.range(1).selectExpr(f"stack({len(contract.COLUMNS)}, {kinds}) AS (column, type, differs)")
-    return per_type.groupBy("column").agg({"filled": "count"}).withColumnRenamed("count(filled)", "rows").join(
-        named_types, "column")
+_TYPES = {"string": "string", "integer": "int", "double": "double"}
+
+
+@query("d2_schema", " UNION ALL ".join(
+    f"""SELECT {i} AS position, '{f.name}' AS "column", '{_TYPES[f.dataType.typeName()]}' AS expected, '{_TYPES[f.dataType.typeName()]}' AS found,
+  count({f.name}) AS filled, false AS differs FROM processed""" for i, f in enumerate(contract.PROCESSED_SCHEMA.fields)))
+def _(w):
+    return contract.column_report(w.processed)
 
 
 _NULLS = " UNION ALL ".join(
