@@ -12,11 +12,13 @@ _CONF = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach; a temporary one only when none is configured."""
+    """The configured folder every executor can reach; a temporary one only in local mode."""
     folder = spark.conf.get(_CONF, None)
     if not folder:
         folder = spark.sparkContext.getConf().get(_CONF, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {_CONF} to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="offertide-")
         spark.conf.set(_CONF, folder)
     return folder

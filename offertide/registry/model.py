@@ -14,6 +14,7 @@ from offertide.models.matrix import FEATURES, linear_matrix, slots, tree_matrix
 from offertide.operators import contract, serving
 from offertide.plans import jobs
 from offertide.registry.core import query
+from offertide.registry.evaluate import unit
 from offertide.registry.serve import _CONTRACT_DOUBLES
 from offertide.registry.workspace import CELL_CONDITIONS
 from offertide.settings import GRAIN
@@ -164,7 +165,39 @@ def _(w):
     return w.blended.rank(w.split[1]).select(*GRAIN, "uplift", "p_convert", "uncertainty", "score", "rank")
 
 
-@query("r21_placebo_scores")
+def _placebo_stage(name: str, rows: str, target: str) -> str:
+    return (f"{name} AS MATERIALIZED (SELECT rep, offer_type, cell, avg({target}) AS m FROM {rows} GROUP BY 1, 2, 3), "
+            f"{name}_all AS MATERIALIZED (SELECT rep, offer_type, avg({target}) AS a FROM {rows} GROUP BY 1, 2)")
+
+
+def _placebo_value(name: str) -> str:
+    return f"""coalesce((SELECT m FROM {name} z WHERE z.rep = x.rep AND z.offer_type = x.offer_type AND z.cell = x.cell),
+  (SELECT a FROM {name}_all z WHERE z.rep = x.rep AND z.offer_type = x.offer_type))"""
+
+
+_PLACEBO = f"""p_rows AS MATERIALIZED (SELECT a.rep, a.offer_type, a.cell, a.converted, b.treatment FROM
+  (SELECT rep, offer_type, {_CELL} AS cell, converted, row_number() OVER (PARTITION BY rep, offer_type ORDER BY {_G}) AS k FROM train, range(0, 3) r(rep)) a
+  JOIN (SELECT rep, offer_type, treatment, row_number() OVER (PARTITION BY rep, offer_type ORDER BY
+    {unit(42, "'placebo'", "rep", "account_id", "offer_id", "received_time")}, {_G}) AS k FROM train, range(0, 3) r(rep)) b USING (rep, offer_type, k)),
+p_control AS (SELECT * FROM p_rows WHERE treatment = 0), p_treated AS (SELECT * FROM p_rows WHERE treatment = 1),
+{_placebo_stage('p_mu0', 'p_control', 'converted')}, {_placebo_stage('p_mu1', 'p_treated', 'converted')},
+p_gained AS (SELECT rep, offer_type, cell, converted - {_placebo_value('p_mu0')} AS d FROM p_treated x),
+p_missed AS (SELECT rep, offer_type, cell, {_placebo_value('p_mu1')} - converted AS d FROM p_control x),
+{_placebo_stage('p_tt', 'p_gained', 'd')}, {_placebo_stage('p_tc', 'p_missed', 'd')},
+shares AS (SELECT offer_type, avg(treatment) AS p FROM holdout GROUP BY 1),
+p_scored AS MATERIALIZED (SELECT rep, treatment, converted, round(p * {_placebo_value('p_tc')} + (1 - p) * {_placebo_value('p_tt')}, 12) AS s
+  FROM (SELECT rep, offer_type, {_CELL} AS cell, treatment, converted FROM holdout, range(0, 3) r(rep)) x JOIN shares USING (offer_type)),
+p_tied AS (SELECT rep::VARCHAR AS g, s, count(*) AS n, sum(treatment) AS nt, sum(treatment * converted) AS yt, sum((1 - treatment) * converted) AS yc FROM p_scored GROUP BY 1, 2
+  UNION ALL SELECT 'best', converted * treatment - converted * (1 - treatment), count(*), sum(treatment), sum(treatment * converted), sum((1 - treatment) * converted) FROM holdout GROUP BY 1, 2),
+p_sums AS (SELECT g, sum(n) OVER o AS n, sum(nt) OVER o AS nt, sum(yt) OVER o AS yt, sum(yc) OVER o AS yc FROM p_tied
+  WINDOW o AS (PARTITION BY g ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
+p_points AS (SELECT g, n, yt - CASE WHEN n > nt THEN yc * (nt / (n - nt)) ELSE 0 END AS q FROM p_sums UNION ALL SELECT DISTINCT g, 0, 0.0 FROM p_tied),
+p_areas AS (SELECT g, sum((n - pn) * (q + pq) / 2) - max(n) * arg_max(q, n) / 2 AS area FROM (
+  SELECT *, lag(n) OVER o AS pn, lag(q) OVER o AS pq FROM p_points WINDOW o AS (PARTITION BY g ORDER BY n)) GROUP BY 1)"""
+
+
+@query("r21_placebo_scores", """SELECT g::INT AS replicate, area / (SELECT area FROM p_areas WHERE g = 'best') AS qini
+FROM p_areas WHERE g <> 'best'""", "qini", _PLACEBO)
 def _(w):
     train, holdout = w.split
     return blended.placebo_scores(train, holdout, w.cfg, CellMeanLearner(CELL_CONDITIONS, w.cfg), 3)
