@@ -215,7 +215,7 @@ def conversion_by_tenure(processed: DataFrame, profile: DataFrame, cfg: Settings
     """Conversion per type and tenure quartile of the customer base."""
     accuracy = int(1 / cfg.quantile_rel_error)
     cuts = profile.agg(F.expr(f"percentile_approx(tenure_days, array(0.25, 0.5, 0.75), {accuracy}) AS cuts"))
-    band = ("CASE WHEN tenure_days <= cuts[0] THEN 'Q1' WHEN tenure_days <= cuts[1] THEN 'Q2'"
+    band = ("CASE WHEN tenure_days IS NULL THEN NULL WHEN tenure_days <= cuts[0] THEN 'Q1' WHEN tenure_days <= cuts[1] THEN 'Q2'"
             " WHEN tenure_days <= cuts[2] THEN 'Q3' ELSE 'Q4' END AS tenure_band")
     return (
         processed.select("offer_type", "tenure_days", "treatment", "converted").crossJoin(cuts)

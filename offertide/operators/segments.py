@@ -72,12 +72,32 @@ def design_matrix(clients: DataFrame, cfg: Settings) -> Design:
     return Design(scaled, columns, means, stds)
 
 
-def best_kmeans(vectors: DataFrame, k: int, cfg: Settings) -> KMeansModel:
+@dataclass(frozen=True)
+class Clusters:
+    """A fitted K-Means whose clusters are numbered by their centres, not by chance."""
+
+    model: KMeansModel
+
+    @property
+    def order(self) -> list[int]:
+        centers = [[round(float(x), 6) for x in c] for c in self.model.clusterCenters()]
+        return sorted(range(len(centers)), key=lambda i: centers[i])
+
+    def centers(self) -> list[list[float]]:
+        found = self.model.clusterCenters()
+        return [[float(x) for x in found[i]] for i in self.order]
+
+    def label(self, vectors: DataFrame) -> DataFrame:
+        numbers = ", ".join(f"{old}, {new}" for new, old in enumerate(self.order))
+        return self.model.transform(vectors).withColumn("cluster", F.expr(f"map({numbers})[cluster]"))
+
+
+def best_kmeans(vectors: DataFrame, k: int, cfg: Settings) -> Clusters:
     """Lowest training cost over several seeds."""
     fits = [
         KMeans(k=k, seed=cfg.seed + i, featuresCol="features", predictionCol="cluster").fit(vectors)
         for i in range(cfg.cluster_restarts)]
-    return min(fits, key=lambda m: m.summary.trainingCost)
+    return Clusters(min(fits, key=lambda m: m.summary.trainingCost))
 
 
 def scan_k(design: Design, cfg: Settings) -> DataFrame:
@@ -86,10 +106,10 @@ def scan_k(design: Design, cfg: Settings) -> DataFrame:
     silhouette = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
     rows = []
     for k in range(cfg.cluster_k_min, cfg.cluster_k_max + 1):
-        model = best_kmeans(vectors, k, cfg)
-        labelled = model.transform(vectors)
+        fitted = best_kmeans(vectors, k, cfg)
+        labelled = fitted.label(vectors)
         between, separation = _internal_indices(labelled, design.columns)
-        rows.append((k, float(model.summary.trainingCost), float(silhouette.evaluate(labelled)), separation, between))
+        rows.append((k, float(fitted.model.summary.trainingCost), float(silhouette.evaluate(labelled)), separation, between))
     vectors.unpersist()
     return design.frame.sparkSession.createDataFrame(
         rows, "k int, inertia double, silhouette double, davies_bouldin double, calinski_harabasz double")
@@ -120,21 +140,20 @@ def choose_k(scan: DataFrame) -> DataFrame:
     return scan.agg(F.expr("-max(struct(silhouette, -k AS neg)).neg AS k"))
 
 
-def fit_clusters(design: Design, k: int, cfg: Settings) -> tuple[DataFrame, KMeansModel]:
-    """Cluster label per customer, and the fitted model."""
+def fit_clusters(design: Design, k: int, cfg: Settings) -> tuple[DataFrame, Clusters]:
+    """Cluster label per customer, and the fitted clusters."""
     vectors = design.vectors().cache()
-    model = best_kmeans(vectors, k, cfg)
-    labels = model.transform(design.vectors()).select("account_id", "cluster")
+    fitted = best_kmeans(vectors, k, cfg)
     vectors.unpersist()
-    return labels, model
+    return fitted.label(design.vectors()).select("account_id", "cluster"), fitted
 
 
-def centroids(model: KMeansModel, design: Design) -> DataFrame:
+def centroids(fitted: Clusters, design: Design) -> DataFrame:
     """Cluster centres in original units: z-score undone, then the logarithm."""
     rows = []
-    for i, center in enumerate(model.clusterCenters()):
+    for i, center in enumerate(fitted.centers()):
         for c, z in zip(design.columns, center):
-            value = float(z) * design.stds[c] + design.means[c]
+            value = z * design.stds[c] + design.means[c]
             rows.append((i, c, math.expm1(value) if c in LOG_FEATURES else value))
     return design.frame.sparkSession.createDataFrame(rows, "cluster int, feature string, value double")
 
