@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from offertide.functions.storage import durable
 from offertide.models.conversion import ConversionModel
 from offertide.models.effect import EffectModel
 from offertide.models.learners import Learner
@@ -32,11 +33,15 @@ class BlendedModel:
 
     def score(self, df: DataFrame) -> DataFrame:
         """`df` plus the components and `score`."""
-        return ranking.blend_score(self.components(df), self.cfg)
+        found = self.components(df)
+        if self.cfg.blend_mode == "dynamic":
+            # The scaling reads the frame twice; the models should run once.
+            found = durable(found)
+        return ranking.blend_score(found, self.cfg)
 
     def rank(self, df: DataFrame) -> DataFrame:
         """Softmax order of the score at the configured temperature."""
-        return ranking.softmax_ranking(self.score(df), self.cfg.blend_temperature, self.cfg.seed)
+        return ranking.softmax_ranking(durable(self.score(df)), self.cfg.blend_temperature, self.cfg.seed)
 
     def effective_lambda(self, df: DataFrame) -> float:
         return float(ranking.effective_lambda(self.components(df), self.cfg).first()[0])
@@ -76,7 +81,7 @@ class BlendedModel:
 
 def attach_scores(frame: DataFrame, model: BlendedModel, cfg: Settings) -> DataFrame:
     """Model columns and quadrant on rows of paid types; other types keep nulls."""
-    paid = model.components(clean.paid_types_only(frame))
+    paid = durable(model.components(clean.paid_types_only(frame)))
     scored = quadrant.add_quadrant(ranking.add_dynamic_score(paid, cfg.simulator_score_gamma), cfg)
     others = frame.where(~F.col("offer_type").isin(*PAID_TYPES))
     return scored.unionByName(others, allowMissingColumns=True)

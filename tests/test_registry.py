@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from offertide.registry.workspace import workspace
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("part", "customer", "events")
@@ -32,9 +33,26 @@ def _plain(value):
     return repr(round(value, 6) + 0.0) if isinstance(value, float) else str(value)
 
 
+HOT_SAMPLE = ("t2_priority_order", "t4_candidate_transactions", "e7_unseen_completions", "e8_spontaneous_share", "e31_window_spend",
+              "v3_scoring_frame_active", "f9_processed_table")
+
+
 @pytest.mark.parametrize("name", SAMPLE)
 def test_query_equals_its_oracle(spark, duck, name):
-    df = entry.queries()[name](spark, FOLDER)
+    _compare(spark, duck, name, FOLDER)
+
+
+@pytest.mark.parametrize("name", HOT_SAMPLE)
+def test_cutting_hot_accounts_changes_nothing(spark, duck, name):
+    folder = f"{FOLDER}/."
+    ws = workspace(spark, folder)
+    ws.cfg = ws.cfg.but(rows_per_task=20)
+    assert ws.hot is not None
+    _compare(spark, duck, name, folder)
+
+
+def _compare(spark, duck, name, folder):
+    df = entry.queries()[name](spark, folder)
     rel = duck.sql(entry.oracle_sql()[name])
     assert sorted(df.columns) == sorted(rel.columns)
     cols = sorted(df.columns)
