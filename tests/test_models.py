@@ -158,7 +158,8 @@ def test_jobs_end_to_end(spark, make_events, tmp_path):
 
     processed = jobs.prepare(spark, raw, str(tmp_path / "processed"), CFG)
     assert processed.count() == 480
-    jobs.train(spark, str(tmp_path / "processed"), str(tmp_path / "model"), CFG)
+    quick = CFG.but(effect_trees=2, conversion_trees=2, effect_depth=2, conversion_depth=2)
+    jobs.train(spark, str(tmp_path / "processed"), str(tmp_path / "model"), quick)
     chosen = jobs.recommend(spark, raw, str(tmp_path / "model"), CFG, 20, out=str(tmp_path / "out"))
     assert chosen.count() == 20 and chosen.select("account_id").distinct().count() == 20
     assert chosen.join(offers.where("offer_type = 'informational'"), chosen["offer_id"] == offers["id"]).count() == 0
