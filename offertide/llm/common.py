@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offertide.functions.storage import durable, written
+from offertide.functions.storage import written
 
 # The white space that separates words (space, tab to carriage return).
 SPACES = r"[\x20\x09-\x0D]+"
@@ -46,20 +46,17 @@ def attach_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size:
     return with_hot.unionByName(rest)
 
 
-def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, rounds: int | None = None, most_rounds: int = 60) -> DataFrame:
     """(node, root) with the smallest node of each component, for the nodes of `edges(a, b)`.
 
     Alternating large-star and small-star steps, which keep the number of edges and
-    converge in about the logarithm of the longest path. Every round is stored.
-    A node with very many neighbours gets its minimum by a partial aggregation; the join
-    that follows sends each edge once.
+    converge in about the logarithm of the longest path. Every round is stored. With
+    `rounds` it stops there: nodes with equal roots are connected, but not the reverse.
     """
-    now = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                  .where("u <> v").distinct())
-    if now.isEmpty():
-        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+                  .where("u <> v").distinct(), "edges")
     mark = None
-    for _ in range(most_rounds):
+    for step in range(rounds or most_rounds):
         # Large star: every neighbour larger than the node is tied to the smallest neighbour.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -67,16 +64,18 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = large.where("u <> v").distinct()
         # Small star: smaller neighbours and the node itself are tied to the smallest one.
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(floor, "u")
-        now = durable(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(floor.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        seen = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")),
-                       F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first()
-        if tuple(seen) == mark:
+        small = large.join(floor, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = written(small.unionByName(floor.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        if rounds:
+            continue
+        seen = tuple(now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")),
+                             F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first())
+        if seen == mark or not seen[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = tuple(seen)
-    raise RuntimeError("the components did not settle")
+        mark = seen
+    if not rounds:
+        raise RuntimeError("the components did not settle")
+    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
 def hash_unit(*keys) -> Column:
@@ -87,5 +86,5 @@ def hash_unit(*keys) -> Column:
     return keyed_uniform(seed, purpose, *rest)
 
 
-__all__ = ["BROADCAST_ROWS", "NO_SPACES", "SPACES", "attach_groups", "connected", "durable", "hash_unit",
+__all__ = ["BROADCAST_ROWS", "NO_SPACES", "SPACES", "attach_groups", "connected", "hash_unit",
            "table", "text_or_empty", "written"]

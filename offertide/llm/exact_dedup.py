@@ -33,8 +33,8 @@ def text_sha256(column: str) -> Column:
     return F.sha2(F.encode(normalised(column), "UTF-8"), 256)
 
 
-def repeated_slots(hashes: DataFrame, rows: int) -> tuple[DataFrame, int]:
-    """(word, bits): the slots marked at least twice, 64 to a word, and the number of slots.
+def _filter(hashes: DataFrame, rows: int, least: int) -> tuple[DataFrame, int]:
+    """(word, bits): the slots marked at least `least` times, 64 to a word, and the number of slots.
 
     At most MOST_SLOTS / 64 words, whatever the number of rows.
     """
@@ -42,10 +42,20 @@ def repeated_slots(hashes: DataFrame, rows: int) -> tuple[DataFrame, int]:
     while slots < min(rows * SLOTS_PER_ROW, MOST_SLOTS):
         slots *= 2
     marks = hashes.select(F.explode(F.array(_slot(0, slots), _slot(1, slots))).alias("slot"))
-    again = marks.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
-    words = again.groupBy(F.shiftright("slot", 6).alias("word")).agg(
+    marks = marks.groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    words = marks.groupBy(F.shiftright("slot", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-    return words, slots
+    return written(words, "bloom-filter"), slots
+
+
+def repeated_slots(hashes: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """The filter of hashes that may be repeated among `hashes(_hash)`."""
+    return _filter(hashes, rows, 2)
+
+
+def known_slots(hashes: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """The filter of the hashes in `hashes(_hash)`."""
+    return _filter(hashes, rows, 1)
 
 
 def _slot(which: int, slots: int) -> Column:
@@ -54,7 +64,7 @@ def _slot(which: int, slots: int) -> Column:
 
 
 def marked(rows: DataFrame, words: DataFrame, slots: int) -> DataFrame:
-    """`rows` with `_suspect`: false proves that no other row has the same hash."""
+    """`rows` with `_suspect`: false proves that the filter was made without the row's hash (or its repetition)."""
     for which in (0, 1):
         side = F.broadcast(words.select(F.col("word").alias(f"_w{which}"), F.col("bits").alias(f"_b{which}")))
         rows = rows.withColumn(f"_w{which}", F.shiftright(_slot(which, slots), 6)).join(side, f"_w{which}", "left")
@@ -71,7 +81,7 @@ def duplicate_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ).withColumn(_HASH, F.xxhash64(_SHA))
     total = keyed.count()
     words, slots = repeated_slots(keyed.select(_HASH), total)
-    checked = written(marked(keyed, written(words, "dedup-filter"), slots), "dedup-marked")
+    checked = written(marked(keyed, words, slots), "dedup-marked")
     suspects = checked.where("_suspect").select("_id", _SHA, "_row")
     first = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))
     groups = written(
@@ -100,7 +110,7 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     words, slots = repeated_slots(hashes, hashes.count())
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all"),
                        F.col(id_col).alias("_id"), text_sha256(text_col).alias(_SHA))
-    checked = marked(packed.withColumn(_HASH, F.xxhash64(_SHA)), written(words, "dedup-filter"), slots)
+    checked = marked(packed.withColumn(_HASH, F.xxhash64(_SHA)), words, slots)
     rank = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"))
     first = checked.where("_suspect").groupBy(_SHA).agg(F.min_by("_all", rank).alias("_all"))
     return checked.where("NOT _suspect").select("_all").unionByName(first.select("_all")).select("_all.*")

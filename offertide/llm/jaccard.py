@@ -14,9 +14,11 @@ that tell much: parts with an element that isn't common in a bounded sample come
 parts; empty parts come last. A set whose larger partner may be in the next level is enumerated there too.
 The order and the sample change the work, never the result.
 
-Links. Sets with a signature in common are tied to the smallest of them; these pairs are
-checked on the sets themselves. Where a signature is still shared by more than one component,
-every pair of its sets from different components is checked too. So no link between
+Links. Sets with a signature in common are tied to one of them, their leader, then once more to
+leaders drawn anew where a signature is still shared by more than one component. Where that leaves
+components apart, every pair of a signature's sets from different components counts. Such pairs are
+first held against a sketch of one parity bit for each range of a finer cut: sets differ in at least as many elements as sketches
+differ in bits. Pairs that pass are checked on the sets themselves. So no link between
 components is lost, though a group of thousands of copies is never expanded into pairs.
 Equal sets are one node from the start. Memory: a task holds one chunk of signatures and
 one leader for each distinct signature of its bucket, whatever the size of a group.
@@ -37,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from offertide.llm.common import attach_groups, connected, written
+from offertide.llm.exact_dedup import known_slots, marked
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4
@@ -52,6 +55,12 @@ COMMON_ROWS = 8
 MOST_COMMON = 200_000
 """Elements in COMMON_ROWS of about SAMPLE_ROWS sampled rows are common; at most MOST_COMMON are kept."""
 
+DRAWS = 4
+"""Leaders drawn for a signature that several components share."""
+
+LEAST_BUCKETS = 64
+"""Signatures travel in one row for each document and bucket, so rows are at most signatures."""
+
 CHUNK = 4_000_000
 REMEMBERED = 200_000
 
@@ -96,6 +105,15 @@ def node_of(shingles: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes()))))
 
 
+def sketch_of(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the elements in each of a power of two of ranges, at least four times as many as elements."""
+    bits = 64
+    while bits < 4 * len(shingles):
+        bits *= 2
+    counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def levels_of(size: int) -> list[tuple[int, int]]:
     """(level, ranges) in which a set of this size is enumerated."""
     level, top, ranges = 0, FIRST_LEVEL, SMALL_RANGES
@@ -157,9 +175,10 @@ def _common_elements(texts: DataFrame, sample_rows: int) -> np.ndarray:
 
 
 def _enumerate(texts: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
-    """Rows (bucket, k, node, n, sigs): one for each document, and its signatures by bucket."""
+    """Rows (bucket, k, node, n, sketch, sigs): one for each document, and its signatures by bucket."""
     shared = texts.sparkSession.sparkContext.broadcast(common)
-    schema = pa.schema([("bucket", pa.int32()), ("k", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sigs", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("k", pa.int64()), ("node", pa.int64()), ("n", pa.int64()),
+                        ("sketch", pa.list_(pa.int64())), ("sigs", pa.binary())])
 
     def emit(batches):
         make, seen = Shingler(), set()
@@ -170,7 +189,7 @@ def _enumerate(texts: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
                 for key, text in zip(part.column("k").to_pylist(), part.column("text").to_pylist(), strict=True):
                     shingles = make(text)
                     node, n = node_of(shingles), len(shingles)
-                    rows.append((node % buckets, key, node, n, None))
+                    rows.append((node % buckets, key, node, n, sketch_of(shingles), None))
                     if node in seen:  # a copy of what this task has enumerated
                         continue
                     if len(seen) > REMEMBERED:
@@ -184,10 +203,10 @@ def _enumerate(texts: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
                         continue
                     cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
                     for a, b in zip(cuts, [*cuts[1:], len(to)], strict=True):
-                        rows.append((int(to[a]), 0, node, n, sigs[a:b].tobytes()))
+                        rows.append((int(to[a]), 0, node, n, None, sigs[a:b].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return texts.mapInArrow(emit, "bucket int, k long, node long, n long, sigs binary")
+    return texts.mapInArrow(emit, "bucket int, k long, node long, n long, sketch array<long>, sigs binary")
 
 
 class _Leaders:
@@ -218,9 +237,9 @@ class _Leaders:
 
 
 def _tie(enumerated: DataFrame, buckets: int) -> DataFrame:
-    """Documents (k, node, n; sig null) and ties (sig, lead, lead_n, node, n) in one stored table."""
+    """Documents (k, node, n, sketch; sig null) and ties (sig, lead, lead_n, node, n) in one stored table."""
     schema = pa.schema([("k", pa.int64()), ("sig", pa.int64()), ("lead", pa.int64()), ("lead_n", pa.int64()),
-                        ("node", pa.int64()), ("n", pa.int64())])
+                        ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
     def reduce(batches):
         leaders: dict[int, _Leaders] = {}
@@ -233,7 +252,8 @@ def _tie(enumerated: DataFrame, buckets: int) -> DataFrame:
                 own = bucket == b
                 got = leaders.setdefault(int(b), _Leaders()).tie(sig[own], node[own], n[own])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(got[0]), pa.int64()), *[pa.array(c.view(np.int64)) for c in got]], schema=schema)
+                    [pa.nulls(len(got[0]), pa.int64()), *[pa.array(c.view(np.int64)) for c in got],
+                     pa.nulls(len(got[0]), schema.field("sketch").type)], schema=schema)
 
         for batch in batches:
             raw = batch.column("sigs")
@@ -241,7 +261,8 @@ def _tie(enumerated: DataFrame, buckets: int) -> DataFrame:
             if plain.any():
                 docs = batch.filter(pa.array(plain))
                 empty = pa.nulls(docs.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([docs.column("k"), empty, empty, empty, docs.column("node"), docs.column("n")], schema=schema)
+                yield pa.RecordBatch.from_arrays([docs.column("k"), empty, empty, empty, docs.column("node"), docs.column("n"),
+                                                  docs.column("sketch")], schema=schema)
             if not plain.all():
                 rows = batch.filter(pa.array(~plain))
                 blobs = rows.column("sigs").to_pylist()
@@ -257,18 +278,45 @@ def _tie(enumerated: DataFrame, buckets: int) -> DataFrame:
             yield from flush()
 
     dealt = enumerated.repartition(buckets, "bucket")
-    return written(dealt.mapInArrow(reduce, "k long, sig long, lead long, lead_n long, node long, n long"), "jaccard-ties")
+    return written(dealt.mapInArrow(reduce, "k long, sig long, lead long, lead_n long, node long, n long, sketch array<long>"), "jaccard-ties")
 
 
 def _near_size(a: str = "a_n", b: str = "b_n") -> str:
     return f"{NUMERATOR} * greatest({a}, {b}) <= {DENOMINATOR} * least({a}, {b})"
 
 
+def _alike(a: str = "a", b: str = "b") -> str:
+    """That the sketches leave a link possible. The longer one is folded to the length of the other."""
+    differ = lambda x, y: f"aggregate(zip_with({x}, {y}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    half = lambda x: (f"zip_with(slice({x}, 1, size({x}) div 2), slice({x}, size({x}) div 2 + 1, size({x}) div 2), (x, y) -> x ^ y)")
+    x, y = f"{a}_sketch", f"{b}_sketch"
+    bits = (f"CASE WHEN size({x}) = size({y}) THEN {differ(x, y)} WHEN size({x}) > size({y}) THEN {differ(half(x), y)} "
+            f"ELSE {differ(x, half(y))} END")
+    return f"{_near_size(f'{a}_n', f'{b}_n')} AND 7 * ({bits}) <= {a}_n + {b}_n"
+
+
 class _Checker:
     """Compares pairs of nodes on their sets, each made once from the text of one document."""
 
-    def __init__(self, texts: DataFrame, docs: DataFrame, nodes: DataFrame) -> None:
-        wanted = docs.select("node", "k").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("k").alias("k")).select("k")
+    def __init__(self, texts: DataFrame, nodes: DataFrame) -> None:
+        self.texts, self.nodes, self.sets = texts, nodes, None
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of stored `pairs` that link."""
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if self.sets is not None:
+            asked = asked.join(self.sets.select("node"), "node", "left_anti")
+        new = self._make(written(asked.join(self.nodes.select("node", "k"), "node").select("k"), "jaccard-asked"))
+        self.sets = new if self.sets is None else self.sets.union(new)
+        a = self.sets.select(F.col("node").alias("a"), F.col("set").alias("_x"))
+        b = self.sets.select(F.col("node").alias("b"), F.col("set").alias("_y"))
+        both = F.size(F.array_intersect("_x", "_y")).cast("long")
+        either = F.size("_x").cast("long") + F.size("_y") - both
+        return written(pairs.select("a", "b").join(a, "a").join(b, "b").where(
+            both * DENOMINATOR >= either * NUMERATOR).select("a", "b"), "jaccard-links")
+
+    def _make(self, wanted: DataFrame) -> DataFrame:
+        """Sets of the documents `wanted(k)`. A filter of their keys keeps all other texts from the shuffle."""
 
         def sets(batches):
             make = Shingler()
@@ -279,17 +327,13 @@ class _Checker:
                         [pa.array([node_of(s) for s in got], pa.int64()),
                          pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], names=["node", "set"])
 
-        found = texts.join(wanted, "k", "left_semi").select("text").mapInArrow(sets, "node long, set array<long>")
-        self.sets = written(found.dropDuplicates(["node"]), "jaccard-sets")
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link."""
-        a = self.sets.select(F.col("node").alias("a"), F.col("set").alias("_x"))
-        b = self.sets.select(F.col("node").alias("b"), F.col("set").alias("_y"))
-        both = F.size(F.array_intersect("_x", "_y")).cast("long")
-        either = F.size("_x").cast("long") + F.size("_y") - both
-        return written(pairs.select("a", "b").join(a, "a").join(b, "b").where(
-            both * DENOMINATOR >= either * NUMERATOR).select("a", "b"), "jaccard-links")
+        n = wanted.count()
+        if not n:
+            return wanted.sparkSession.createDataFrame([], "node long, set array<long>")
+        words, slots = known_slots(wanted.select(F.col("k").alias("_hash")), n)
+        near = marked(self.texts.withColumn("_hash", F.col("k")), words, slots).where("_suspect")
+        found = near.join(wanted, "k", "left_semi").select("text")
+        return written(found.mapInArrow(sets, "node long, set array<long>"), "jaccard-sets")
 
 
 def _with_root(rows: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
@@ -297,20 +341,44 @@ def _with_root(rows: DataFrame, roots: DataFrame, node: str, name: str) -> DataF
     return rows.join(got, node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def _remaining(ties: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) from different components that share a signature."""
-    members = ties.select("sig", "node", "n").union(
-        ties.select("sig", F.col("lead").alias("node"), F.col("lead_n").alias("n"))).distinct()
+def _with_sketches(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    for x in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch")), x)
+    return pairs
+
+
+def _mixed_signatures(ties: DataFrame, roots: DataFrame) -> DataFrame:
+    """Stored (sig, node, root) of the signatures that components share; equal memberships once."""
+    members = ties.select("sig", "node").union(ties.select("sig", F.col("lead").alias("node"))).distinct()
     placed = _with_root(members, roots, "node", "root")
     mixed = placed.groupBy("sig").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many"),
         F.bit_xor(F.xxhash64("node")).alias("print")).where("low <> high")
-    # Signatures with the same sets need one look.
     sigs = mixed.groupBy("many", "print").agg(F.min("sig").alias("sig")).select("sig")
-    left = written(placed.join(sigs, "sig", "left_semi"), "jaccard-mixed")
-    side = lambda x: left.select("sig", F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("root").alias(f"{x}_root"))
-    met = side("a").join(side("b"), "sig").where(f"a < b AND a_root <> b_root AND {_near_size()}")
-    return met.select("a", "b").distinct()
+    return written(placed.join(sigs, "sig", "left_semi"), "jaccard-mixed")
+
+
+def _drawn_pairs(mixed: DataFrame, draws: int) -> DataFrame:
+    """Pairs (a, b) of nodes with leaders drawn for each signature."""
+    drawn = None
+    for salt in range(draws):
+        lead = mixed.groupBy("sig").agg(F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(salt), "node")).alias("l"))
+        pairs = mixed.join(lead, "sig").where("root <> l.root").select(
+            F.greatest("node", "l.node").alias("a"), F.least("node", "l.node").alias("b"))
+        drawn = pairs if drawn is None else drawn.union(pairs)
+    return drawn.distinct()
+
+
+def _remaining_pairs(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) from different components with a signature in common and sketches near enough.
+
+    A pair is given once, by the first of its common signatures.
+    """
+    own = mixed.groupBy("node").agg(F.array_sort(F.collect_list("sig")).alias("sigs"))
+    rows = written(mixed.join(nodes.select("node", "n", "sketch"), "node").join(own, "node"), "jaccard-remaining")
+    side = lambda x: rows.select("sig", F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "root", "sketch", "sigs")])
+    return side("a").join(side("b"), "sig").where(
+        f"a > b AND a_root <> b_root AND {_near_size()} AND sig = array_min(array_intersect(a_sigs, b_sigs)) AND {_alike()}").select("a", "b")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -319,28 +387,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     keyed = df.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
     texts = keyed.select("k", "text")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     stored = _tie(_enumerate(texts, _common_elements(texts, sample_rows), buckets), buckets)
-    docs = stored.where("sig IS NULL").select("k", "node", "n")
+    docs = stored.where("sig IS NULL").select("k", "node", "n", "sketch")
     ties = stored.where("sig IS NOT NULL").select("sig", "lead", "lead_n", "node", "n")
 
-    pool = written(ties.groupBy(F.col("lead").alias("a"), F.col("node").alias("b")).agg(
-        F.count("*").alias("shared"), F.first("lead_n").alias("a_n"), F.first("n").alias("b_n")).where(_near_size()), "jaccard-pool")
     involved = ties.select("node").union(ties.select(F.col("lead").alias("node"))).distinct()
-    checker = _Checker(texts, docs, involved)
-
-    # Each node with the leader it shares most with; then what may still tie components.
-    likely = written(pool.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"), "jaccard-likely")
-    links = checker.links(likely)
-    roots = connected(links)
-    rest = _with_root(_with_root(pool.join(likely, ["a", "b"], "left_anti"), roots, "a", "a_root"), roots, "b", "b_root")
-    links = links.union(checker.links(rest.where("a_root <> b_root")))
-    roots = connected(links)
-    links = links.union(checker.links(_remaining(ties, roots)))
+    nodes = written(docs.join(involved, "node", "left_semi").groupBy("node").agg(
+        F.min("k").alias("k"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "jaccard-nodes")
+    checker = _Checker(texts, nodes)
+    check = lambda pairs: checker.links(written(
+        _with_sketches(pairs, nodes).where(_alike()).select("a", "b"), "jaccard-pairs"))
+
+    tied = ties.where(_near_size("lead_n", "n")).select(
+        F.greatest("lead", "node").alias("a"), F.least("lead", "node").alias("b")).distinct()
+    links = check(tied)
+    roots = connected(links, rounds=2)
+    mixed = _mixed_signatures(ties, roots)
+    links = links.union(check(_drawn_pairs(mixed, DRAWS)))
+    roots = connected(links, rounds=2)
+    mixed = _mixed_signatures(ties, roots)
+    links = links.union(checker.links(written(_remaining_pairs(mixed, nodes), "jaccard-pairs")))
     roots = connected(links)
 
     total = docs.count()
-    named = _with_root(docs, roots, "node", "_group")
+    named = _with_root(docs.drop("sketch"), roots, "node", "_group")
     ids = written(keyed.select("k", "_id").join(named.dropDuplicates(["k"]), "k"), "jaccard-documents")
     groups = written(ids.where("n > 0").groupBy("_group").agg(
         F.count("*").alias("_n"), F.min("_id").alias("component_id")).where("_n > 1"), "jaccard-groups")
