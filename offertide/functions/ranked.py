@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offertide.functions.storage import durable
+from offertide.functions.storage import written
 
 _PART = "_part"
 
@@ -27,7 +27,7 @@ class Ranked:
         spark = df.sparkSession
         n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
         laid = df.repartitionByRange(n, *[F.col(g) for g in self.group], *self.order)
-        self.rows = durable(laid.withColumn(_PART, F.spark_partition_id()))
+        self.rows = written(laid.withColumn(_PART, F.spark_partition_id()), "layout")
 
     def running(self, rows: DataFrame, sums: Mapping[str, Column] | None = None,
                 maxima: Mapping[str, Column] | None = None) -> DataFrame:
@@ -49,7 +49,10 @@ class Ranked:
         before = totals.select(
             *self.group, _PART, *[fn(n).over(earlier).alias(f"_before_{n}") for n, fn, _ in pieces]
         )
-        joined = local.join(before, [*self.group, _PART], "left")
+        for c in (*self.group, _PART):
+            before = before.withColumnRenamed(c, f"_of_{c}")
+        same = [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in self.group]  # a null group is a group too
+        joined = local.join(before, [*same, F.col(_PART) == F.col(f"_of_{_PART}")], "left")
         kept = [c for c in local.columns if c not in {n for n, _, _ in pieces}]
         out = []
         for n, fn, _ in pieces:

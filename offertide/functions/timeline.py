@@ -15,9 +15,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from offertide.functions.storage import written
+
 _SEGMENT = "_segment"
 _CUTS = "_cuts"
-_MOST_HOT_KEYS = 10_000
+_BROADCAST_KEYS = 10_000
 
 
 @dataclass(frozen=True)
@@ -45,12 +47,14 @@ class HotKeys:
 
     key: str
     table: DataFrame
+    few: bool = True
+    """Whether the table is small enough to be sent to every executor; else it is joined by shuffle."""
 
     def tag(self, rows: DataFrame, at: str) -> DataFrame:
         cuts = F.col(_CUTS)
         segment = F.size(F.filter(cuts, lambda c: c < F.col(at)))
         return (
-            rows.join(F.broadcast(self.table), self.key, "left")
+            rows.join(F.broadcast(self.table) if self.few else self.table, self.key, "left")
             .withColumn(_SEGMENT, F.coalesce(F.when(cuts.isNotNull(), segment), F.lit(-1)))
             .drop(_CUTS)
         )
@@ -59,27 +63,24 @@ class HotKeys:
 def find_hot_keys(rows: DataFrame, key: str, at: str, rows_per_task: int) -> HotKeys | None:
     """The keys with more than `rows_per_task` rows, or None when there is none.
 
-    Only the 10,000 largest keys are looked at: any other key holds less than
-    1/10,000 of the rows. The result therefore always fits a broadcast.
+    Every such key is cut, each by its own number of rows, in doubling classes of size.
     """
     spark = rows.sparkSession
-    largest = (
-        rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), F.asc(key)).limit(_MOST_HOT_KEYS)
-        .where((F.col("n") > rows_per_task) & F.col(key).isNotNull()).toArrow()
-    )
-    if largest.num_rows == 0:
+    # The class doubles with the rows, so there are fewer than 64.
+    hot = written(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where(
+        F.col("_rows") > rows_per_task).selectExpr(key, f"CAST(ceil(log2(_rows / {rows_per_task})) AS INT) + 1 AS _class"), "hot-keys")
+    classes = [r[0] for r in hot.select("_class").distinct().collect()]
+    if not classes:
         return None
-    pieces = 2 * int(max(largest.column("n").to_pylist()) // rows_per_task + 1)
-    steps = [i / pieces for i in range(1, pieces)]
-    hot = spark.createDataFrame(largest.select([key]))
-    cuts = (
-        rows.join(F.broadcast(hot), key, "left_semi")
-        .groupBy(key)
-        .agg(F.array_distinct(F.percentile_approx(at, steps, 10_000)).alias(_CUTS))
-        .toArrow()
-    )
-    return HotKeys(key, spark.createDataFrame(cuts))
+    few = hot.limit(_BROADCAST_KEYS + 1).count() <= _BROADCAST_KEYS
+    cuts = None
+    for c in classes:
+        steps = [i / 2**c for i in range(1, 2**c)]
+        own = hot.where(F.col("_class") == c).select(key)
+        part = rows.join(F.broadcast(own) if few else own, key, "left_semi").groupBy(key).agg(
+            F.array_distinct(F.percentile_approx(at, steps, 10_000)).alias(_CUTS))
+        cuts = part if cuts is None else cuts.unionByName(part)
+    return HotKeys(key, written(cuts, "hot-cuts"), few)
 
 
 def scan(
@@ -103,7 +104,7 @@ def scan(
     tagged = hot.tag(rows, at)
     inside = tagged.selectExpr("*", *[r.sql(_over([*keys, _SEGMENT], order)) for r in runs])
 
-    # One row per piece of a hot key: bounded by rows / rows_per_task.
+    # One row per piece of a hot key, joined by the partitioning that the scan already has.
     totals = (
         tagged.where(f"{_SEGMENT} >= 0").groupBy(*keys, _SEGMENT)
         .agg(*[F.expr(r.sql()) for r in runs])
@@ -115,7 +116,11 @@ def scan(
     carried = totals.select(
         *keys, _SEGMENT, *[_carry(r, before).alias(_before(r)) for r in runs]
     )
-    joined = inside.join(F.broadcast(carried), [*keys, _SEGMENT], "left")
+    for k in (*keys, _SEGMENT):
+        carried = carried.withColumnRenamed(k, f"_of_{k}")
+    first, *others = keys
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in others]  # null offers are scanned together
+    joined = inside.join(carried, [F.col(first) == F.col(f"_of_{first}"), F.col(_SEGMENT) == F.col(f"_of_{_SEGMENT}"), *same], "left")
     kept = [c for c in inside.columns if c != _SEGMENT and c not in {r.name for r in runs}]
     return joined.select(*kept, *[_merge(r).alias(r.name) for r in runs])
 

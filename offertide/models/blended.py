@@ -82,7 +82,7 @@ class BlendedModel:
 def attach_scores(frame: DataFrame, model: BlendedModel, cfg: Settings) -> DataFrame:
     """Model columns and quadrant on rows of paid types; other types keep nulls."""
     paid = durable(model.components(clean.paid_types_only(frame)))
-    scored = quadrant.add_quadrant(ranking.add_dynamic_score(paid, cfg.simulator_score_gamma), cfg)
+    scored = quadrant.add_quadrant(ranking.add_dynamic_score(paid, cfg.serving_score_gamma), cfg)
     others = frame.where(~F.col("offer_type").isin(*PAID_TYPES))
     return scored.unionByName(others, allowMissingColumns=True)
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from offertide.functions.quantiles import exact_quantiles
 from offertide.operators.contract import COLUMNS, NULLABLE
 
 NOT_FEATURES = frozenset({
@@ -41,10 +41,11 @@ def tree_matrix(train: DataFrame, features: tuple[str, ...]) -> PipelineModel:
     categorical = [c for c in features if c in CATEGORICAL]
     stages = []
     if nullable:
-        medians = train.agg(*[F.expr(f"percentile_approx(CAST({c} AS DOUBLE), 0.5) AS {c}") for c in nullable]).first()
+        found = exact_quantiles(train, {c: c for c in nullable}, (0.5,)).collect()  # a row per column
+        medians = {r["name"]: r["q"][0] for r in found}
         # A column without any value in training is filled with 0.
         filled = ", ".join(
-            f"coalesce(CAST({c} AS DOUBLE), {float(medians[c] or 0.0)!r}D) AS {c}_filled,"
+            f"coalesce(CAST({c} AS DOUBLE), {float(medians.get(c) or 0.0)!r}D) AS {c}_filled,"
             f" CAST({c} IS NULL AS DOUBLE) AS {c}_missing" for c in nullable)
         stages.append(SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"))
     stages.append(StringIndexer(

@@ -6,47 +6,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-# Column order and types of the processed table; "?" marks nullable.
-_LAYOUT = """
-account_id string, offer_id string, offer_type string, received_time double,
-campaign_wave int, treatment int,
-converted int, conversion_value double, reward_cost double, is_recurrent int,
-age int?, gender string, credit_card_limit double?, identity_missing int, tenure_days int,
-hist_spend_total double, hist_txn_count int, hist_avg_ticket double, hist_spend_std double,
-hist_recency_days double?, hist_frequency double, hist_spend_trend double,
-hist_offers_received int, hist_offers_received_bogo int, hist_offers_received_discount int,
-hist_offers_received_info int, hist_offers_viewed int, hist_offers_completed int,
-hist_view_rate double, hist_conv_rate_bogo double, hist_conv_rate_discount double,
-hist_completed_unseen_flag int, hist_time_view_to_conv double?,
-discount_value double, min_value double, duration double, n_channels int,
-channel_web int, channel_email int, channel_mobile int, channel_social int,
-discount_to_minvalue_ratio double, n_concurrent_offers int
-"""
-
-_TYPES = {"string": StringType(), "double": DoubleType(), "int": IntegerType()}
-
-
-def _schema() -> StructType:
-    fields = []
-    for item in _LAYOUT.replace("\n", " ").split(","):
-        name, kind = item.split()
-        fields.append(StructField(name, _TYPES[kind.rstrip("?")], kind.endswith("?")))
-    return StructType(fields)
-
-
-PROCESSED_SCHEMA = _schema()
+# Column order, types and nullability of the processed table.
+PROCESSED_SCHEMA = StructType([
+    StructField("account_id", StringType(), False),
+    StructField("offer_id", StringType(), False),
+    StructField("offer_type", StringType(), False),
+    StructField("received_time", DoubleType(), False),
+    StructField("campaign_wave", IntegerType(), False),
+    StructField("treatment", IntegerType(), False),
+    StructField("converted", IntegerType(), False),
+    StructField("conversion_value", DoubleType(), False),
+    StructField("reward_cost", DoubleType(), False),
+    StructField("is_recurrent", IntegerType(), False),
+    StructField("age", IntegerType(), True),
+    StructField("gender", StringType(), False),
+    StructField("credit_card_limit", DoubleType(), True),
+    StructField("identity_missing", IntegerType(), False),
+    StructField("tenure_days", IntegerType(), False),
+    StructField("hist_spend_total", DoubleType(), False),
+    StructField("hist_txn_count", IntegerType(), False),
+    StructField("hist_avg_ticket", DoubleType(), False),
+    StructField("hist_spend_std", DoubleType(), False),
+    StructField("hist_recency_days", DoubleType(), True),
+    StructField("hist_frequency", DoubleType(), False),
+    StructField("hist_spend_trend", DoubleType(), False),
+    StructField("hist_offers_received", IntegerType(), False),
+    StructField("hist_offers_received_bogo", IntegerType(), False),
+    StructField("hist_offers_received_discount", IntegerType(), False),
+    StructField("hist_offers_received_info", IntegerType(), False),
+    StructField("hist_offers_viewed", IntegerType(), False),
+    StructField("hist_offers_completed", IntegerType(), False),
+    StructField("hist_view_rate", DoubleType(), False),
+    StructField("hist_conv_rate_bogo", DoubleType(), False),
+    StructField("hist_conv_rate_discount", DoubleType(), False),
+    StructField("hist_completed_unseen_flag", IntegerType(), False),
+    StructField("hist_time_view_to_conv", DoubleType(), True),
+    StructField("discount_value", DoubleType(), False),
+    StructField("min_value", DoubleType(), False),
+    StructField("duration", DoubleType(), False),
+    StructField("n_channels", IntegerType(), False),
+    StructField("channel_web", IntegerType(), False),
+    StructField("channel_email", IntegerType(), False),
+    StructField("channel_mobile", IntegerType(), False),
+    StructField("channel_social", IntegerType(), False),
+    StructField("discount_to_minvalue_ratio", DoubleType(), False),
+    StructField("n_concurrent_offers", IntegerType(), False),
+])
 COLUMNS = tuple(f.name for f in PROCESSED_SCHEMA.fields)
 NULLABLE = frozenset(f.name for f in PROCESSED_SCHEMA.fields if f.nullable)
 
 
-def enforce_schema(df: DataFrame) -> DataFrame:
-    """Exactly the contract columns, in order and cast; fails if one is missing."""
-    missing = [c for c in COLUMNS if c not in df.columns]
-    if missing:
-        raise ValueError(f"contract columns missing: {missing}")
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PROCESSED_SCHEMA.fields])
-
-
 def schema_differences(df: DataFrame) -> list[dict]:
     """One record per position at which names or types differ from the contract."""
     have = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
@@ -60,6 +69,16 @@ def schema_differences(df: DataFrame) -> list[dict]:
     ]
 
 
+def enforce_schema(df: DataFrame) -> DataFrame:
+    """`df` itself if it keeps the contract, else its columns put in order and cast."""
+    if not schema_differences(df):
+        return df
+    absent = set(COLUMNS).difference(df.columns)
+    if absent:
+        raise ValueError(f"no column for {sorted(absent)} of the contract")
+    return df.selectExpr(*[f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in PROCESSED_SCHEMA])
+
+
 def check_schema(df: DataFrame, strict: bool = False) -> DataFrame:
     """Differences between the schema of `df` and the contract; none means equal."""
     found = schema_differences(df)

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from offertide.functions.quantiles import exact_quantiles
 from offertide.functions.draws import keyed_uniform, poisson_one
 from offertide.functions.timeline import HotKeys, Run, scan
 from offertide.operators import clean
@@ -213,8 +214,7 @@ def type_coverage(processed: DataFrame, profile: DataFrame) -> DataFrame:
 
 def conversion_by_tenure(processed: DataFrame, profile: DataFrame, cfg: Settings) -> DataFrame:
     """Conversion per type and tenure quartile of the customer base."""
-    accuracy = int(1 / cfg.quantile_rel_error)
-    cuts = profile.agg(F.expr(f"percentile_approx(tenure_days, array(0.25, 0.5, 0.75), {accuracy}) AS cuts"))
+    cuts = exact_quantiles(profile, {"tenure": "tenure_days"}, (0.25, 0.5, 0.75)).agg(F.first("q").alias("cuts"))
     band = ("CASE WHEN tenure_days IS NULL THEN NULL WHEN tenure_days <= cuts[0] THEN 'Q1' WHEN tenure_days <= cuts[1] THEN 'Q2'"
             " WHEN tenure_days <= cuts[2] THEN 'Q3' ELSE 'Q4' END AS tenure_band")
     return (
@@ -256,16 +256,21 @@ def discount_share_histogram(processed: DataFrame, bins: int) -> DataFrame:
     )
 
 
+def _double(value: float | None) -> str:
+    return f"CAST('{value!r}' AS DOUBLE)" if value is not None else "CAST(NULL AS DOUBLE)"
+
+
 def numeric_profile(df: DataFrame, columns: Sequence[str], cfg: Settings) -> DataFrame:
-    """Counts, moments, quantiles and Tukey outliers per column, in two passes."""
-    accuracy = int(1 / cfg.quantile_rel_error)
+    """Counts, moments, exact quantiles and Tukey outliers per column."""
+    points = (0.01, 0.25, 0.5, 0.75, 0.99)
+    found = {r["name"]: r["q"] for r in exact_quantiles(df, {c: c for c in columns}, points).collect()}  # a row per column
     k = cfg.outlier_iqr_multiplier
     measures = []
     for i, c in enumerate(columns):
         measures.append(F.expr(
             f"struct(count({c}) AS n, count(1) AS total, count_if({c} = 0) AS zeros, avg({c}) AS mean,"
             f" stddev_samp({c}) AS std, CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi,"
-            f" percentile_approx(CAST({c} AS DOUBLE), array(0.01, 0.25, 0.5, 0.75, 0.99), {accuracy}) AS q) AS s{i}"))
+            f" array({', '.join(_double(v) for v in found.get(c, [None] * len(points)))}) AS q) AS s{i}"))
     stats = df.agg(*measures)
 
     def fence(i: int, side: str) -> str:
@@ -436,15 +441,16 @@ def response_funnel(processed: DataFrame) -> DataFrame:
 
 def discount_over_margin(processed: DataFrame, cfg: Settings) -> DataFrame:
     """Discount over margin per type among conversions: mean, median and weighted ratio."""
-    accuracy = int(1 / cfg.quantile_rel_error)
     margin = "conversion_value - reward_cost"
     share = f"CASE WHEN {margin} > 0 THEN reward_cost / ({margin}) END"
+    converted = processed.where("converted = 1")
+    medians = exact_quantiles(converted, {"share": share}, (0.5,), ["offer_type"]).selectExpr(
+        "offer_type AS _type", "q[0] AS median_share")
+    sums = converted.groupBy("offer_type").agg(*_aggs(
+        conversions="count(1)", revenue="sum(conversion_value)", cost="sum(reward_cost)",
+        mean_value="avg(conversion_value)", mean_cost="avg(reward_cost)", mean_share=f"avg({share})"))
     return (
-        processed.where("converted = 1").groupBy("offer_type")
-        .agg(*_aggs(
-            conversions="count(1)", revenue="sum(conversion_value)", cost="sum(reward_cost)",
-            mean_value="avg(conversion_value)", mean_cost="avg(reward_cost)",
-            mean_share=f"avg({share})", median_share=f"percentile_approx({share}, 0.5, {accuracy})"))
+        sums.join(medians, F.col("offer_type").eqNullSafe(F.col("_type")), "left").drop("_type")
         .selectExpr("*", "mean_value - mean_cost AS mean_margin", "revenue - cost AS total_margin",
                     "try_divide(cost, revenue - cost) AS weighted_share")
     )

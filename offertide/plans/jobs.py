@@ -79,9 +79,9 @@ def publish(spark: SparkSession, raw_folder: str, processed_path: str, model_pat
         .crossJoin(holdout.agg(F.expr("count(1) AS n_holdout_rows")))
         .selectExpr(
             f"{float(at)!r}D AS decision_time", "*", f"{cfg.seed} AS seed",
-            f"{cfg.simulator_default_budget} AS default_budget",
-            f"{cfg.simulator_temperature_default!r}D AS temperature_default",
-            f"{cfg.simulator_temperature_max!r}D AS temperature_max"))
+            f"{cfg.serving_default_budget} AS default_budget",
+            f"{cfg.serving_temperature_default!r}D AS temperature_default",
+            f"{cfg.serving_temperature_max!r}D AS temperature_max"))
     tables = {
         "matrix": matrix,
         "holdout": holdout.select("account_id", "offer_type", "treatment", "converted", "net_profit",

@@ -14,7 +14,7 @@ START = "2024-01-01"
 CATALOGUE_ROWS = 10
 _DAY_US = 86_400_000_000.0
 
-SETTINGS = Settings(test_start_date="20240101", quantile_rel_error=0.0001)
+SETTINGS = Settings(test_start_date="20240101")
 
 
 @dataclass(frozen=True)

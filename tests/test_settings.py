@@ -5,7 +5,7 @@ from offertide.settings import Settings
 
 @pytest.mark.parametrize("bad", [
     {"smd_threshold": 0}, {"n_campaign_waves": 0}, {"cluster_k_max": 2}, {"validation_wave_cutoff": 6},
-    {"simulator_temperature_default": 2.0}, {"blend_mode": "other"}, {"attribution_priority": "random"},
+    {"serving_temperature_default": 2.0}, {"blend_mode": "other"}, {"attribution_priority": "random"},
     {"gain_curve_confidence_level": 1.0}, {"blend_temperature": -0.1}, {"rows_per_task": 0},
 ])
 def test_bad_values_are_rejected(bad):
