@@ -58,6 +58,7 @@ MOST_COMMON = 200_000
 DRAWS = 4
 """Leaders drawn for a signature that several components share."""
 
+BRIEF = 16
 LEAST_BUCKETS = 64
 """Signatures travel in one row for each document and bucket, so rows are at most signatures."""
 
@@ -370,15 +371,20 @@ def _drawn_pairs(mixed: DataFrame, draws: int) -> DataFrame:
 
 
 def _remaining_pairs(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) from different components with a signature in common and sketches near enough.
+    """Pairs (a, b) from different components with a signature in common and brief sketches near enough.
 
-    A pair is given once, by the first of its common signatures.
+    A node stands here once for each of its signatures, so it carries its sketch folded to
+    at most BRIEF words and its first BRIEF signatures; the whole sketches decide afterwards.
     """
-    own = mixed.groupBy("node").agg(F.array_sort(F.collect_list("sig")).alias("sigs"))
-    rows = written(mixed.join(nodes.select("node", "n", "sketch"), "node").join(own, "node"), "jaccard-remaining")
+    words = (f"transform(sequence(0, {BRIEF - 1}), i -> aggregate(filter(sketch, (x, j) -> j % {BRIEF} = i), 0L, (s, x) -> s ^ x))")
+    brief = nodes.selectExpr("node", "n", f"IF(size(sketch) <= {BRIEF}, sketch, {words}) AS sketch")
+    few = mixed.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, BRIEF).alias("sigs"))
+    rows = written(mixed.join(brief, "node").join(few, "node"), "jaccard-remaining")
     side = lambda x: rows.select("sig", F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "root", "sketch", "sigs")])
+    # Of a pair's common signatures among the first of each, only the first gives the pair.
+    once = "sig = coalesce(array_min(array_intersect(a_sigs, b_sigs)), sig)"
     return side("a").join(side("b"), "sig").where(
-        f"a > b AND a_root <> b_root AND {_near_size()} AND sig = array_min(array_intersect(a_sigs, b_sigs)) AND {_alike()}").select("a", "b")
+        f"a > b AND a_root <> b_root AND {_near_size()} AND {once} AND {_alike()}").select("a", "b").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -407,7 +413,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = links.union(check(_drawn_pairs(mixed, DRAWS)))
     roots = connected(links, rounds=2)
     mixed = _mixed_signatures(ties, roots)
-    links = links.union(checker.links(written(_remaining_pairs(mixed, nodes), "jaccard-pairs")))
+    links = links.union(check(_remaining_pairs(mixed, nodes)))
     roots = connected(links)
 
     total = docs.count()
