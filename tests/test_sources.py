@@ -80,3 +80,16 @@ def test_contract_lists_missing_columns(spark):
         check_schema(df, strict=True)
     # account_id itself is in place, the other positions differ
     assert check_schema(df).count() == len(PROCESSED_SCHEMA) - 1
+
+
+@pytest.mark.parametrize("spoil", ["missing", "reordered", "retyped"])
+def test_processed_files_must_keep_the_contract(spark, tmp_path, spoil):
+    empty = spark.createDataFrame([], PROCESSED_SCHEMA)
+    wrong = {
+        "missing": empty.drop("converted"),
+        "reordered": empty.select(*reversed(empty.columns)),
+        "retyped": empty.withColumn("converted", empty["converted"].cast("double")),
+    }[spoil]
+    files.write_processed(wrong, str(tmp_path / "p"))
+    with pytest.raises(ValueError):
+        files.read_processed(spark, str(tmp_path / "p"))
