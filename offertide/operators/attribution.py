@@ -206,9 +206,10 @@ def build_label(df: DataFrame) -> DataFrame:
 
 def add_recurrence_flag(df: DataFrame, cfg: Settings, hot: HotKeys | None = None) -> DataFrame:
     """1 on a converted row whose account converts again in (t, t + window]."""
-    # Kind 0 asks "when next?", kind 1 is the conversion that others may find.
+    # Kind 0 asks "when next?", kind 1 is the conversion that others may find. Rows that
+    # have no conversion stand at their send time, so that a hot account's are cut too.
     rows = df.selectExpr(
-        "*", "CASE WHEN converted = 1 THEN first_assigned_txn_time END AS at",
+        "*", "CASE WHEN converted = 1 THEN first_assigned_txn_time ELSE received_time END AS at",
         "explode(CASE WHEN converted = 1 THEN array(0, 1) ELSE array(0) END) AS kind",
     )
     runs = [Run("next_time", "min", "CASE WHEN kind = 1 THEN at END")]

@@ -301,10 +301,16 @@ def categorical_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counted.join(totals, "column").selectExpr("column", "level", "rows", "rows / total AS share")
 
 
+def _pearson(a: str, b: str) -> str:
+    """`corr` fails on a column that is constant where the other is present; this is null there."""
+    both = f"FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+    return f"try_divide(covar_pop({a}, {b}), stddev_pop({a}) {both} * stddev_pop({b}) {both})"
+
+
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson r of every ordered pair; rows with a null on either side are left out."""
+    """Pearson r of every ordered pair over the rows that have both; null if one of them is constant there."""
     upper = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    one = df.agg(*[F.expr(f"corr({columns[i]}, {columns[j]}) AS r{i}_{j}") for i, j in upper])
+    one = df.agg(*[F.expr(f"{_pearson(columns[i], columns[j])} AS r{i}_{j}") for i, j in upper])
     rows = ", ".join(
         f"struct('{columns[a]}' AS feature_a, '{columns[b]}' AS feature_b, {a} AS a, {b} AS b, r{min(a, b)}_{max(a, b)} AS r)"
         for a in range(len(columns)) for b in range(len(columns)))

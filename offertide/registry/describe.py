@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from offertide.operators import describe
 from offertide.registry.core import query
 
-_HISTORY = ["hist_spend_total", "hist_txn_count", "hist_avg_ticket", "hist_frequency", "hist_view_rate"]
 
 
 @query("e1_events_over_time", "SELECT event, CAST(floor(time) AS INT) AS day, count(*) AS events FROM log GROUP BY 1, 2")
@@ -161,21 +160,21 @@ def _(w):
     return describe.categorical_profile(w.processed, ["gender", "offer_type"])
 
 
-_CORR_COLUMNS = [*_HISTORY, "age", "hist_recency_days"]
+_CORR_COLUMNS = ["hist_spend_total", "hist_txn_count", "hist_avg_ticket", "hist_frequency", "hist_view_rate", "age", "hist_recency_days"]
 
 
 @query("e15_correlation_matrix", " UNION ALL ".join(
-    f"SELECT '{a}' AS feature, " + ", ".join(f"corr({min(a, b)}, {max(a, b)}) AS {b}" for b in _CORR_COLUMNS) + " FROM processed"
+    f"SELECT '{a}' AS feature, " + ", ".join(f"nullif(corr({min(a, b)}, {max(a, b)}), 'NaN'::DOUBLE) AS {b}" for b in _CORR_COLUMNS) + " FROM processed"
     for a in _CORR_COLUMNS), " ".join(_CORR_COLUMNS))
 def _(w):
     return describe.correlation_matrix(w.processed, _CORR_COLUMNS)
 
 
 @query("e16_redundant_pairs", """SELECT feature_a, feature_b, r, abs(r) AS abs_r FROM (""" + " UNION ALL ".join(
-    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr({a}, {b}) AS r FROM processed"
-    for i, a in enumerate(_CORR_COLUMNS) for b in _CORR_COLUMNS[i + 1:]) + ") WHERE abs(r) >= 0.5", "r abs_r")
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, nullif(corr({a}, {b}), 'NaN'::DOUBLE) AS r FROM processed"
+    for i, a in enumerate(_CORR_COLUMNS) for b in _CORR_COLUMNS[i + 1:]) + ") WHERE abs(r) >= 0.8", "r abs_r")
 def _(w):
-    return describe.redundant_pairs(describe.correlation_pairs(w.processed, _CORR_COLUMNS), w.cfg.but(correlation_threshold=0.5))
+    return describe.redundant_pairs(describe.correlation_pairs(w.processed, _CORR_COLUMNS), w.cfg)
 
 
 _COVARIATES = [*describe.PROFILE_COVARIATES, *describe.PURCHASE_HISTORY, *describe.OFFER_HISTORY]
@@ -237,7 +236,7 @@ def _(w):
     return describe.arm_conversion_table(w.processed)
 
 
-_REPLICATES = 30
+_REPLICATES = 200
 _CDF = "[" + ", ".join(f"{x!r}" for x in (lambda: [
     sum(__import__("math").exp(-1.0) / __import__("math").factorial(j) for j in range(k + 1)) for k in range(18)])()) + "]"
 

@@ -159,7 +159,7 @@ def _(w):
     return gain.at_budgets(gain.gain_curves(w.scored, _STRATEGIES), [10, 50, 100, 1000])
 
 
-_BOOT = 20
+_BOOT = 200
 _RESAMPLES = f"""size AS (SELECT count(*) AS total FROM scored),
 draws AS (SELECT replicate, floor({unit(42, "'resample'", "replicate", "draw")} * total)::BIGINT + 1 AS place
   FROM size, range(1, {_BOOT + 1}) r(replicate), LATERAL (SELECT unnest(range(0, total)) AS draw)),

@@ -78,7 +78,7 @@ def _(w):
 @query("m3_logistic_anchor")
 def _(w):
     train, holdout = w.split
-    matrix, model = conversion.logistic_anchor(train, w.cfg.but(logit_max_iter=50))
+    matrix, model = conversion.logistic_anchor(train, w.cfg)
     scored = model.transform(matrix.transform(holdout))
     return scored.select(*GRAIN, "converted", vector_to_array("probability")[1].alias("p_convert"))
 
@@ -86,7 +86,7 @@ def _(w):
 @query("m4_conversion_metrics")
 def _(w):
     train, holdout = w.split
-    return conversion.train_and_measure(train, holdout, w.small_cfg.but(logit_max_iter=50))[1]
+    return conversion.train_and_measure(train, holdout, w.small_cfg)[1]
 
 
 @query("m5_conversion_probability")
@@ -176,9 +176,9 @@ def _placebo_value(name: str) -> str:
 
 
 _PLACEBO = f"""p_rows AS MATERIALIZED (SELECT a.rep, a.offer_type, a.cell, a.converted, b.treatment FROM
-  (SELECT rep, offer_type, {_CELL} AS cell, converted, row_number() OVER (PARTITION BY rep, offer_type ORDER BY {_G}) AS k FROM train, range(0, 3) r(rep)) a
+  (SELECT rep, offer_type, {_CELL} AS cell, converted, row_number() OVER (PARTITION BY rep, offer_type ORDER BY {_G}) AS k FROM train, range(0, 20) r(rep)) a
   JOIN (SELECT rep, offer_type, treatment, row_number() OVER (PARTITION BY rep, offer_type ORDER BY
-    {unit(42, "'placebo'", "rep", "account_id", "offer_id", "received_time")}, {_G}) AS k FROM train, range(0, 3) r(rep)) b USING (rep, offer_type, k)),
+    {unit(42, "'placebo'", "rep", "account_id", "offer_id", "received_time")}, {_G}) AS k FROM train, range(0, 20) r(rep)) b USING (rep, offer_type, k)),
 p_control AS (SELECT * FROM p_rows WHERE treatment = 0), p_treated AS (SELECT * FROM p_rows WHERE treatment = 1),
 {_placebo_stage('p_mu0', 'p_control', 'converted')}, {_placebo_stage('p_mu1', 'p_treated', 'converted')},
 p_gained AS (SELECT rep, offer_type, cell, converted - {_placebo_value('p_mu0')} AS d FROM p_treated x),
@@ -186,7 +186,7 @@ p_missed AS (SELECT rep, offer_type, cell, {_placebo_value('p_mu1')} - converted
 {_placebo_stage('p_tt', 'p_gained', 'd')}, {_placebo_stage('p_tc', 'p_missed', 'd')},
 shares AS (SELECT offer_type, avg(treatment) AS p FROM holdout GROUP BY 1),
 p_scored AS MATERIALIZED (SELECT rep, treatment, converted, round(p * {_placebo_value('p_tc')} + (1 - p) * {_placebo_value('p_tt')}, 12) AS s
-  FROM (SELECT rep, offer_type, {_CELL} AS cell, treatment, converted FROM holdout, range(0, 3) r(rep)) x JOIN shares USING (offer_type)),
+  FROM (SELECT rep, offer_type, {_CELL} AS cell, treatment, converted FROM holdout, range(0, 20) r(rep)) x JOIN shares USING (offer_type)),
 p_tied AS (SELECT rep::VARCHAR AS g, s, count(*) AS n, sum(treatment) AS nt, sum(treatment * converted) AS yt, sum((1 - treatment) * converted) AS yc FROM p_scored GROUP BY 1, 2
   UNION ALL SELECT 'best', converted * treatment - converted * (1 - treatment), count(*), sum(treatment), sum(treatment * converted), sum((1 - treatment) * converted) FROM holdout GROUP BY 1, 2),
 p_sums AS (SELECT g, sum(n) OVER o AS n, sum(nt) OVER o AS nt, sum(yt) OVER o AS yt, sum(yc) OVER o AS yc FROM p_tied
@@ -200,7 +200,7 @@ p_areas AS (SELECT g, sum((n - pn) * (q + pq) / 2) - max(n) * arg_max(q, n) / 2
 FROM p_areas WHERE g <> 'best'""", "qini", _PLACEBO)
 def _(w):
     train, holdout = w.split
-    return blended.placebo_scores(train, holdout, w.cfg, CellMeanLearner(CELL_CONDITIONS, w.cfg), 3)
+    return blended.placebo_scores(train, holdout, w.cfg, CellMeanLearner(CELL_CONDITIONS, w.cfg), w.cfg.placebo_n_permutations)
 
 
 @query("v5_attach_scores")
@@ -244,9 +244,9 @@ def _(w):
 
 @query("s6_write_recommendations", """SELECT row_number() OVER (ORDER BY s DESC, account_id, offer_id) AS rank, account_id, offer_id, offer_type, s AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY s DESC, offer_id) AS k FROM (
-    SELECT account_id, offer_id, offer_type, round(uplift, 4) AS s FROM scored WHERE received_time = 20)) WHERE k = 1 QUALIFY rank <= 50""", "score")
+    SELECT account_id, offer_id, offer_type, round(uplift, 4) AS s FROM scored)) WHERE k = 1 QUALIFY rank <= 50""", "score")
 def _(w):
-    rows = w.scored.where("received_time = 20").selectExpr("account_id", "offer_id", "offer_type", "round(uplift, 4) AS score")
+    rows = w.scored.selectExpr("account_id", "offer_id", "offer_type", "round(uplift, 4) AS score")
     out = _folder(w, "recommended")
     files.write_recommendations(serving.recommend(rows, 50), out)
     return w.spark.read.csv(out, header=True, schema="rank bigint, account_id string, offer_id string, offer_type string, score double")

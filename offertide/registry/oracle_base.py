@@ -45,6 +45,8 @@ log AS MATERIALIZED (
   UNION ALL SELECT account_id, 'offer viewed', t, ref, NULL, NULL FROM source WHERE event_type = 'view'
   UNION ALL SELECT account_id, 'offer completed', t, ref, NULL, v FROM source WHERE event_type = 'click'
   UNION ALL SELECT account_id, 'transaction', t, NULL, v, NULL FROM source WHERE event_type = 'purchase'
+  UNION ALL SELECT account_id, event_type, t, NULL, NULL, NULL FROM source
+    WHERE coalesce(event_type NOT IN ('signup', 'view', 'click', 'purchase'), true)
 ),
 receipts AS (SELECT account_id, offer_ref AS offer_id, time AS received_time FROM log WHERE event = 'offer received'),
 views AS (SELECT account_id, offer_ref AS offer_id, time AS view_time FROM log WHERE event = 'offer viewed'),

@@ -72,12 +72,13 @@ def raw_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def raw_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Nested raw log. Sends are snapped to five-day waves and made distinct."""
+    """Nested raw log. Sends are snapped to five-day waves and made distinct; other kinds keep their name."""
     kind = (
         F.when(F.col("event_type") == "signup", SENT)
         .when(F.col("event_type") == "view", SEEN)
         .when(F.col("event_type") == "click", DONE)
         .when(F.col("event_type") == "purchase", BOUGHT)
+        .otherwise(F.col("event_type"))
     )
     micros = F.expr(
         f"timestampdiff(MICROSECOND, timestamp_ntz'{START} 00:00:00', ts)"
@@ -85,7 +86,6 @@ def raw_events(spark: SparkSession, folder: str) -> DataFrame:
     number = F.regexp_extract("props", r"(\d+)", 1).cast("int") % CATALOGUE_ROWS
     log = (
         spark.read.parquet(f"{folder}/events.parquet")
-        .where(F.col("event_type").isin("signup", "view", "click", "purchase"))
         .select(
             F.col("user_id").cast("string").alias("account_id"),
             kind.alias("event"),
@@ -100,7 +100,7 @@ def raw_events(spark: SparkSession, folder: str) -> DataFrame:
         .distinct()
         .withColumn("v", F.lit(None).cast("double"))
     )
-    others = log.where(F.col("event") != SENT)
+    others = log.where(~F.col("event").eqNullSafe(SENT))
     event = F.col("event")
     return sends.unionByName(others).select(
         "account_id",
