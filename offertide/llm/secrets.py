@@ -1,11 +1,13 @@
 """Secret scans: fixed patterns, and a guess-cost search for values in credential contexts.
 
 Three patterns give the base spans. Beyond them, a value that stands where a password
-belongs (after pwd, passphrase, bearer and the like, or as the password of a URL) is cut
-into the pieces that make it cheapest to guess: words, dates, repeats, keyboard walks and
+belongs (after password, secret, token, pwd, bearer and the like, also at the end of a longer
+name, or as the password of a URL) is cut into the pieces that make it cheapest to guess: words, dates, repeats, keyboard walks and
 brute force. The cheapest cut is found by dynamic programming over its characters, and
 the value is a secret if even that cut takes LEAST_LOG10 or more powers of ten of guesses.
-Such spans are of kind "guess"; they never touch a base span, and base spans stay.
+Such spans are of kind "guess"; they never overlap a base span, and base spans stay. Of a
+value that a base span covers in part, the rest is a span: scored with the whole value if that
+is closed by a quote or is in a URL, and alone otherwise. Unquoted values end at , ; < or >.
 
 Offsets are code points, ends exclusive. A null text is empty and has no spans. Repeated rows
 are scanned alike. An empty table gives an empty result. Other columns are not looked at.
@@ -32,10 +34,11 @@ KINDS = ("assign", "access", "hex")
 
 # Where a credential stands besides the base patterns.
 CONTEXT = re.compile(
-    r"""\b(?:pwd|pass|passphrase|passcode|pin_code|credentials?|private_?key|access_?key|client_?key|auth_?key|bearer)["']?(?:\x20*[:=]\x20*|\x20+(?<=bearer\x20))["']?([^\s"'<>,;]{6,128})""",
+    r"""(?:password|passwd|secret|token|api[_-]?key|(?<![A-Z0-9])(?:pwd|pass|passphrase|passcode|pin_code|credentials?|(?:private|access|client|auth|secret)[_-]?key|bearer))"""
+    r"""["']?(?:\x20*[:=]\x20*|\x20+(?<=bearer\x20))(?="([^\s"]{6,128})"|'([^\s']{6,128})'|["']?([^\s"'<>,;]{6,128}))""",
     re.ASCII | re.IGNORECASE)
 USERINFO = re.compile(r"://[^\s/:@]{1,64}:([^\s/:@]{6,128})@")
-CONTEXT_WORDS = ("pwd", "pass", "pin_code", "credential", "key", "bearer")
+CONTEXT_WORDS = ("pwd", "pass", "pin_code", "credential", "key", "bearer", "secret", "token")
 LEAST_LOG10 = 9.0
 
 # Common words of passwords, by rank.
@@ -105,14 +108,26 @@ def guessed_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[in
     """Values in credential contexts that are hard to guess and outside the spans in `taken`."""
     lower, found = text.lower(), []
     if any(w in lower for w in CONTEXT_WORDS):
-        found += [m.span(1) for m in CONTEXT.finditer(text)]
+        found += [(*m.span(m.lastindex), m.lastindex < 3) for m in CONTEXT.finditer(text)]
     if "://" in text and "@" in text:
-        found += [m.span(1) for m in USERINFO.finditer(text)]
+        found += [(*m.span(1), True) for m in USERINFO.finditer(text)]
     out, last = [], -1
-    for a, b in sorted(set(found)):
-        clear = a >= last and all(b <= s or a >= e for s, _, e in taken)
-        if clear and guess_cost(text[a:b]) >= LEAST_LOG10:
-            out.append((a, b))
+    for a, b, closed in sorted(set(found)):
+        if a < last:
+            continue
+        inside = [(s, e) for s, _, e in taken if s < b and e > a]
+        rests, at = [], a
+        for s, e in inside:
+            if s > at:
+                rests.append((at, s))
+            at = max(at, e)
+        if at < b:
+            rests.append((at, b))
+        # Where a closing mark shows that all of it is the value, the value counts as a whole.
+        hard = bool(rests) and closed and guess_cost(text[a:b]) >= LEAST_LOG10
+        more = [(s, e) for s, e in rests if hard or guess_cost(text[s:e]) >= LEAST_LOG10]
+        if more:
+            out += more
             last = b
     return out
 

@@ -285,6 +285,23 @@ def test_secrets(spark):
     assert got[2]["spans"] == got[3]["spans"] == "" and got[2]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+@pytest.mark.parametrize("text, value", [
+    ('password = "x9$Kq7!pLz#Wm2"', "x9$Kq7!pLz#Wm2"), ("secret: !Vt8#qLz&92Kd", "!Vt8#qLz&92Kd"),
+    ("aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),
+    ("DB_PWD=kX92!qLw#77z", "kX92!qLw#77z"), ("x-api-key: $t7#Qm!z9Lw2", "$t7#Qm!z9Lw2"), ("auth_key: bearer $t7#Qm!z9Lw2", "$t7#Qm!z9Lw2"),
+    ("passwd='a;K9,x<2!vQz'", "a;K9,x<2!vQz")])
+def test_secrets_in_every_main_context(text, value):
+    assert secrets.base_spans(text) == []
+    assert [text[a:b] for a, b in secrets.guessed_spans(text, [])] == [value]
+
+
+def test_secrets_beside_a_base_span():
+    text = 'password: "Summer2024$Kq7!pL" token=abcdefgh12345) password = "letmein"'
+    base = secrets.base_spans(text)
+    assert [text[a:b] for a, _, b in base] == ['password: "Summer2024', "token=abcdefgh12345"]
+    assert [text[a:b] for a, b in secrets.guessed_spans(text, base)] == ["$Kq7!pL"]
+
+
 def test_guess_cost_prefers_structure():
     assert secrets.guess_cost("password") < 3 < secrets.guess_cost("kx7#Qz")
     assert secrets.guess_cost("qwertyuiop") < 6 and secrets.guess_cost("abcabcabcabc") < secrets.guess_cost("abxqcajwkcbe")
