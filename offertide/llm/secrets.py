@@ -2,12 +2,13 @@
 
 Three patterns give the base spans. Beyond them, a value that stands where a password
 belongs (after password, secret, token, pwd, bearer and the like, also at the end of a longer
-name, or as the password of a URL) is cut into the pieces that make it cheapest to guess: words, dates, repeats, keyboard walks and
-brute force. The cheapest cut is found by dynamic programming over its characters, and
+name, or as the password of a URL) is cut into the pieces that make it cheapest to guess:
+words, dates, repeats, keyboard walks and brute force. The cheapest cut is found by dynamic programming over its characters, and
 the value is a secret if even that cut takes LEAST_LOG10 or more powers of ten of guesses.
 Such spans are of kind "guess"; they never overlap a base span, and base spans stay. Of a
 value that a base span covers in part, the rest is a span: scored with the whole value if that
 is closed by a quote or is in a URL, and alone otherwise. Unquoted values end at , ; < or >.
+Values have no upper length; the search takes time in proportion to it.
 
 Offsets are code points, ends exclusive. A null text is empty and has no spans. Repeated rows
 are scanned alike. An empty table gives an empty result. Other columns are not looked at.
@@ -35,9 +36,9 @@ KINDS = ("assign", "access", "hex")
 # Where a credential stands besides the base patterns.
 CONTEXT = re.compile(
     r"""(?:password|passwd|secret|token|api[_-]?key|(?<![A-Z0-9])(?:pwd|pass|passphrase|passcode|pin_code|credentials?|(?:private|access|client|auth|secret)[_-]?key|bearer))"""
-    r"""["']?(?:\x20*[:=]\x20*|\x20+(?<=bearer\x20))(?="([^\s"]{6,128})"|'([^\s']{6,128})'|["']?([^\s"'<>,;]{6,128}))""",
+    r"""["']?(?:\x20*[:=]\x20*|\x20+(?<=bearer\x20))(?="([^\s"]{6,})"|'([^\s']{6,})'|["']?([^\s"'<>,;]{6,}))""",
     re.ASCII | re.IGNORECASE)
-USERINFO = re.compile(r"://[^\s/:@]{1,64}:([^\s/:@]{6,128})@")
+USERINFO = re.compile(r"://[^\s/:@]+:([^\s/:@]{6,})@")
 CONTEXT_WORDS = ("pwd", "pass", "pin_code", "credential", "key", "bearer", "secret", "token")
 LEAST_LOG10 = 9.0
 
@@ -63,7 +64,7 @@ def guess_cost(value: str) -> float:
     pool = np.log10(sum(size for size, found in (
         (26, re.search("[a-z]", value)), (26, re.search("[A-Z]", value)), (10, re.search("[0-9]", value)),
         (33, re.search("[^A-Za-z0-9]", value))) if found) or 1)
-    best = [0.0] + [float("inf")] * n
+    best, runs = [0.0] + [float("inf")] * n, {}
     for i in range(n):
         here = best[i]
         best[i + 1] = min(best[i + 1], here + pool)  # brute force, one character
@@ -75,13 +76,21 @@ def guess_cost(value: str) -> float:
         if m := _DATE.match(value, i):
             best[m.end()] = min(best[m.end()], here + np.log10(365 * 120 if m.end() - i > 4 else 120) + 1)
         for width in (1, 2, 3, 4):
+            # A repeat that begins later in the same run is tried only where it can be cheaper than
+            # the earlier one, so a long run is not walked from each of its characters.
+            from_, until = runs.get((width, i % width), (0, 0))
+            if i + width <= until and here - best[from_] >= np.log10((i - from_) // width + 1):
+                continue
             unit, j = plain[i:i + width], i + width
             if len(unit) < width:
                 break
+            if width > 1 and (unit == unit[0] * width or unit == unit[:2] * 2):
+                continue  # the shorter unit is cheaper
             while plain.startswith(unit, j):
                 j += width
                 if j - i >= 3:
                     best[j] = min(best[j], here + width * pool + np.log10((j - i) // width) + 0.5)
+            runs[width, i % width] = (i, j)
         for row in KEYBOARD_ROWS:
             for line in (row, row[::-1]):
                 at, j = line.find(plain[i]), i + 1

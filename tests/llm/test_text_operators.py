@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -302,6 +303,20 @@ def test_secrets_beside_a_base_span():
     assert [text[a:b] for a, b in secrets.guessed_spans(text, base)] == ["$Kq7!pL"]
 
 
+def test_secrets_of_any_length():
+    rnd = random.Random(5)
+    long = "$" + "".join(rnd.choice("abcXYZ0189-_!") for _ in range(319))
+    for text, value in ((f"bearer {long} end", long), (f"https://u:{long}@h", long), (f"https://{'u' * 99}:vX93kQpz71Lm@h", "vX93kQpz71Lm")):
+        assert [text[a:b] for a, b in secrets.guessed_spans(text, secrets.base_spans(text))] == [value]
+
+
+def test_guess_cost_of_long_repeats():
+    began = time.perf_counter()
+    assert secrets.guess_cost("a" * 30_000) < secrets.LEAST_LOG10 and secrets.guess_cost("ab1" * 10_000) < 10
+    assert secrets.guess_cost("password" * 4_000) > secrets.LEAST_LOG10
+    assert time.perf_counter() - began < 20
+
+
 def test_guess_cost_prefers_structure():
     assert secrets.guess_cost("password") < 3 < secrets.guess_cost("kx7#Qz")
     assert secrets.guess_cost("qwertyuiop") < 6 and secrets.guess_cost("abcabcabcabc") < secrets.guess_cost("abxqcajwkcbe")
