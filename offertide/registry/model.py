@@ -86,7 +86,7 @@ def _(w):
 @query("m4_conversion_metrics")
 def _(w):
     train, holdout = w.split
-    return conversion.train_and_measure(train, holdout, w.small_cfg)[1]
+    return conversion.train_and_measure(train, holdout, w.cfg)[1]
 
 
 @query("m5_conversion_probability")
@@ -111,7 +111,7 @@ def _(w):
 @query("m7_effect_trees")
 def _(w):
     train, holdout = w.split
-    return effect.EffectModel(w.small_cfg).fit(train).score(holdout).select(*GRAIN, *effect.STAGES, "tau", "uncertainty")
+    return effect.EffectModel(w.cfg).fit(train).score(holdout).select(*GRAIN, *effect.STAGES, "tau", "uncertainty")
 
 
 @query("m8_effect", f"SELECT {_G}, offer_type, tau AS uplift FROM effects", "received_time uplift", _EFFECT)
@@ -154,7 +154,7 @@ def _folder(w, name: str) -> str:
 def _(w):
     path, holdout = _folder(w, "model"), w.split[1]
     w.blended.save(path, w.spark)
-    again = blended.BlendedModel.load(w.spark, w.small_cfg, path)
+    again = blended.BlendedModel.load(w.spark, w.cfg, path)
     before = w.blended.score(holdout).select(*GRAIN, F.col("score").alias("before"))
     after = again.score(holdout).select(*GRAIN, F.col("score").alias("after"))
     return before.join(after, list(GRAIN)).select(*GRAIN, (F.col("before") - F.col("after")).alias("difference"))
@@ -205,7 +205,7 @@ def _(w):
 
 @query("v5_attach_scores")
 def _(w):
-    return blended.attach_scores(w.serving_frame, w.blended, w.small_cfg).select(
+    return blended.attach_scores(w.serving_frame, w.blended, w.cfg).select(
         "account_id", "offer_id", "offer_type", "uplift", "p_convert", "uncertainty", "score_dynamic", "quadrant")
 
 
@@ -229,7 +229,7 @@ def _(w):
 def _(w):
     processed = _folder(w, "processed")
     files.write_processed(w.processed, processed)
-    model = jobs.train(w.spark, processed, _folder(w, "model"), w.small_cfg)
+    model = jobs.train(w.spark, processed, _folder(w, "model"), w.cfg)
     return model.components(w.split[1]).select(*GRAIN, "uplift", "p_convert")
 
 
@@ -238,7 +238,7 @@ def _(w):
     path = _folder(w, "model")
     w.blended.save(path, w.spark)
     out = _folder(w, "recommended")
-    jobs.recommend(w.spark, _raw_folder(w), path, w.small_cfg, 100, out=out)
+    jobs.recommend(w.spark, _raw_folder(w), path, w.cfg, 100, out=out)
     return w.spark.read.csv(out, header=True, schema="rank bigint, account_id string, offer_id string, offer_type string, score double")
 
 
@@ -262,7 +262,7 @@ def _(w):
     model, processed = _folder(w, "model"), _folder(w, "processed")
     w.blended.save(model, w.spark)
     files.write_processed(w.processed, processed)
-    return jobs.publish(w.spark, _raw_folder(w), processed, model, _folder(w, "published"), w.small_cfg)["metadata"]
+    return jobs.publish(w.spark, _raw_folder(w), processed, model, _folder(w, "published"), w.cfg)["metadata"]
 
 
 @query("s7_write_scored_tables", """SELECT 'matrix' AS name, (SELECT count(*) FROM profile) * (SELECT count(*) FROM offers) AS rows

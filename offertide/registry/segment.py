@@ -47,8 +47,7 @@ def _(w):
 
 @query("g3_scan_k")
 def _(w):
-    cfg = w.cfg.but(cluster_restarts=2, cluster_k_max=4)
-    return segments.scan_k(segments.design_matrix(w.clients, cfg), cfg)
+    return segments.scan_k(segments.design_matrix(w.clients, w.cfg), w.cfg)
 
 
 @query("g4_choose_k", """SELECT arg_max(k, s)::INT AS k FROM (
@@ -62,8 +61,7 @@ def _(w):
 
 @query("g5_fit_clusters")
 def _(w):
-    cfg = w.cfg.but(cluster_restarts=2)
-    return segments.fit_clusters(segments.design_matrix(w.clients, cfg), 3, cfg)[0]
+    return segments.fit_clusters(segments.design_matrix(w.clients, w.cfg), 3, w.cfg)[0]
 
 
 @query("g6_assign_segments", "SELECT account_id, segment FROM segments", "", _SEGMENTS)
@@ -148,6 +146,5 @@ def _(w):
 
 @query("g13_centroids")
 def _(w):
-    cfg = w.cfg.but(cluster_restarts=2)
-    design = segments.design_matrix(w.clients, cfg)
-    return segments.centroids(segments.fit_clusters(design, 3, cfg)[1], design)
+    design = segments.design_matrix(w.clients, w.cfg)
+    return segments.centroids(segments.fit_clusters(design, 3, w.cfg)[1], design)

@@ -123,11 +123,6 @@ class Workspace:
         return written(
             serving.add_hash_score(quadrant.add_quadrant(scored, self.cfg), self.cfg.seed), "scored-holdout")
 
-    @cached_property
-    def small_cfg(self):
-        """Few small trees: enough to exercise every stage."""
-        return self.cfg.but(effect_trees=4, effect_depth=3, conversion_trees=4, conversion_depth=3, tree_min_rows=5)
-
     @cached_property
     def cell_effect(self) -> EffectModel:
         train, _ = self.split
@@ -136,7 +131,7 @@ class Workspace:
     @cached_property
     def blended(self) -> BlendedModel:
         train, _ = self.split
-        return BlendedModel(self.small_cfg).fit(train)
+        return BlendedModel(self.cfg).fit(train)
 
     @property
     def clients(self) -> DataFrame:

@@ -7,7 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from offertide.models import effect
+from offertide.operators import segments
+from offertide.registry import workspace as workspace_module
 from offertide.registry.workspace import workspace
+from offertide.settings import Settings
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("part", "customer", "events")
@@ -61,6 +65,26 @@ def _compare(spark, duck, name, folder):
     assert have == want and have
 
 
+def test_models_and_clusters_run_at_the_configured_size(spark, monkeypatch):
+    ws, seen = workspace(spark, f"{FOLDER}/./."), []
+
+    class Stop(Exception):
+        pass
+
+    def spy(*args, **_):
+        seen.append(next(a for a in args if isinstance(a, Settings)))
+        raise Stop
+
+    for owner, name in ((segments, "scan_k"), (segments, "fit_clusters"), (effect, "EffectModel"), (workspace_module, "BlendedModel")):
+        monkeypatch.setattr(owner, name, spy)
+    for query in ("g3_scan_k", "g5_fit_clusters", "g13_centroids", "m7_effect_trees"):
+        with pytest.raises(Stop):
+            entry.queries()[query](spark, ws.folder)
+    with pytest.raises(Stop):
+        ws.blended
+    assert len(seen) == 5 and all(cfg == ws.cfg for cfg in seen)
+
+
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() == 3
     assert set(entry.oracle_sql()) <= set(entry.queries())
