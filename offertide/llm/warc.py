@@ -11,7 +11,7 @@ Payloads under MIN_REVISIT bytes are always responses. Of equal payloads the sma
 id, null last, is the response; a repeated row is a revisit of its copy. Null html is an
 empty payload; a null url is "about:blank". An empty table gives an empty result.
 
-`pages` is read twice and its rows are told apart by their place, so it must be a stored table.
+`pages` is read once: its rows are stored with their numbers, and all records are built from those.
 """
 
 from __future__ import annotations
@@ -64,17 +64,15 @@ def _record(kind: str, headers, block) -> Column:
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write three records per row of `pages(page_id, url, html)`."""
     html = text_or_empty("html")
-    keyed = written(pages.select(
+    # Stored once: a row's number depends on how the input is split, so it may be taken from one read only.
+    wide = written(pages.select(
         F.col("page_id").alias("_page"), F.monotonically_increasing_id().alias("_row"),
-        F.sha2(F.encode(html, "UTF-8"), 256).alias("_sha"), F.octet_length(html).alias("_bytes")), "warc-keys")
+        F.coalesce("url", F.lit("about:blank")).alias("_url"), html.alias("_html"),
+        F.sha2(F.encode(html, "UTF-8"), 256).alias("_sha"), F.octet_length(html).alias("_bytes")), "warc-rows")
     order = F.struct(F.col("_page").isNull().alias("none"), F.col("_page").alias("page"), F.col("_row").alias("row"))
-    groups = written(keyed.where(F.col("_bytes") >= MIN_REVISIT).groupBy("_sha").agg(
+    groups = written(wide.where(F.col("_bytes") >= MIN_REVISIT).groupBy("_sha").agg(
         F.count("*").alias("_n"), F.min(order).alias("_first")).where("_n > 1"), "warc-groups")
-    wide = pages.select(
-        F.col("page_id").alias("_page"), F.monotonically_increasing_id().alias("_row"),
-        F.coalesce("url", F.lit("about:blank")).alias("_url"), html.alias("_html"),
-        F.sha2(F.encode(html, "UTF-8"), 256).alias("_sha"))
-    rows = attach_groups(wide, groups, ["_sha"], "_n", keyed.count())
+    rows = attach_groups(wide, groups, ["_sha"], "_n", wide.count())
     rows = rows.withColumn("_again", F.col("_n").isNotNull() & (F.col("_first.row") != F.col("_row")))
     rows = rows.withColumns({"_first_page": F.col("_first.page"), "_first_row": F.col("_first.row"),
                              "_head": F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),

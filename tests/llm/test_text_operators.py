@@ -286,6 +286,28 @@ def test_secrets(spark):
     assert got[2]["spans"] == got[3]["spans"] == "" and got[2]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_warc_does_not_depend_on_how_the_input_is_split(spark, tmp_path, monkeypatch):
+    rows = [(100 - k, f"http://h/{k}", f"{'x' * 120}{k % 5}") for k in range(60)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6).write.parquet(str(tmp_path / "pages"))
+    key, store = "spark.sql.files.minPartitionNum", warc.written
+
+    def stored_and_split_anew(*args):
+        out = store(*args)
+        spark.conf.set(key, "6")
+        return out
+
+    monkeypatch.setattr(warc, "written", stored_and_split_anew)
+    spark.conf.set(key, "1")
+    try:
+        got = warc.capture_report(spark.read.parquet(str(tmp_path / "pages")), str(tmp_path / "warc")).collect()
+    finally:
+        spark.conf.unset(key)
+    first = {k: min(p for p, _, h in rows if h[-1] == str(k)) for k in range(5)}
+    want = {p: None if p == first[int(h[-1])] else first[int(h[-1])] for p, _, h in rows}
+    assert {r["page_id"]: r["refers_to"] for r in got} == want
+    assert all((r["record_type"] == "response") == (want[r["page_id"]] is None) for r in got)
+
+
 @pytest.mark.parametrize("text, value", [
     ('password = "x9$Kq7!pLz#Wm2"', "x9$Kq7!pLz#Wm2"), ("secret: !Vt8#qLz&92Kd", "!Vt8#qLz&92Kd"),
     ("aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),
