@@ -390,6 +390,13 @@ def _remaining_pairs(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per row of `df`: id, n_shingles, component_id, and _text_hash of the row."""
+    return _grouped(df, id_col, text_col, sample_rows).select(
+        F.col("_id").alias(id_col), F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", F.col("_id")).alias("component_id"), F.col("k").alias("_text_hash"))
+
+
+def _grouped(df: DataFrame, id_col: str, text_col: str, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """_id, k (hash of id and text) and n of each row; of its group, if it has several rows, the first id and k, null ids last."""
     spark = df.sparkSession
     keyed = df.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
     texts = keyed.select("k", "text")
@@ -420,16 +427,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = _with_root(docs.drop("sketch"), roots, "node", "_group")
     ids = written(keyed.select("k", "_id").join(named.dropDuplicates(["k"]), "k"), "jaccard-documents")
     groups = written(ids.where("n > 0").groupBy("_group").agg(
-        F.count("*").alias("_n"), F.min("_id").alias("component_id")).where("_n > 1"), "jaccard-groups")
-    out = attach_groups(ids, groups, ["_group"], "_n", total)
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"),
-                      F.coalesce("component_id", F.col("_id")).alias("component_id"), F.col("k").alias("_text_hash"))
+        F.count("*").alias("_n"), F.min("_id").alias("component_id"),
+        F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("k").alias("k")))["k"].alias("_kept"),
+    ).where("_n > 1"), "jaccard-groups")
+    return attach_groups(ids, groups, ["_group"], "_n", total)
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `df` without those that are near duplicates of a row with a smaller id."""
-    found = near_duplicates(df, id_col, text_col)
-    dropped = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select("_text_hash").distinct()
+    """One row of each group of near duplicates: the smallest id, null last, then by a hash of the text. Other rows stay."""
+    found = _grouped(df, id_col, text_col).where("_kept IS NOT NULL").select("k", (F.col("k") == F.col("_kept")).alias("first"))
+    dropped = found.where("NOT first").select(F.col("k").alias("_text_hash")).distinct()
     keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all"),
                       F.xxhash64(id_col, text_col).alias("_text_hash"))
-    return keyed.join(dropped, "_text_hash", "left_anti").select("_all.*")
+    rest = keyed.join(dropped, "_text_hash", "left_anti")
+    repeated = written(found.where("first").groupBy(F.col("k").alias("_text_hash")).count().where("count > 1").drop("count"),
+                       "jaccard-repeated")
+    if not repeated.isEmpty():  # rows with the same id and text
+        rest = rest.join(repeated, "_text_hash", "left_anti").unionByName(
+            rest.join(repeated, "_text_hash", "left_semi").dropDuplicates(["_text_hash"]))
+    return rest.select("_all.*")

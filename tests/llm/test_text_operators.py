@@ -357,6 +357,16 @@ def test_preferences(spark):
     assert got[2]["common_turns"] == 1 and got[2]["chosen_completion"] == "" == got[2]["rejected_completion"]
 
 
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    def near(name, k):
+        return " ".join(f"{name}{i}" for i in range(60)) + f" end{k}"
+
+    rows = [(1, near("a", 1)), (1, near("a", 2)), (2, near("a", 3)), (None, near("a", 4)),
+            (None, near("b", 1)), (None, near("b", 2)), (None, near("b", 3)), (7, near("c", 1)), (7, near("c", 1)), (8, near("d", 1)), (9, ""), (10, "")]
+    got = jaccard.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["text"][:1], r["doc_id"] or 0) for r in got) == [("", 9), ("", 10), ("a", 1), ("b", 0), ("c", 7), ("d", 8)]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     for f in (jaccard.near_duplicates, exact_dedup.duplicate_report, exact_dedup.drop_exact_duplicates, packing.pack, mixing.mix,
