@@ -12,7 +12,7 @@ from offertide.llm import exact_dedup, jaccard, language, mixing, packing
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those without letters or in doubt go."""
+    """Documents whose language is recognised; those without letters or nearly tied go."""
     return language.keep_identified(docs)
 
 

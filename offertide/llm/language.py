@@ -9,7 +9,9 @@ become one space. Whole texts are scored, long ones in segments.
 
 A text that is null or has no letter is "und" with score 0. Ties go to the language that
 sorts first. Without any labelled text everything is "und". The score is the posterior
-probability of the predicted language. Repeated rows are scored alike. An empty table
+probability of the predicted language among the learned ones only: it is near 1 for nearly any
+text of more than a few words, so `keep_identified` in effect rejects texts without letters and
+near ties, not texts in a language that was not learned, nor letter noise. Repeated rows are scored alike. An empty table
 gives an empty result. Other columns are not looked at.
 """
 
@@ -159,7 +161,7 @@ def language_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_identified(df: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
                     lang_col: str = "lang") -> DataFrame:
-    """The rows whose language is known with a probability of at least `least`, as they are."""
+    """The rows whose language has a posterior of at least `least` among the learned ones, as they are."""
     labelled = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     model = train(labelled.where(~held_out("_id")), "_id", "_text", "_lang")
     wide = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all"), F.col(text_col).alias("_text"))
