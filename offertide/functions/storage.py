@@ -38,7 +38,16 @@ def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataF
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    table = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    table._written_at = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that `written` returned, after its last use."""
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(table._written_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_or_same(df: DataFrame, limit: int) -> tuple[DataFrame, bool]:
