@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +78,18 @@ def connected(edges: DataFrame, rounds: int | None = None, most_rounds: int = 60
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
+def slices(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to `most` at most, or single rows."""
+    at, total = 0, 0
+    for k, n in enumerate(sizes):
+        if k > at and total + n > most:
+            yield at, k
+            at, total = k, 0
+        total += n
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
 def hash_unit(*keys) -> Column:
     """Uniform in (0, 1), decided by the keys alone; in 52 bits of md5, so that SQL can repeat it."""
     from offertide.functions.draws import keyed_uniform
@@ -87,4 +99,4 @@ def hash_unit(*keys) -> Column:
 
 
 __all__ = ["BROADCAST_ROWS", "NO_SPACES", "SPACES", "attach_groups", "connected", "hash_unit",
-           "table", "text_or_empty", "written"]
+           "slices", "table", "text_or_empty", "written"]

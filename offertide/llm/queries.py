@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offertide.llm import exact_dedup, jaccard, language, mixing, packing, preferences, secrets, sharding, topk, warc
+from offertide.llm import (
+    codes, exact_dedup, jaccard, language, mixing, packing, preferences, resampling, secrets, sentencepieces, sharding, topk, warc,
+)
 from offertide.llm.common import table
+from offertide.llm.sql import codes_sql, resampling_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,9 +56,24 @@ def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents")).drop("_text_hash")
 
 
+def op11_sentencepieces(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    both = sentencepieces.decode(sentencepieces.encode(docs, keep=["doc_id"]))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codes.code_report(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_packing, op2_mixing, op3_preference_pairs, op4_language, op5_exact_dedup, op6_sharding, op7_top_k,
-    op8_warc, op9_secrets, op10_jaccard)}
+    op8_warc, op9_secrets, op10_jaccard, op11_sentencepieces, op12_resampling, op13_vector_codes)}
 
 _TURN = r"'<|' || role || E'|>\n' || text || E'<|end|>\n'"
 
@@ -124,4 +142,6 @@ ORACLES: dict[str, str] = {
             CASE WHEN bytes >= 100 AND page_id <> first THEN first END AS refers_to, true AS has_request, true AS has_metadata
         FROM (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS bytes, sha256(coalesce(html, '')) AS sha,
                 min(page_id) OVER (PARTITION BY html) AS first FROM pages)""",
+    "op12_resampling": resampling_sql(),
+    "op13_vector_codes": codes_sql(),
 }
