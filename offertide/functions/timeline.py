@@ -20,6 +20,8 @@ from offertide.functions.storage import written
 _SEGMENT = "_segment"
 _CUTS = "_cuts"
 _BROADCAST_KEYS = 10_000
+SPREAD = 64
+"""Places over which the rows of a hot key are dealt in joins."""
 
 
 @dataclass(frozen=True)
@@ -50,16 +52,34 @@ class HotKeys:
     few: bool = True
     """Whether the table is small enough to be sent to every executor; else it is joined by shuffle."""
 
+    def matched(self, rows: DataFrame, marks: DataFrame) -> DataFrame:
+        """`rows` with the columns of `marks`, a part of the table, where their key is hot.
+
+        Marks are broadcast while they are few. Beyond that they are repeated SPREAD times and the
+        rows dealt by a hash of the whole row, so a hot key doesn't meet in one task.
+        """
+        key = marks.columns[0]
+        if self.few:
+            return rows.join(F.broadcast(marks), key, "left")
+        dealt = rows.withColumn("_dealt", spread(rows.columns))
+        every = marks.withColumn("_dealt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        return dealt.join(every, [key, "_dealt"], "left").drop("_dealt")
+
     def tag(self, rows: DataFrame, at: str) -> DataFrame:
         cuts = F.col(_CUTS)
         segment = F.size(F.filter(cuts, lambda c: c < F.col(at)))
         return (
-            rows.join(F.broadcast(self.table) if self.few else self.table, self.key, "left")
+            self.matched(rows, self.table)
             .withColumn(_SEGMENT, F.coalesce(F.when(cuts.isNotNull(), segment), F.lit(-1)))
             .drop(_CUTS)
         )
 
 
+def spread(columns: Sequence[str]) -> Column:
+    """One of SPREAD places for a row, by all its values."""
+    return F.pmod(F.xxhash64(*columns), F.lit(SPREAD)).cast("int")
+
+
 def find_hot_keys(rows: DataFrame, key: str, at: str, rows_per_task: int) -> HotKeys | None:
     """The keys with more than `rows_per_task` rows, or None when there is none.
 
@@ -73,11 +93,11 @@ def find_hot_keys(rows: DataFrame, key: str, at: str, rows_per_task: int) -> Hot
     if not classes:
         return None
     few = hot.limit(_BROADCAST_KEYS + 1).count() <= _BROADCAST_KEYS
+    marked = HotKeys(key, hot, few).matched(rows.select(key, at), hot.select(key, "_class"))
     cuts = None
     for c in classes:
         steps = [i / 2**c for i in range(1, 2**c)]
-        own = hot.where(F.col("_class") == c).select(key)
-        part = rows.join(F.broadcast(own) if few else own, key, "left_semi").groupBy(key).agg(
+        part = marked.where(F.col("_class") == c).groupBy(key).agg(
             F.array_distinct(F.percentile_approx(at, steps, 10_000)).alias(_CUTS))
         cuts = part if cuts is None else cuts.unionByName(part)
     return HotKeys(key, written(cuts, "hot-cuts"), few)

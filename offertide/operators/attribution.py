@@ -4,7 +4,10 @@ A view or purchase at time t belongs to the receipt that wins the priority among
 those whose closed validity interval contains t. Offers with equal duration and
 equal minimum spend form a class; inside a class the order of the interval starts
 is the order of the interval ends, so the winner is a running minimum along the
-account's time line. One sorted pass replaces the receipt x purchase pairs.
+account's time line. The class is a key of the sweep: a purchase is sent to those
+classes that its account holds and whose minimum it meets, and the winner over the classes is
+reduced per purchase. So the plan is the same for any catalogue, and one sorted pass
+replaces the receipt x purchase pairs.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from offertide.functions.joins import keyed_join
 from offertide.functions.timeline import HotKeys, Run, scan
 from offertide.operators import clean
 from offertide.settings import EARLIEST, GRAIN, LATEST, Settings
@@ -67,44 +71,43 @@ def owned_views(received: DataFrame, viewed: DataFrame, cfg: Settings,
     )
 
 
-def owned_transactions(received: DataFrame, bought: DataFrame, offers: DataFrame, cfg: Settings,
+def owned_transactions(received: DataFrame, bought: DataFrame, cfg: Settings,
                        hot: HotKeys | None = None) -> DataFrame:
     """Each eligible transaction with the single receipt that owns it.
 
     The minimum spend is applied before ownership: an offer whose minimum is not
     met never competes for the purchase.
     """
-    classes = offer_classes(offers, cfg)
+    terms = ["duration", "min_value"]
     begins = received.where("valid_until IS NOT NULL AND min_value IS NOT NULL").selectExpr(
-        "account_id", f"{_sort_time(cfg)} AS at", "0 AS kind", "CAST(NULL AS DOUBLE) AS txn_amount",
+        "account_id", *terms, f"{_sort_time(cfg)} AS at", "0 AS kind", "CAST(NULL AS DOUBLE) AS txn_amount",
+        "CAST(NULL AS BIGINT) AS copies",
         f"named_struct('start', {_signed(cfg, 'received_time')}, 'offer_id', offer_id) AS receipt",
-        "duration", "min_value",
     )
-    spent = bought.selectExpr(
-        "account_id", "txn_time AS at", "1 AS kind", "txn_amount",
+    spent = _sent_to(bought, begins.select("account_id", *terms).distinct(), hot).selectExpr(
+        "account_id", *terms, "txn_time AS at", "1 AS kind", "txn_amount", "copies",
         "CAST(NULL AS struct<start: double, offer_id: string>) AS receipt",
-        "CAST(NULL AS DOUBLE) AS duration", "CAST(NULL AS DOUBLE) AS min_value",
     )
-    runs = [
-        Run(f"best_{i}", "min", f"CASE WHEN {_in_class(c)} THEN receipt END")
-        for i, c in enumerate(classes)
-    ]
-    candidates = [
-        f"CASE WHEN txn_amount >= {minimum!r}D "
-        f"AND {_contains(cfg, _signed(cfg, f'best_{i}.start'), f'{duration!r}D')} THEN best_{i} END"
-        for i, (duration, minimum) in enumerate(classes)
-    ]
-    owner = f"array_min(array({', '.join(candidates)}))" if classes else "CAST(NULL AS struct<start: double, offer_id: string>)"
+    swept = _sweep(begins.unionByName(spent), ["account_id", *terms], [Run("best", "min", "receipt")], cfg, hot)
     return (
-        _sweep(begins.unionByName(spent), ["account_id"], runs, cfg, hot)
-        .where("kind = 1")
-        .selectExpr("account_id", "at AS txn_time", "txn_amount", f"{owner} AS owner")
-        .where("owner IS NOT NULL")
+        swept.where(f"kind = 1 AND {_contains(cfg, _signed(cfg, 'best.start'), 'duration')}")
+        .groupBy("account_id", F.col("at").alias("txn_time"), "txn_amount")
+        .agg(F.min("best").alias("owner"), F.max("copies").alias("copies"))
         .selectExpr("account_id", "owner.offer_id AS offer_id",
-                    f"{_signed(cfg, 'owner.start')} AS received_time", "txn_time", "txn_amount")
+                    f"{_signed(cfg, 'owner.start')} AS received_time", "txn_time", "txn_amount",
+                    "explode(sequence(1L, copies)) AS copy").drop("copy")
     )
 
 
+def _sent_to(bought: DataFrame, held: DataFrame, hot: HotKeys | None) -> DataFrame:
+    """Purchases, equal ones counted as copies, for each class of their account whose minimum they meet.
+
+    An account holds at most as many classes as the catalogue has distinct terms.
+    """
+    distinct = bought.groupBy("account_id", "txn_time", "txn_amount").agg(F.count(F.lit(1)).alias("copies"))
+    return keyed_join(distinct, held, "account_id", hot, "inner").where("txn_amount >= min_value")
+
+
 def first_transactions(owned: DataFrame) -> DataFrame:
     """The first owned purchase of each receipt (smaller amount first at equal times)."""
     return (
@@ -118,36 +121,28 @@ def first_transactions(owned: DataFrame) -> DataFrame:
     )
 
 
-def candidate_transactions(received: DataFrame, bought: DataFrame, offers: DataFrame, cfg: Settings,
-                           hot: HotKeys | None = None) -> DataFrame:
+def candidate_transactions(received: DataFrame, bought: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Transactions with at least one receipt that is valid and whose minimum is met.
 
-    `n_candidates` counts those receipts: per offer class, intervals opened minus
+    `n_candidates` counts those receipts: per minimum spend, intervals opened minus
     intervals closed along the account's time line.
     """
-    classes = offer_classes(offers, cfg)
     known = received.where("valid_until IS NOT NULL AND min_value IS NOT NULL")
     edges = known.selectExpr(
-        "account_id", "duration", "min_value", "CAST(NULL AS DOUBLE) AS txn_amount",
+        "account_id", "min_value", "CAST(NULL AS DOUBLE) AS txn_amount", "CAST(NULL AS BIGINT) AS copies",
         "inline(array(named_struct('at', received_time, 'kind', 0, 'step', 1),"
         " named_struct('at', valid_until, 'kind', 2, 'step', -1)))",
     )
-    spent = bought.selectExpr(
-        "account_id", "CAST(NULL AS DOUBLE) AS duration", "CAST(NULL AS DOUBLE) AS min_value",
-        "txn_amount", "txn_time AS at", "1 AS kind", "CAST(NULL AS INT) AS step",
+    spent = _sent_to(bought, known.select("account_id", "min_value").distinct(), hot).selectExpr(
+        "account_id", "min_value", "txn_amount", "copies", "txn_time AS at", "1 AS kind", "CAST(NULL AS INT) AS step",
     )
-    runs = [
-        Run(f"open_{i}", "sum", f"CASE WHEN {_in_class(c)} THEN step END") for i, c in enumerate(classes)
-    ]
-    swept = scan(edges.unionByName(spent), ["account_id"], "at ASC, kind ASC", runs, hot)
-    total = " + ".join(["0L"] + [
-        f"CASE WHEN txn_amount >= {minimum!r}D THEN coalesce(open_{i}, 0L) ELSE 0L END"
-        for i, (_, minimum) in enumerate(classes)
-    ])
+    swept = scan(edges.unionByName(spent), ["account_id", "min_value"], "at ASC, kind ASC",
+                 [Run("n_open", "sum", "step")], hot)
     return (
-        swept.where("kind = 1")
-        .selectExpr("account_id", "at AS txn_time", "txn_amount", f"{total} AS n_candidates")
-        .where("n_candidates > 0")
+        swept.where("kind = 1 AND n_open > 0")
+        .groupBy("account_id", F.col("at").alias("txn_time"), "txn_amount")
+        .agg(F.sum("n_open").alias("n_candidates"), F.max("copies").alias("copies"))
+        .selectExpr("account_id", "txn_time", "txn_amount", "n_candidates", "explode(sequence(1L, copies)) AS copy").drop("copy")
     )
 
 
@@ -166,7 +161,7 @@ def attribute(events: DataFrame, offers: DataFrame, cfg: Settings,
     """One row per receipt with its first view and its first owned purchase."""
     base = with_validity(clean.receipts(events), offers)
     seen = owned_views(base, clean.views(events), cfg, hot)
-    bought = owned_transactions(base, clean.transactions(events), offers, cfg, hot)
+    bought = owned_transactions(base, clean.transactions(events), cfg, hot)
 
     # Receipts, views and purchases meet in one aggregation on the grain. A grain
     # that was sent twice is counted and repeated, as a join would do.
@@ -221,15 +216,6 @@ def add_recurrence_flag(df: DataFrame, cfg: Settings, hot: HotKeys | None = None
     )
 
 
-def offer_classes(offers: DataFrame, cfg: Settings) -> list[tuple[float, float]]:
-    """Distinct (duration, minimum spend) of the catalogue."""
-    terms = offers.selectExpr("CAST(duration AS DOUBLE)", "CAST(min_value AS DOUBLE)")
-    rows = terms.limit(cfg.small_table_rows + 1).collect()
-    if len(rows) > cfg.small_table_rows:
-        rows = terms.distinct().collect()
-    return sorted({(r[0], r[1]) for r in rows if r[0] is not None and r[1] is not None})
-
-
 def _signed(cfg: Settings, start: str) -> str:
     """Smaller is better; applied twice it gives the start time back."""
     return f"(-{start})" if cfg.attribution_priority == LATEST else start
@@ -251,6 +237,3 @@ def _sweep(rows: DataFrame, keys: list[str], runs: list[Run], cfg: Settings,
     order = "at DESC, kind ASC" if back else "at ASC, kind ASC"
     return scan(rows, keys, order, runs, hot, descending=back)
 
-
-def _in_class(terms: tuple[float, float]) -> str:
-    return f"duration = {terms[0]!r}D AND min_value = {terms[1]!r}D"

@@ -31,21 +31,21 @@ def decision_time(events: DataFrame, given: float | None = None) -> DataFrame:
 
 
 def scoring_grain(profile: DataFrame, active_offers: DataFrame, at: float) -> DataFrame:
-    """Every customer with every active offer at one moment (the catalogue is small)."""
+    """Every customer with every active offer at one moment."""
     offers = active_offers.selectExpr("id AS offer_id")
     return profile.select("account_id").crossJoin(offers).selectExpr(
         "account_id", "offer_id", f"{float(at)!r}D AS received_time")
 
 
 def build_scoring_frame(events: DataFrame, offers: DataFrame, profile: DataFrame, at: float, cfg: Settings,
-                        active_ids: Sequence[str] | None = None, receipts: DataFrame | None = None,
+                        active: DataFrame | None = None, receipts: DataFrame | None = None,
                         hot: HotKeys | None = None) -> DataFrame:
     """Contract rows for every (customer, active offer), with history up to `at`.
 
     History is computed once per customer and only then combined with the offers.
     Concurrency counts the other offers of the grid, unless real `receipts` are given.
     """
-    active = offers if active_ids is None else offers.where(F.col("id").isin(list(active_ids)))
+    active = offers if active is None else active
     moments = profile.selectExpr("account_id", f"{float(at)!r}D AS received_time")
     blocks = ALL_BLOCKS if receipts is not None else tuple(b for b in ALL_BLOCKS if b != ACTIVE)
     past = history(moments, events, offers, blocks, receipts, hot)
@@ -162,6 +162,11 @@ def measured_gain(holdout: DataFrame, offer_types: Sequence[str], quadrants: Seq
     return at_budgets(gain_curves(kept, STRATEGY_COLUMNS), budgets)
 
 
-def active_offer_ids(offers: DataFrame) -> list[str]:
-    """Ids of the offers the models know: those that pay a discount."""
-    return [r[0] for r in offers.where(F.col("offer_type").isin(*PAID_TYPES)).select("id").collect()]
+def sent_offers(offers: DataFrame, receipts: DataFrame) -> DataFrame:
+    """Catalogue rows of the offers that have ever been sent: the active ones."""
+    return offers.join(receipts.select(F.col("offer_id").alias("id")).distinct(), "id", "left_semi").select(*offers.columns)
+
+
+def paid_offers(offers: DataFrame) -> DataFrame:
+    """Catalogue rows of the types that are worth a recommendation."""
+    return offers.where(F.col("offer_type").isin(*PAID_TYPES))

@@ -52,7 +52,7 @@ def recommend(spark: SparkSession, raw_folder: str, model_path: str, cfg: Settin
     offers, profile, log = _raw(spark, raw_folder, cfg, multi_line)
     at = serving.decision_time(log, decision_time).first()[0]
     frame = written(serving.build_scoring_frame(
-        log, offers, profile, at, cfg, serving.active_offer_ids(offers), hot=hot_accounts(log, cfg)), "scoring")
+        log, offers, profile, at, cfg, serving.paid_offers(serving.sent_offers(offers, clean.receipts(log))), hot=hot_accounts(log, cfg)), "scoring")
     scored = written(model.score(frame).select("account_id", "offer_id", "offer_type", "score"), "scores")
     chosen = serving.recommend(scored, budget or cfg.predict_budget, model.cfg.blend_temperature, model.cfg.seed)
     if out:
@@ -66,7 +66,8 @@ def publish(spark: SparkSession, raw_folder: str, processed_path: str, model_pat
     model = BlendedModel.load(spark, cfg, model_path, learner)
     offers, profile, log = _raw(spark, raw_folder, cfg, multi_line)
     at = serving.decision_time(log).first()[0]
-    frame = written(serving.build_scoring_frame(log, offers, profile, at, cfg, hot=hot_accounts(log, cfg)), "scoring")
+    frame = written(serving.build_scoring_frame(
+        log, offers, profile, at, cfg, serving.sent_offers(offers, clean.receipts(log)), hot=hot_accounts(log, cfg)), "scoring")
     matrix = written(attach_scores(frame, model, cfg).select(
         "account_id", "offer_id", "offer_type", "uplift", "p_convert", "uncertainty", "score_dynamic", "quadrant"),
         "matrix")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from offertide.functions.joins import keyed_join
 from offertide.functions.ranked import numbered
 from offertide.functions.storage import small_or_same, written
 from offertide.functions.timeline import HotKeys, find_hot_keys
@@ -14,8 +15,6 @@ from offertide.operators.contract import enforce_schema
 from offertide.operators.features import add_features
 from offertide.settings import Settings
 
-_SALTS = 64
-
 
 def campaign_waves(df: DataFrame, cfg: Settings) -> DataFrame:
     """0-based dense rank of the distinct send times.
@@ -37,19 +36,7 @@ def add_campaign_wave(df: DataFrame, waves: DataFrame) -> DataFrame:
 
 def join_profile(df: DataFrame, profile: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Profile columns by account; the rows of a hot account are spread over salts."""
-    if hot is None:
-        return df.join(profile, "account_id", "left")
-    marks = hot.table.select(hot.key, F.lit(True).alias("_hot"))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("offer_id", "received_time"), F.lit(_SALTS)))
-    left = df.join(F.broadcast(marks), "account_id", "left").withColumn(
-        "_salt", F.coalesce(salt, F.lit(0)).cast("int")
-    ).drop("_hot")
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = (
-        profile.join(F.broadcast(marks), "account_id", "left")
-        .withColumn("_salt", F.explode(salts)).drop("_hot")
-    )
-    return left.join(right, ["account_id", "_salt"], "left").drop("_salt")
+    return keyed_join(df, profile, "account_id", hot)
 
 
 def label_receipts(events: DataFrame, offers: DataFrame, cfg: Settings,

@@ -255,7 +255,7 @@ def _(w):
 @query("j4_publish", """
 SELECT (SELECT max(time) FROM log) AS decision_time, coalesce(avg(net_profit) FILTER (treatment = 1 AND converted = 1), 0.0) AS mean_profit,
   coalesce(avg(conversion_value) FILTER (treatment = 1 AND converted = 1), 0.0) AS mean_revenue, (SELECT count(*) FROM profile) AS n_clients,
-  (SELECT count(*) FROM profile) * (SELECT count(*) FROM offers) AS n_rows, count(*) AS n_holdout_rows, 42 AS seed, 1000 AS default_budget,
+  (SELECT count(*) FROM profile) * (SELECT count(*) FROM active) AS n_rows, count(*) AS n_holdout_rows, 42 AS seed, 1000 AS default_budget,
   0.0::DOUBLE AS temperature_default, 1.0::DOUBLE AS temperature_max FROM holdout""",
        "decision_time mean_profit mean_revenue temperature_default temperature_max")
 def _(w):
@@ -265,7 +265,7 @@ def _(w):
     return jobs.publish(w.spark, _raw_folder(w), processed, model, _folder(w, "published"), w.cfg)["metadata"]
 
 
-@query("s7_write_scored_tables", """SELECT 'matrix' AS name, (SELECT count(*) FROM profile) * (SELECT count(*) FROM offers) AS rows
+@query("s7_write_scored_tables", """SELECT 'matrix' AS name, (SELECT count(*) FROM profile) * (SELECT count(*) FROM active) AS rows
 UNION ALL SELECT 'holdout', count(*) FROM holdout UNION ALL SELECT 'offers', count(*) FROM offers UNION ALL SELECT 'metadata', 1""")
 def _(w):
     out = _folder(w, "published")

@@ -17,7 +17,7 @@ WITH offers AS MATERIALIZED (
     list_filter([CASE WHEN p_partkey % 2 = 0 THEN 'web' END, 'email',
       CASE WHEN p_partkey % 3 <> 0 THEN 'mobile' END, CASE WHEN p_partkey % 4 = 1 THEN 'social' END],
       lambda c: c IS NOT NULL) AS channels
-  FROM part WHERE p_partkey < 10
+  FROM part
 ),
 raw_profile AS (
   SELECT CAST(c_custkey AS VARCHAR) AS id,
@@ -36,7 +36,7 @@ profile AS MATERIALIZED (
 source AS (
   SELECT CAST(user_id AS VARCHAR) AS account_id, event_type,
     CAST(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00') AS DOUBLE) / 86400000000.0::DOUBLE AS t,
-    'o' || (CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 10) AS ref, value AS v
+    'o' || CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS ref, value AS v
   FROM events
 ),
 log AS MATERIALIZED (
@@ -49,6 +49,7 @@ log AS MATERIALIZED (
     WHERE coalesce(event_type NOT IN ('signup', 'view', 'click', 'purchase'), true)
 ),
 receipts AS (SELECT account_id, offer_ref AS offer_id, time AS received_time FROM log WHERE event = 'offer received'),
+active AS MATERIALIZED (SELECT * FROM offers WHERE id IN (SELECT offer_id FROM receipts)),
 views AS (SELECT account_id, offer_ref AS offer_id, time AS view_time FROM log WHERE event = 'offer viewed'),
 done AS (SELECT account_id, offer_ref AS offer_id, time AS completed_time FROM log WHERE event = 'offer completed'),
 txns AS MATERIALIZED (

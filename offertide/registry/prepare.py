@@ -169,21 +169,21 @@ def _(w):
        "SELECT account_id, txn_time, txn_amount, count(*) AS n_candidates FROM candidates GROUP BY txn_id, 1, 2, 3",
        "txn_time txn_amount")
 def _(w):
-    return attribution.candidate_transactions(w.received, clean.transactions(w.log), w.offers, w.cfg, w.hot)
+    return attribution.candidate_transactions(w.received, clean.transactions(w.log), w.hot)
 
 
 @query("t5_overlap_report", """
 SELECT count(*) AS eligible_txns, count(*) FILTER (n > 1) AS contested_txns, max(n) AS most_candidates
 FROM (SELECT txn_id, count(*) AS n FROM candidates GROUP BY 1)""")
 def _(w):
-    found = attribution.candidate_transactions(w.received, clean.transactions(w.log), w.offers, w.cfg, w.hot)
+    found = attribution.candidate_transactions(w.received, clean.transactions(w.log), w.hot)
     return attribution.overlap_report(found)
 
 
 @query("t6_owned_transactions", f"SELECT {_GRAIN_SQL}, txn_time, txn_amount FROM owned",
        "received_time txn_time txn_amount")
 def _(w):
-    return attribution.owned_transactions(w.received, clean.transactions(w.log), w.offers, w.cfg, w.hot)
+    return attribution.owned_transactions(w.received, clean.transactions(w.log), w.cfg, w.hot)
 
 
 _LATEST_SQL = f"""SELECT {_GRAIN_SQL}, txn_time, txn_amount FROM (
@@ -193,7 +193,7 @@ _LATEST_SQL = f"""SELECT {_GRAIN_SQL}, txn_time, txn_amount FROM (
 @query("t6_owned_transactions_latest", _LATEST_SQL, "received_time txn_time txn_amount")
 def _(w):
     cfg = w.cfg.but(attribution_priority=LATEST)
-    return attribution.owned_transactions(w.received, clean.transactions(w.log), w.offers, cfg, w.hot)
+    return attribution.owned_transactions(w.received, clean.transactions(w.log), cfg, w.hot)
 
 
 @query("t7_first_transactions", f"""
@@ -201,7 +201,7 @@ SELECT {_GRAIN_SQL}, 1::BIGINT AS assigned_txn_count, txn_amount AS assigned_txn
   txn_time AS first_assigned_txn_time FROM firsts""",
        "received_time assigned_txn_amount_sum first_assigned_txn_time")
 def _(w):
-    owned = attribution.owned_transactions(w.received, clean.transactions(w.log), w.offers, w.cfg, w.hot)
+    owned = attribution.owned_transactions(w.received, clean.transactions(w.log), w.cfg, w.hot)
     return attribution.first_transactions(owned)
 
 

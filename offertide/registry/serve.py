@@ -32,8 +32,8 @@ serving_frame AS MATERIALIZED (
     CASE WHEN r.rd > 0 THEN r.cd / r.rd ELSE 0.0 END AS hist_conv_rate_discount, coalesce(f.unseen, 0)::INT AS hist_completed_unseen_flag, f.delay AS hist_time_view_to_conv,
     o.discount_value, o.min_value, o.duration, len(o.channels)::INT AS n_channels, list_contains(o.channels, 'web')::INT AS channel_web,
     list_contains(o.channels, 'email')::INT AS channel_email, list_contains(o.channels, 'mobile')::INT AS channel_mobile, list_contains(o.channels, 'social')::INT AS channel_social,
-    CASE WHEN o.min_value > 0 THEN o.discount_value / o.min_value ELSE 0.0 END AS discount_to_minvalue_ratio, ((SELECT count(*) FROM offers) - 1)::INT AS n_concurrent_offers
-  FROM profile p CROSS JOIN offers o CROSS JOIN moment m
+    CASE WHEN o.min_value > 0 THEN o.discount_value / o.min_value ELSE 0.0 END AS discount_to_minvalue_ratio, ((SELECT count(*) FROM active) - 1)::INT AS n_concurrent_offers
+  FROM profile p CROSS JOIN active o CROSS JOIN moment m
   LEFT JOIN s_txn x USING (account_id) LEFT JOIN s_resp r USING (account_id) LEFT JOIN s_fin f USING (account_id))"""
 _MATRIX = _HISTORY + f""",
 paid AS (SELECT *, {_SCORES} FROM serving_frame WHERE offer_type <> 'informational'),
@@ -53,16 +53,16 @@ def _(w):
     return serving.decision_time(w.log)
 
 
-@query("v2_scoring_grain", "SELECT p.account_id, o.id AS offer_id, (SELECT max(time) FROM log) AS received_time FROM profile p CROSS JOIN offers o", "received_time")
+@query("v2_scoring_grain", "SELECT p.account_id, o.id AS offer_id, (SELECT max(time) FROM log) AS received_time FROM profile p CROSS JOIN active o", "received_time")
 def _(w):
     at = serving.decision_time(w.log).first()[0]
-    return serving.scoring_grain(w.profile, w.offers, at)
+    return serving.scoring_grain(w.profile, w.active, at)
 
 
 @query("v3_scoring_frame", f"SELECT {', '.join(contract.COLUMNS)} FROM serving_frame", _CONTRACT_DOUBLES, _HISTORY)
 def _(w):
     at = serving.decision_time(w.log).first()[0]
-    return serving.build_scoring_frame(w.log, w.offers, w.profile, at, w.cfg, hot=w.hot)
+    return serving.build_scoring_frame(w.log, w.offers, w.profile, at, w.cfg, w.active, hot=w.hot)
 
 
 @query("v3_scoring_frame_active", f"""SELECT account_id, offer_id, hist_txn_count, hist_offers_viewed,
@@ -71,7 +71,7 @@ FROM serving_frame s WHERE offer_type <> 'informational'""", "", _HISTORY)
 def _(w):
     at = serving.decision_time(w.log).first()[0]
     frame = serving.build_scoring_frame(
-        w.log, w.offers, w.profile, at, w.cfg, serving.active_offer_ids(w.offers),
+        w.log, w.offers, w.profile, at, w.cfg, serving.paid_offers(w.active),
         receipts=clean.receipts(w.log), hot=w.hot)
     return frame.select("account_id", "offer_id", "hist_txn_count", "hist_offers_viewed", "n_concurrent_offers")
 

@@ -10,7 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offertide.functions.storage import written
+from offertide.functions.storage import small_or_same, written
 from offertide.models.blended import BlendedModel
 from offertide.models.effect import EffectModel
 from offertide.models.learners import CellMeanLearner
@@ -41,6 +41,11 @@ class Workspace:
     def offers(self) -> DataFrame:
         return testbed.raw_offers(self.spark, self.folder)
 
+    @cached_property
+    def active(self) -> DataFrame:
+        """Offers that the log shows as sent: what the scoring grid crosses with the customers."""
+        return small_or_same(serving.sent_offers(self.offers, clean.receipts(self.log)), self.cfg.small_table_rows)[0]
+
     @property
     def raw_events(self) -> DataFrame:
         return testbed.raw_events(self.spark, self.folder)
@@ -101,7 +106,7 @@ class Workspace:
     def serving_frame(self) -> DataFrame:
         at = serving.decision_time(self.log).first()[0]
         frame = serving.build_scoring_frame(
-            self.log, self.offers, self.profile, at, self.cfg, hot=self.hot)
+            self.log, self.offers, self.profile, at, self.cfg, self.active, hot=self.hot)
         return written(frame, "serving")
 
     @cached_property
@@ -144,7 +149,7 @@ CELL_CONDITIONS = ("hist_txn_count >= 4", "min_value >= 15", "hist_offers_viewed
 # exactly: rounded, with ties among customers without history.
 FORMULA_SCORES = {
     "uplift": "round(0.1 * (hist_avg_ticket / 50 - 1) + 0.02 * hist_offers_viewed"
-              " - 0.01 * n_concurrent_offers, 9)",
+              " - 0.001 * n_concurrent_offers, 9)",
     "p_convert": "round(1 / (1 + exp(1 - 0.002 * hist_spend_total - 0.05 * duration)), 9)",
     "uncertainty": "round(abs(hist_spend_trend) / 100 + 0.01 * duration, 9)",
 }

@@ -11,7 +11,6 @@ from offertide.functions.storage import small_or_same
 from offertide.settings import BOUGHT, DONE, INFORMATIONAL, SEEN, SENT, Settings
 
 START = "2024-01-01"
-CATALOGUE_ROWS = 10
 _DAY_US = 86_400_000_000.0
 
 SETTINGS = Settings(test_start_date="20240101")
@@ -43,7 +42,6 @@ def raw_offers(spark: SparkSession, folder: str) -> DataFrame:
     )
     offers = (
         spark.read.parquet(f"{folder}/part.parquet")
-        .where(k < CATALOGUE_ROWS)
         .select(
             F.concat(F.lit("o"), k.cast("string")).alias("id"),
             kind.alias("offer_type"),
@@ -83,7 +81,7 @@ def raw_events(spark: SparkSession, folder: str) -> DataFrame:
     micros = F.expr(
         f"timestampdiff(MICROSECOND, timestamp_ntz'{START} 00:00:00', ts)"
     ).cast("double")
-    number = F.regexp_extract("props", r"(\d+)", 1).cast("int") % CATALOGUE_ROWS
+    number = F.regexp_extract("props", r"(\d+)", 1).cast("int")
     log = (
         spark.read.parquet(f"{folder}/events.parquet")
         .select(

@@ -97,7 +97,7 @@ def test_overlap_report_counts_contested_purchases(make_events, make_offers, cfg
     events = make_events(("a", SENT, 0.0, "o1"), ("a", SENT, 1.0, "o2"), ("a", BOUGHT, 3.0, None, 20.0),
                          ("a", BOUGHT, 4.0, None, 6.0), ("a", BOUGHT, 30.0, None, 60.0))
     received = at.with_validity(clean.receipts(events), offers)
-    found = at.candidate_transactions(received, clean.transactions(events), offers, cfg)
+    found = at.candidate_transactions(received, clean.transactions(events))
     assert sorted((r["txn_time"], r["n_candidates"]) for r in found.collect()) == [(3.0, 2), (4.0, 1)]
     report = at.overlap_report(found).first()
     assert (report["eligible_txns"], report["contested_txns"], report["most_candidates"]) == (2, 1, 2)

@@ -254,10 +254,10 @@ def test_scoring_grid_and_history(make_events, make_offers, spark, cfg):
         "account_id string, age int, gender string, credit_card_limit double, identity_missing int, tenure_days int")
     at = serving.decision_time(events).first()[0]
     assert at == 9.0 and serving.decision_time(events, 4.5).first()[0] == 4.5
-    frame = serving.build_scoring_frame(events, offers, profile, at, cfg, serving.active_offer_ids(offers)).cache()
+    frame = serving.build_scoring_frame(events, offers, profile, at, cfg, serving.paid_offers(offers)).cache()
     assert frame.count() == 4 and frame.where("treatment <> 1 OR reward_cost <> 0 OR received_time <> 9").count() == 0
     assert frame.where("account_id = 'a'").first()["hist_spend_total"] == 10.0
     assert {r[0] for r in frame.select("n_concurrent_offers").collect()} == {1}
-    real = serving.build_scoring_frame(events, offers, profile, at, cfg, ["o1"], receipts=events.where("event = 'offer received'").selectExpr(
+    real = serving.build_scoring_frame(events, offers, profile, at, cfg, offers.where("id = 'o1'"), receipts=events.where("event = 'offer received'").selectExpr(
         "account_id", "offer_ref AS offer_id", "time AS received_time"))
     assert {r["account_id"]: r["n_concurrent_offers"] for r in real.collect()} == {"a": 1, "b": 0}
