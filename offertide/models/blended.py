@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from offertide.functions.storage import durable
 from offertide.models.conversion import ConversionModel
 from offertide.models.effect import EffectModel
+from offertide.models.fitting import together
 from offertide.models.learners import Learner
 from offertide.operators import clean, quadrant, ranking, uplift_metrics
 from offertide.settings import GRAIN, PAID_TYPES, Settings
@@ -22,10 +23,16 @@ class BlendedModel:
         self.conversion = ConversionModel(cfg)
 
     def fit(self, train: DataFrame) -> "BlendedModel":
-        self.effect.fit(train)
-        self.conversion.fit(train)
+        together({"effect": lambda: self.effect.fit(train), "conversion": lambda: self.conversion.fit(train)}, 2)
         return self
 
+    @classmethod
+    def of(cls, effect: EffectModel, conversion: ConversionModel) -> "BlendedModel":
+        """The blend of two fitted models."""
+        model = cls(effect.cfg)
+        model.effect, model.conversion = effect, conversion
+        return model
+
     def components(self, df: DataFrame) -> DataFrame:
         """`df` plus uplift, uncertainty and p_convert."""
         scored = self.effect.score(df).selectExpr(*df.columns, "tau AS uplift", "uncertainty")

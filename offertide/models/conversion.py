@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from offertide.models.fitting import laid_out
 from offertide.models.matrix import FEATURES, linear_matrix, slots, tree_matrix
 from offertide.settings import Settings
 
@@ -23,7 +24,8 @@ class ConversionModel:
 
     def fit(self, train: DataFrame) -> "ConversionModel":
         self._matrix = tree_matrix(train, FEATURES)
-        rows = self._matrix.transform(train).select("features", F.col("converted").cast("double").alias("label"))
+        rows = laid_out(self._matrix.transform(train).select("features", F.col("converted").cast("double").alias("label")),
+                        self.cfg.tree_rows_per_task, "conversion-rows")
         self._trees = GBTClassifier(
             maxIter=self.cfg.conversion_trees, maxDepth=self.cfg.conversion_depth,
             stepSize=self.cfg.conversion_step, seed=self.cfg.seed,

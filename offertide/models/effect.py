@@ -8,7 +8,7 @@ p * tau_c + (1 - p) * tau_t and its uncertainty |tau_t - tau_c|.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from offertide.functions.draws import keyed_uniform
 from offertide.functions.ranked import numbered
 from offertide.functions.storage import durable
+from offertide.models.fitting import laid_out, together
 from offertide.models.learners import Fitted, Learner, TreeLearner
 from offertide.models.matrix import EFFECT_FEATURES, slots
 from offertide.settings import GRAIN, Settings
@@ -37,25 +38,37 @@ class EffectModel:
         self._models: dict[str, dict[str, Fitted]] | None = None
 
     def fit(self, train: DataFrame) -> "EffectModel":
+        """Both outcome models of all types are fitted side by side, then both effect models."""
         self.learner = self.learner.prepare(train)
-        shaped = self.learner.shape(train).cache()
-        try:
-            kinds = sorted(r[0] for r in shaped.select("offer_type").distinct().collect())
-            self._models = {k: self._fit_one(shaped.where(F.col("offer_type") == k), k) for k in kinds}
-        finally:
-            shaped.unpersist()
+        size, threads = self.cfg.tree_rows_per_task, self.cfg.fits_at_once
+        shaped = laid_out(self.learner.shape(train.select(*GRAIN, *EFFECT_FEATURES, "offer_type", "treatment", "converted"))
+                          .select("offer_type", "treatment", "converted", *self.learner.inputs), size)
+        arms = shaped.groupBy("offer_type").agg(F.min("treatment").alias("least"), F.max("treatment").alias("most")).collect()
+        for arm in arms:
+            if (arm["least"], arm["most"]) != (0, 1):
+                raise ValueError(f"offer type {arm['offer_type']!r} has only one arm in the training rows")
+        kinds = sorted(arm["offer_type"] for arm in arms)
+
+        def rows(kind: str, treatment: int) -> DataFrame:
+            return shaped.where((F.col("offer_type") == kind) & (F.col("treatment") == treatment))
+
+        def outcome(kind: str, treatment: int) -> Fitted:
+            return self.learner.fit(rows(kind, treatment), "converted")
+
+        def effect(kind: str, treatment: int) -> Fitted:
+            # The effect of the arm in sight, by the outcome model of the other arm, stored before the fit reads it.
+            other = outcomes[kind, 1 - treatment].predict(rows(kind, treatment), "m")
+            sign = 1 if treatment else -1
+            target = other.withColumn("d", sign * (F.col("converted") - F.col("m"))).drop("m")
+            return self.learner.fit(laid_out(target, size, "effect-rows"), "d")
+
+        cells = [(k, t) for k in kinds for t in (0, 1)]
+        outcomes = together({c: partial(outcome, *c) for c in cells}, threads)
+        effects = together({c: partial(effect, *c) for c in cells}, threads)
+        self._models = {k: {"mu0": outcomes[k, 0], "mu1": outcomes[k, 1], "tau_t": effects[k, 1], "tau_c": effects[k, 0]}
+                        for k in kinds}
         return self
 
-    def _fit_one(self, rows: DataFrame, kind: str) -> dict[str, Fitted]:
-        control, treated = rows.where("treatment = 0"), rows.where("treatment = 1")
-        if control.isEmpty() or treated.isEmpty():
-            raise ValueError(f"offer type {kind!r} has only one arm in the training rows")
-        fit = self.learner.fit
-        mu0, mu1 = fit(control, "converted"), fit(treated, "converted")
-        gained = mu0.predict(treated, "m").withColumn("d", F.col("converted") - F.col("m"))
-        missed = mu1.predict(control, "m").withColumn("d", F.col("m") - F.col("converted"))
-        return {"mu0": mu0, "mu1": mu1, "tau_t": fit(gained, "d"), "tau_c": fit(missed, "d")}
-
     @property
     def models(self) -> dict[str, dict[str, Fitted]]:
         if self._models is None:
@@ -105,9 +118,17 @@ class EffectModel:
         totals, weight = dict.fromkeys(EFFECT_FEATURES, 0.0), 0
         scored = durable(self.learner.shape(self.score(df)).select(
             *GRAIN, "offer_type", "tau", "features", vector_to_array("features").alias("x")))
-        for (kind,) in scored.select("offer_type").distinct().collect():
-            rows = scored.where(F.col("offer_type") == kind)
-            surrogate = self.learner.fit(rows, "tau")
+        kinds = sorted(r[0] for r in scored.select("offer_type").distinct().collect())
+
+        def of(kind: str) -> DataFrame:
+            return scored.where(F.col("offer_type") == kind)
+
+        def fitted(kind: str) -> Fitted:
+            return self.learner.fit(laid_out(of(kind).select("features", "tau"), self.cfg.tree_rows_per_task), "tau")
+
+        surrogates = together({k: partial(fitted, k) for k in kinds}, self.cfg.fits_at_once)
+        for kind in kinds:
+            rows, surrogate = of(kind), surrogates[kind]
             keys = [F.asc(k) for k in GRAIN]
             taker = numbered(rows.select(*GRAIN, "tau", "x"), keys, name="place")
             giver = numbered(

@@ -21,6 +21,9 @@ class Fitted(Protocol):
 
 
 class Learner(Protocol):
+    inputs: tuple[str, ...]
+    """Columns of a shaped frame that a fit or a prediction reads."""
+
     def prepare(self, train: DataFrame) -> "Learner": ...
     def shape(self, df: DataFrame) -> DataFrame: ...
     def fit(self, df: DataFrame, target: str) -> Fitted: ...
@@ -42,6 +45,7 @@ class TreeLearner:
     """Boosted regression trees on the tree matrix."""
 
     kind = "trees"
+    inputs = ("features",)
 
     def __init__(self, cfg: Settings, matrix: PipelineModel | None = None) -> None:
         self.cfg = cfg
@@ -89,6 +93,7 @@ class CellMeanLearner:
     """Mean of the target per combination of yes/no conditions; the overall mean elsewhere."""
 
     kind = "cells"
+    inputs = ("cell",)
 
     def __init__(self, conditions: Sequence[str], cfg: Settings) -> None:
         self.conditions = tuple(conditions)

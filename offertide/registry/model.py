@@ -92,7 +92,7 @@ def _(w):
 @query("m5_conversion_probability")
 def _(w):
     _, holdout = w.split
-    return w.blended.conversion.predict(holdout).select(*GRAIN, "p_convert")
+    return w.conversion.predict(holdout).select(*GRAIN, "p_convert")
 
 
 @query("m6_fixed_propensity", """SELECT offer_type, CASE WHEN avg(treatment) > 0 AND avg(treatment) < 1 THEN avg(treatment) ELSE 0.5 END AS propensity
@@ -110,8 +110,7 @@ def _(w):
 
 @query("m7_effect_trees")
 def _(w):
-    train, holdout = w.split
-    return effect.EffectModel(w.cfg).fit(train).score(holdout).select(*GRAIN, *effect.STAGES, "tau", "uncertainty")
+    return w.effect.score(w.split[1]).select(*GRAIN, *effect.STAGES, "tau", "uncertainty")
 
 
 @query("m8_effect", f"SELECT {_G}, offer_type, tau AS uplift FROM effects", "received_time uplift", _EFFECT)
@@ -137,7 +136,7 @@ def _(w):
 
 @query("m12_causal_importance")
 def _(w):
-    found = w.blended.effect.causal_importance(w.split[1])
+    found = w.effect.causal_importance(w.split[1])
     return w.spark.createDataFrame(sorted(found.items()), "feature string, importance double")
 
 

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from offertide.functions.storage import small_or_same, written
 from offertide.models.blended import BlendedModel
+from offertide.models.conversion import ConversionModel
 from offertide.models.effect import EffectModel
+from offertide.models.fitting import together
 from offertide.models.learners import CellMeanLearner
 from offertide.operators import clean, quadrant, ranking, segments, serving
 from offertide.operators.attribution import with_validity
@@ -133,10 +135,20 @@ class Workspace:
         train, _ = self.split
         return EffectModel(self.cfg, CellMeanLearner(CELL_CONDITIONS, self.cfg)).fit(train)
 
+    @cached_property
+    def effect(self) -> EffectModel:
+        return EffectModel(self.cfg).fit(self.split[0])
+
+    @cached_property
+    def conversion(self) -> ConversionModel:
+        return ConversionModel(self.cfg).fit(self.split[0])
+
     @cached_property
     def blended(self) -> BlendedModel:
-        train, _ = self.split
-        return BlendedModel(self.cfg).fit(train)
+        """Both models, fitted side by side unless an earlier query has them."""
+        self.split  # noqa: B018 - the shared tables first
+        models = together({"effect": lambda: self.effect, "conversion": lambda: self.conversion}, 2)
+        return BlendedModel.of(models["effect"], models["conversion"])
 
     @property
     def clients(self) -> DataFrame:
