@@ -9,50 +9,61 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from offertide.functions.storage import written
+from offertide.functions.storage import discard, written
 
-_PART = "_part"
+PART = "_part"
+
+
+PIECE_ROWS = 1_000_000
+"""Rows of a piece of a layout that is sized by its rows."""
+_SMALL_PIECE = 20_000
 
 
 class Ranked:
-    """Rows in a stored range layout, one independent order per group."""
+    """Rows in a stored range layout, one independent order per group.
+
+    With `sized` the input is stored first, so that it is computed once and its rows decide the
+    number of pieces; else it is `partitions` or the session's number of shuffle partitions.
+    """
 
     def __init__(self, df: DataFrame, order: Sequence[Column], group: Sequence[str] = (),
-                 partitions: int | None = None) -> None:
+                 partitions: int | None = None, sized: bool = False, piece_rows: int = PIECE_ROWS) -> None:
         self.group = list(group)
         self.order = list(order)
         spark = df.sparkSession
         n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if sized and not partitions:
+            df = written(df, "unordered")
+            count = df.count()
+            # As many pieces as the session has, but none smaller than is worth a task or larger than a piece.
+            n = max(1, min(n, -(-count // min(_SMALL_PIECE, piece_rows))), -(-count // piece_rows))
         laid = df.repartitionByRange(n, *[F.col(g) for g in self.group], *self.order)
-        self.rows = written(laid.withColumn(_PART, F.spark_partition_id()), "layout")
+        self.rows = written(laid.withColumn(PART, F.spark_partition_id()), "layout")
+        if sized and not partitions:
+            discard(df)
 
-    def running(self, rows: DataFrame, sums: Mapping[str, Column] | None = None,
-                maxima: Mapping[str, Column] | None = None) -> DataFrame:
-        """`rows` (the layout, possibly with more columns) plus running sums and maxima."""
-        pieces = [(n, F.sum, c) for n, c in (sums or {}).items()]
-        pieces += [(n, F.max, c) for n, c in (maxima or {}).items()]
-        inside = (
-            Window.partitionBy(*self.group, _PART).orderBy(*self.order)
+    def _inside(self) -> WindowSpec:
+        return (
+            Window.partitionBy(*self.group, PART).orderBy(*self.order)
             .rowsBetween(Window.unboundedPreceding, 0)
         )
-        local = rows.select("*", *[fn(c).over(inside).alias(n) for n, fn, c in pieces])
 
-        # At most one row per partition and group.
-        totals = rows.groupBy(*self.group, _PART).agg(*[fn(c).alias(n) for n, fn, c in pieces])
+    def _with_earlier(self, local: DataFrame, totals: DataFrame, pieces: Sequence[tuple]) -> DataFrame:
+        """`local` running values, raised by the totals of earlier pieces of their group."""
         earlier = (
-            Window.partitionBy(*self.group).orderBy(_PART)
+            Window.partitionBy(*self.group).orderBy(PART)
             .rowsBetween(Window.unboundedPreceding, -1)
         )
         before = totals.select(
-            *self.group, _PART, *[fn(n).over(earlier).alias(f"_before_{n}") for n, fn, _ in pieces]
+            *self.group, PART, *[fn(n).over(earlier).alias(f"_before_{n}") for n, fn, _ in pieces]
         )
-        for c in (*self.group, _PART):
+        for c in (*self.group, PART):
             before = before.withColumnRenamed(c, f"_of_{c}")
         same = [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in self.group]  # a null group is a group too
-        joined = local.join(before, [*same, F.col(_PART) == F.col(f"_of_{_PART}")], "left")
+        joined = local.join(before, [*same, F.col(PART) == F.col(f"_of_{PART}")], "left")
         kept = [c for c in local.columns if c not in {n for n, _, _ in pieces}]
         out = []
         for n, fn, _ in pieces:
@@ -61,13 +72,41 @@ class Ranked:
             out.append(F.when(prior.isNull(), F.col(n)).otherwise(both).alias(n))
         return joined.select(*kept, *out)
 
+    def running(self, rows: DataFrame, sums: Mapping[str, Column] | None = None,
+                maxima: Mapping[str, Column] | None = None) -> DataFrame:
+        """`rows` (the layout, possibly with more columns) plus running sums and maxima."""
+        pieces = [(n, F.sum, c) for n, c in (sums or {}).items()]
+        pieces += [(n, F.max, c) for n, c in (maxima or {}).items()]
+        local = rows.select("*", *[fn(c).over(self._inside()).alias(n) for n, fn, c in pieces])
+        # At most one row per partition and group.
+        totals = rows.groupBy(*self.group, PART).agg(*[fn(c).alias(n) for n, fn, c in pieces])
+        return self._with_earlier(local, totals, pieces)
+
+    def running_maxima(self, sums: Mapping[str, Column], maxima: Mapping[str, Column], keep: Sequence[str]) -> DataFrame:
+        """Columns `keep` and running maxima of expressions over running sums.
+
+        Sums and maxima are scanned in one pass over the layout, which is stored; what the maxima
+        of earlier pieces add is then a join with one row per piece.
+        """
+        pieces = [(n, F.max, c) for n, c in maxima.items()]
+        summed = self.running(self.rows, sums)
+        over = self._inside()
+        local = written(summed.select(*self.order_columns(), *self.group, PART, *keep, *[c.alias(f"_own_{n}") for n, c in maxima.items()])
+                        .select(*self.group, PART, *keep, *[F.max(f"_own_{n}").over(over).alias(n) for n in maxima]), "curve")
+        totals = local.groupBy(*self.group, PART).agg(*[F.max(n).alias(n) for n in maxima])
+        return self._with_earlier(local, totals, pieces)
+
+    def order_columns(self) -> list[str]:
+        """Columns of the layout that the order may refer to."""
+        return [c for c in self.rows.columns if c not in (*self.group, PART)]
+
 
 def numbered(df: DataFrame, order: Sequence[Column], group: Sequence[str] = (),
              name: str = "rank", partitions: int | None = None) -> DataFrame:
     """1-based position in a total order, without a single-task window."""
     ranked = Ranked(df, order, group, partitions)
     out = ranked.running(ranked.rows, sums={name: F.lit(1).cast("long")})
-    return out.drop(_PART)
+    return out.drop(PART)
 
 
 SMALL_TOP = 10_000

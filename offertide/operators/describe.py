@@ -301,20 +301,35 @@ def categorical_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counted.join(totals, "column").selectExpr("column", "level", "rows", "rows / total AS share")
 
 
-def _pearson(a: str, b: str) -> str:
-    """`corr` fails on a column that is constant where the other is present; this is null there."""
-    both = f"FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
-    return f"try_divide(covar_pop({a}, {b}), stddev_pop({a}) {both} * stddev_pop({b}) {both})"
+BLOCK = 5
+"""Columns in a block of the correlation matrix."""
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson r of every ordered pair over the rows that have both; null if one of them is constant there."""
-    upper = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    one = df.agg(*[F.expr(f"{_pearson(columns[i], columns[j])} AS r{i}_{j}") for i, j in upper])
-    rows = ", ".join(
-        f"struct('{columns[a]}' AS feature_a, '{columns[b]}' AS feature_b, {a} AS a, {b} AS b, r{min(a, b)}_{max(a, b)} AS r)"
-        for a in range(len(columns)) for b in range(len(columns)))
-    return one.selectExpr(f"inline(array({rows}))")
+    """Pearson r of every ordered pair over the rows that have both; null if one of them is constant there.
+
+    Columns are cut in blocks, and each row goes to the pairs of blocks, where one aggregation of
+    fixed size sums the co-moments of all pairs of their columns. So rows are read once, a task sends
+    one row per pair of blocks, and the generated code doesn't grow with the number of columns.
+    """
+    blocks = -(-len(columns) // BLOCK)
+    padded = [f"CAST({c} AS DOUBLE)" for c in columns] + ["CAST(NULL AS DOUBLE)"] * (blocks * BLOCK - len(columns))
+    places = range(BLOCK)
+    dealt = ", ".join(
+        "struct({})".format(", ".join([f"{i} AS i", f"{j} AS j", *[f"{padded[BLOCK * i + p]} AS x{p}" for p in places],
+                                       *[f"{padded[BLOCK * j + q]} AS y{q}" for q in places]]))
+        for i in range(blocks) for j in range(i, blocks))
+    cells = [(p, q) for p in places for q in places]
+    sums = df.selectExpr(f"inline(array({dealt}))").groupBy("i", "j").agg(*[
+        F.expr(f"try_divide(regr_sxy(y{q}, x{p}), sqrt(regr_sxx(y{q}, x{p})) * sqrt(regr_syy(y{q}, x{p}))) AS r{p}_{q}")
+        for p, q in cells])
+    found = ", ".join(f"struct({BLOCK} * i + {p} AS a, {BLOCK} * j + {q} AS b, r{p}_{q} AS r)" for p, q in cells)
+    half = sums.selectExpr("i", "j", f"inline(array({found}))")
+    # Pairs within one block come in both orders already.
+    both = half.select("a", "b", "r").unionByName(half.where("i < j").selectExpr("b AS a", "a AS b", "r"))
+    names = "array({})".format(", ".join(f"'{c}'" for c in columns))
+    return both.where(f"a < {len(columns)} AND b < {len(columns)}").selectExpr(
+        f"{names}[a] AS feature_a", f"{names}[b] AS feature_b", "a", "b", "r")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -42,11 +42,9 @@ def gain_curve(df: DataFrame, score: str) -> DataFrame:
 
 
 def _curves(rows: DataFrame, group: list[str], order: list) -> DataFrame:
-    ranked = Ranked(rows, order, group)
-    sums = ranked.running(ranked.rows, sums={n: F.expr(sql) for n, sql in _SUMS.items()})
-    raw = sums.selectExpr(
-        "*", f"{CONVERSIONS} AS raw_conversions", f"{CONVERSIONS} * {UNIT_PROFIT} AS raw_gain")
-    top = ranked.running(raw, maxima={"gain": F.col("raw_gain"), "conversions": F.col("raw_conversions")})
+    ranked = Ranked(rows, order, group, sized=True)
+    maxima = {"gain": F.expr(f"{CONVERSIONS} * {UNIT_PROFIT}"), "conversions": F.expr(CONVERSIONS)}
+    top = ranked.running_maxima({n: F.expr(sql) for n, sql in _SUMS.items()}, maxima, ["n"])
     curve = top.selectExpr(*group, "n", "greatest(gain, 0D) AS gain", "greatest(conversions, 0D) AS conversions")
     origin = ranked.rows.select(*group).distinct().selectExpr(*group, "0L AS n", "0D AS gain", "0D AS conversions")
     return curve.unionByName(origin)
@@ -110,7 +108,7 @@ def _resampled_curves(df: DataFrame, scores: Mapping[str, str], cfg: Settings, r
     replicate may be larger than a task.
     """
     spark = df.sparkSession
-    ranked = Ranked(by_strategy(df, scores, _INPUTS), best_first(), ["strategy"])
+    ranked = Ranked(by_strategy(df, scores, _INPUTS), best_first(), ["strategy"], sized=True)
     placed = ranked.running(ranked.rows, sums={"place": F.lit(1).cast("long")})
     n = df.count()
     drawn = (

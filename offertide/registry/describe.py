@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from offertide.models.matrix import CATEGORICAL, FEATURES
 from offertide.operators import describe
 from offertide.registry.core import query
 
@@ -160,7 +161,7 @@ def _(w):
     return describe.categorical_profile(w.processed, ["gender", "offer_type"])
 
 
-_CORR_COLUMNS = ["hist_spend_total", "hist_txn_count", "hist_avg_ticket", "hist_frequency", "hist_view_rate", "age", "hist_recency_days"]
+_CORR_COLUMNS = [c for c in FEATURES if c not in CATEGORICAL]
 
 
 @query("e15_correlation_matrix", " UNION ALL ".join(
