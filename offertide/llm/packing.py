@@ -31,11 +31,14 @@ from offertide.llm.common import written
 
 SIZE = 2048
 END_ID = 1
+LONG_BLANK = 4096
+"""White space in a row from which a chunk goes to the full tokenizer: the quick one gives up on runs of a million."""
 CACHED_CHUNKS = 500_000
 """Chunks of text kept with their ids by each Python worker (about 100 MB)."""
 
 # Between two characters that aren't white space, one space always begins a new token, so
 # a text may be cut there and the chunks tokenised on their own.
+_BLANKS = re.compile(r"\s{%d}" % LONG_BLANK)
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -44,7 +47,8 @@ class ChunkTokenizer:
 
     Chunks that are new are encoded with the vocabulary's merge ranks when they are of plain
     Latin letters, where every reader of the vocabulary agrees on the word pattern; any
-    other chunk, and any text with a special mark, goes to the full tokenizer.
+    other chunk, any with a long run of white space, and any text with a special mark goes to the
+    full tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -72,7 +76,8 @@ class ChunkTokenizer:
         return self._code(" " + chunk)
 
     def _code(self, chunk: str) -> bytes:
-        ids = self.fast(chunk) if chunk.isascii() or max(chunk) < _PLAIN else self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        plain = (chunk.isascii() or max(chunk) < _PLAIN) and not (len(chunk) > LONG_BLANK and _BLANKS.search(chunk))
+        ids = self.fast(chunk) if plain else self.tokenizer.encode(chunk, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:

@@ -259,3 +259,17 @@ def test_squares_are_exact_beyond_doubles():
     x, book = rng.integers(-codes.CLAMP, codes.CLAMP, (30, 6)), rng.integers(-codes.CLAMP, codes.CLAMP, (9, 6))
     want = [[sum((int(a) - int(b)) ** 2 for a, b in zip(u, v)) for v in book] for u in x]
     assert codes.squared(x, book).tolist() == want
+
+
+@pytest.mark.parametrize("run", ["\n", " ", " \n", "\t", "\r\n"])
+@pytest.mark.parametrize("around", [("", ""), ("word", "end"), ("a b ", " c d"), ("x" * 30, ".")])
+def test_packing_survives_long_blank_runs(run, around):
+    from tokenizers import Tokenizer
+
+    from offertide.llm import packing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for size in (packing.LONG_BLANK - 1, packing.LONG_BLANK + 1, 2_000_000 if around[0] in ("", "word") and run != "\t" else 10_000):
+        text = run.join(["", *[""] * (size // len(run))]).join(around)
+        want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(packing.ChunkTokenizer(path).encode(text), "<u4").tolist() == want
