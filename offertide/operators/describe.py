@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from offertide.functions.quantiles import exact_quantiles
 from offertide.functions.draws import keyed_uniform, poisson_one
+from offertide.functions.joins import keyed_join
 from offertide.functions.timeline import HotKeys, Run, scan
 from offertide.operators import clean
 from offertide.operators.features import completions_with_view
@@ -190,12 +191,10 @@ def window_spend(attributed: DataFrame, events: DataFrame, hot: HotKeys | None =
         *GRAIN, "coalesce(CAST(spent AS DOUBLE), 0D) AS window_spend", "coalesce(bought, 0L) AS window_txns")
 
 
-def naive_spend_lift(processed: DataFrame, window: DataFrame, segments: DataFrame) -> DataFrame:
+def naive_spend_lift(processed: DataFrame, window: DataFrame, segments: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Raw difference of window spend between viewers and non-viewers, per segment."""
-    joined = (
-        processed.select(*GRAIN, "treatment").join(window, list(GRAIN))
-        .join(segments.select("account_id", "segment"), "account_id")
-    )
+    spent = processed.select(*GRAIN, "treatment").join(window, list(GRAIN))
+    joined = keyed_join(spent, segments.select("account_id", "segment"), "account_id", hot, "inner")
     return joined.groupBy("segment").agg(*_aggs(
         spend_viewed="avg(CASE WHEN treatment = 1 THEN window_spend END)",
         spend_not_viewed="avg(CASE WHEN treatment = 0 THEN window_spend END)",
@@ -389,15 +388,32 @@ def balance_index(balance: DataFrame) -> DataFrame:
 
 
 def assignment_balance(processed: DataFrame, cfg: Settings) -> DataFrame:
-    """Worst absolute difference over all pairs of offers, per profile covariate."""
+    """Worst absolute difference over all pairs of offers, per profile covariate.
+
+    A pair's difference grows as its higher mean rises, its lower mean falls or a variance falls. So the worst
+    pair is found among the offers that no other one beats in both mean and variance, on the high and on the low
+    side, without forming the pairs of all offers. Offers without variance count only against others with
+    some, so each side has a front of either kind.
+    """
     wide, names = _covariates(processed, PROFILE_COVARIATES)
     stats = _moments_long(wide, "offer_id", names)  # offers x covariates rows
-    left = stats.selectExpr("covariate", "offer_id AS a", "mean AS mean_a", "var AS var_a")
-    right = stats.selectExpr("covariate", "offer_id AS b", "mean AS mean_b", "var AS var_b")
-    pairs = left.join(right, "covariate").where("a < b").selectExpr(
-        "covariate", "IF(var_a + var_b > 0, abs(mean_a - mean_b) / sqrt((var_a + var_b) / 2), 0D) AS d")
-    return pairs.groupBy("covariate").agg(*_aggs(worst_abs_smd="coalesce(max(d), 0D)")).selectExpr(
-        "*", f"worst_abs_smd > {cfg.smd_threshold!r} AS above_threshold")
+    known = stats.where("mean IS NOT NULL").selectExpr("covariate", "mean", "var", "var > 0 AS varies")
+    high = _front(known, "mean").selectExpr("covariate", "mean AS mean_a", "var AS var_a")
+    low = _front(known, "-mean").selectExpr("covariate", "mean AS mean_b", "var AS var_b")
+    worst = high.join(low, "covariate").where("mean_a > mean_b AND var_a + var_b > 0").groupBy("covariate").agg(
+        F.expr("max((mean_a - mean_b) / sqrt((var_a + var_b) / 2)) AS d"))
+    return stats.groupBy("covariate").agg(F.count("*").alias("offers")).where("offers > 1").join(worst, "covariate", "left").selectExpr(
+        "covariate", "coalesce(d, 0D) AS worst_abs_smd", f"coalesce(d, 0D) > {cfg.smd_threshold!r} AS above_threshold")
+
+
+def _front(stats: DataFrame, height: str) -> DataFrame:
+    """Rows that no row of their covariate and kind beats in height and variance: fronts of parts, then of those."""
+    part = F.pmod(F.xxhash64("mean", "var"), F.lit(64))
+    rows = stats.selectExpr("*", f"{height} AS _height").withColumn("_part", part)
+    for keys in (["covariate", "varies", "_part"], ["covariate", "varies"]):
+        higher = Window.partitionBy(*keys).orderBy(F.desc("_height"), F.asc("var")).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("_least", F.min("var").over(higher)).where("_least IS NULL OR var < _least").drop("_least")
+    return rows.drop("_height", "_part")
 
 
 # Response and economics

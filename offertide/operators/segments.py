@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -11,6 +13,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from offertide.functions.joins import keyed_join
+from offertide.functions.timeline import HotKeys
+from offertide.models.fitting import laid_out, together
 from offertide.settings import BOUGHT, Settings
 
 LOG_FEATURES = ("spend_total", "txn_count", "avg_ticket")
@@ -93,20 +98,27 @@ class Clusters:
 
 
 def best_kmeans(vectors: DataFrame, k: int, cfg: Settings) -> Clusters:
-    """Lowest training cost over several seeds."""
-    fits = [
-        KMeans(k=k, seed=cfg.seed + i, featuresCol="features", predictionCol="cluster").fit(vectors)
-        for i in range(cfg.cluster_restarts)]
+    """Lowest training cost over several seeds, fitted side by side."""
+    fits = together({i: partial(_kmeans(k, cfg.seed + i).fit, vectors) for i in range(cfg.cluster_restarts)}, cfg.fits_at_once)
+    return _cheapest(fits.values())
+
+
+def _kmeans(k: int, seed: int) -> KMeans:
+    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster")
+
+
+def _cheapest(fits: Iterable[KMeansModel]) -> Clusters:
     return Clusters(min(fits, key=lambda m: m.summary.trainingCost))
 
 
 def scan_k(design: Design, cfg: Settings) -> DataFrame:
     """Inertia, silhouette, Davies-Bouldin and Calinski-Harabasz for every k of the range."""
-    vectors = design.vectors().cache()
+    vectors = laid_out(design.vectors(), cfg.tree_rows_per_task, "cluster-rows").cache()
     silhouette = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
-    rows = []
-    for k in range(cfg.cluster_k_min, cfg.cluster_k_max + 1):
-        fitted = best_kmeans(vectors, k, cfg)
+    rows, ks = [], range(cfg.cluster_k_min, cfg.cluster_k_max + 1)
+    fits = together({(k, i): partial(_kmeans(k, cfg.seed + i).fit, vectors) for k in ks for i in range(cfg.cluster_restarts)}, cfg.fits_at_once)
+    for k in ks:
+        fitted = _cheapest(model for (own, _), model in fits.items() if own == k)
         labelled = fitted.label(vectors)
         between, separation = _internal_indices(labelled, design.columns)
         rows.append((k, float(fitted.model.summary.trainingCost), float(silhouette.evaluate(labelled)), separation, between))
@@ -142,7 +154,7 @@ def choose_k(scan: DataFrame) -> DataFrame:
 
 def fit_clusters(design: Design, k: int, cfg: Settings) -> tuple[DataFrame, Clusters]:
     """Cluster label per customer, and the fitted clusters."""
-    vectors = design.vectors().cache()
+    vectors = laid_out(design.vectors(), cfg.tree_rows_per_task, "cluster-rows").cache()
     fitted = best_kmeans(vectors, k, cfg)
     vectors.unpersist()
     return fitted.label(design.vectors()).select("account_id", "cluster"), fitted
@@ -186,9 +198,9 @@ def name_personas(profile: DataFrame) -> DataFrame:
     )
 
 
-def segment_response(processed: DataFrame, segments: DataFrame) -> DataFrame:
+def segment_response(processed: DataFrame, segments: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Views, conversions and margin per segment and offer type."""
-    joined = processed.join(segments.select("account_id", "segment"), "account_id")
+    joined = keyed_join(processed, segments.select("account_id", "segment"), "account_id", hot, "inner")
     return joined.groupBy("segment", "offer_type").agg(
         F.expr("count(1) AS sends"), F.expr("sum(treatment) AS viewed"), F.expr("sum(converted) AS converted"),
         F.expr("sum(conversion_value) AS revenue"), F.expr("sum(reward_cost) AS cost"),

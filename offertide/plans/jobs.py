@@ -9,6 +9,7 @@ from offertide.functions.storage import small_or_same, written
 from offertide.models.blended import BlendedModel, attach_scores
 from offertide.models.learners import Learner
 from offertide.operators import clean, contract, quality, serving
+from offertide.plans import history
 from offertide.plans.processed import build_processed, hot_accounts, stage_log
 from offertide.settings import Settings
 from offertide.sources import files
@@ -16,10 +17,18 @@ from offertide.sources import files
 OFFERS, PROFILE, EVENTS, PROCESSED = "offers", "profile", "events", "processed"
 
 
-def _raw(spark: SparkSession, folder: str, cfg: Settings, multi_line: bool):
+def _raw(spark: SparkSession, folder: str, cfg: Settings, multi_line: bool, store: str | None = None):
     offers = small_or_same(files.read_offers(spark, f"{folder}/{OFFERS}", multi_line), cfg.small_table_rows)[0]
     profile = clean.normalize_profile(files.read_profile(spark, f"{folder}/{PROFILE}", multi_line), cfg)
-    log = stage_log(files.parse_events(files.read_events(spark, f"{folder}/{EVENTS}", multi_line)))
+
+    def parsed(path: str | list[str]) -> DataFrame:
+        return files.parse_events(files.read_events(spark, path, multi_line))
+
+    if store is None:
+        log = stage_log(parsed(f"{folder}/{EVENTS}"))
+    else:
+        history.refresh(spark, f"{folder}/{EVENTS}", store, parsed)
+        log = history.staged(spark, store, files.FLAT_SCHEMA)
     return offers, profile, log
 
 
@@ -46,10 +55,13 @@ def train(spark: SparkSession, processed_path: str, model_path: str, cfg: Settin
 
 def recommend(spark: SparkSession, raw_folder: str, model_path: str, cfg: Settings, budget: int | None = None,
               decision_time: float | None = None, out: str | None = None, multi_line: bool = False,
-              learner: Learner | None = None) -> DataFrame:
-    """Best offer for the best customers within the budget; optionally as CSV."""
+              learner: Learner | None = None, store: str | None = None) -> DataFrame:
+    """Best offer for the best customers within the budget; optionally as CSV.
+
+    With a `store`, the staged log is kept there, and later calls parse only new raw files.
+    """
     model = BlendedModel.load(spark, cfg, model_path, learner)
-    offers, profile, log = _raw(spark, raw_folder, cfg, multi_line)
+    offers, profile, log = _raw(spark, raw_folder, cfg, multi_line, store)
     at = serving.decision_time(log, decision_time).first()[0]
     frame = written(serving.build_scoring_frame(
         log, offers, profile, at, cfg, serving.paid_offers(serving.sent_offers(offers, clean.receipts(log))), hot=hot_accounts(log, cfg)), "scoring")
@@ -61,10 +73,10 @@ def recommend(spark: SparkSession, raw_folder: str, model_path: str, cfg: Settin
 
 
 def publish(spark: SparkSession, raw_folder: str, processed_path: str, model_path: str, out: str, cfg: Settings,
-            multi_line: bool = False, learner: Learner | None = None) -> dict[str, DataFrame]:
-    """Serving matrix, labelled scored holdout, catalogue and scalar metadata as Parquet."""
+            multi_line: bool = False, learner: Learner | None = None, store: str | None = None) -> dict[str, DataFrame]:
+    """Serving matrix, labelled scored holdout, catalogue and scalar metadata as Parquet; `store` as in `recommend`."""
     model = BlendedModel.load(spark, cfg, model_path, learner)
-    offers, profile, log = _raw(spark, raw_folder, cfg, multi_line)
+    offers, profile, log = _raw(spark, raw_folder, cfg, multi_line, store)
     at = serving.decision_time(log).first()[0]
     frame = written(serving.build_scoring_frame(
         log, offers, profile, at, cfg, serving.sent_offers(offers, clean.receipts(log)), hot=hot_accounts(log, cfg)), "scoring")

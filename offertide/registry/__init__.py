@@ -9,6 +9,7 @@ from offertide.registry import (  # noqa: F401  (each module registers its queri
     model,
     serve,
     segment,
+    invariants,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

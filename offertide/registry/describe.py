@@ -358,7 +358,7 @@ FROM processed JOIN window_spend USING (account_id, offer_id, received_time) JOI
        "spend_viewed spend_not_viewed raw_difference", WINDOW + ", " + SPEND_SEGMENTS)
 def _(w):
     window = describe.window_spend(w.attributed, w.log, w.hot)
-    return describe.naive_spend_lift(w.processed, window, tenure_segments(w))
+    return describe.naive_spend_lift(w.processed, window, tenure_segments(w), w.hot)
 
 
 @query("e33_label_by_arm", """

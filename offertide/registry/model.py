@@ -12,7 +12,7 @@ from offertide.models import blended, conversion, effect
 from offertide.models.learners import CellMeanLearner
 from offertide.models.matrix import FEATURES, linear_matrix, slots, tree_matrix
 from offertide.operators import contract, serving
-from offertide.plans import jobs
+from offertide.plans import history, jobs
 from offertide.registry.core import query
 from offertide.registry.evaluate import unit
 from offertide.registry.serve import _CONTRACT_DOUBLES
@@ -241,6 +241,27 @@ def _(w):
     return w.spark.read.csv(out, header=True, schema="rank bigint, account_id string, offer_id string, offer_type string, score double")
 
 
+@query("j3_staged_history", """SELECT event, count(*) AS events, count(DISTINCT account_id) AS customers, min(time) AS first_time, max(time) AS last_time,
+  sum(amount) AS amount, sum(reward) AS reward, true AS nothing_parsed_again FROM log GROUP BY 1""", "first_time last_time amount reward")
+def _(w):
+    """The log staged in three runs, of which the last finds no new file."""
+    raw, store = _folder(w, "raw-days"), _folder(w, "history")
+    first = w.raw_events.where("time_since_test_start < 10")
+    first.write.json(f"{raw}/early")
+
+    def parsed(paths):
+        return files.parse_events(files.read_events(w.spark, paths))
+
+    history.refresh(w.spark, raw, store, parsed)
+    w.raw_events.where("NOT coalesce(time_since_test_start < 10, false)").write.json(f"{raw}/late")
+    history.refresh(w.spark, raw, store, parsed)
+    again = history.refresh(w.spark, raw, store, parsed)
+    return history.staged(w.spark, store, files.FLAT_SCHEMA).groupBy("event").agg(
+        F.count(F.lit(1)).alias("events"), F.countDistinct("account_id").alias("customers"), F.min("time").alias("first_time"),
+        F.max("time").alias("last_time"), F.sum("amount").alias("amount"), F.sum("reward").alias("reward"),
+        F.lit(again == 0).alias("nothing_parsed_again"))
+
+
 @query("s6_write_recommendations", """SELECT row_number() OVER (ORDER BY s DESC, account_id, offer_id) AS rank, account_id, offer_id, offer_type, s AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY s DESC, offer_id) AS k FROM (
     SELECT account_id, offer_id, offer_type, round(uplift, 4) AS s FROM scored)) WHERE k = 1 QUALIFY rank <= 50""", "score")

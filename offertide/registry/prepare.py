@@ -53,17 +53,15 @@ def _(w):
     )
 
 
-@query("s4_write_processed", "SELECT offer_type, count(*) AS n, sum(conversion_value) AS revenue FROM processed GROUP BY 1",
-       "revenue")
+_CONTRACT_SQL = f"SELECT {', '.join(contract.COLUMNS)} FROM processed"
+_CONTRACT_DOUBLES = " ".join(f.name for f in contract.PROCESSED_SCHEMA.fields if f.dataType.typeName() == "double")
+
+
+@query("s4_write_processed", _CONTRACT_SQL, _CONTRACT_DOUBLES)
 def _(w):
     path = _target(w, "processed")
     files.write_processed(w.processed, path)
-    return w.spark.read.parquet(path).groupBy("offer_type").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("conversion_value").alias("revenue"))
-
-
-_CONTRACT_SQL = f"SELECT {', '.join(contract.COLUMNS)} FROM processed"
-_CONTRACT_DOUBLES = " ".join(f.name for f in contract.PROCESSED_SCHEMA.fields if f.dataType.typeName() == "double")
+    return w.spark.read.parquet(path)
 
 
 @query("s5_read_processed", _CONTRACT_SQL, _CONTRACT_DOUBLES)

@@ -99,7 +99,7 @@ _RESPONSE = """response AS MATERIALIZED (SELECT segment, offer_type, count(*) AS
 
 @query("g9_segment_response", "SELECT * FROM response", "revenue cost view_rate conversion_rate conversion_per_view margin_per_send", _SEGMENTS + ", " + _RESPONSE)
 def _(w):
-    return segments.segment_response(w.processed, _segments(w))
+    return segments.segment_response(w.processed, _segments(w), w.hot)
 
 
 _Z = (*_FEATURES, "conv_rate")
@@ -118,7 +118,7 @@ def _(w):
 def _(w):
     marked = _segments(w)
     personas = segments.name_personas(segments.segment_profile(marked))
-    return segments.persona_synthesis(personas, segments.segment_response(w.processed, marked))
+    return segments.persona_synthesis(personas, segments.segment_response(w.processed, marked, w.hot))
 
 
 _DESCRIBED = (*_FEATURES, "offers_received", "offers_viewed", "conv_rate")
