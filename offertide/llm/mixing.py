@@ -3,9 +3,10 @@
 Words are summed per source, targets and repetition rates follow from the sums, and each
 document is taken floor(rate) times plus once more with the fraction as probability. The
 draw is a hash of the document's id. One draw serves ROTATIONS trials per source, each a
-rotation of the unit circle, and the trial whose words come nearest the target is used:
-every document still has its exact probability, but a source with a few very long
-documents doesn't miss its target by chance.
+rotation of the unit circle, and the trial whose words come nearest the target is used, so
+that a source with a few very long documents doesn't miss its target by chance. Each
+trial alone gives every document its exact probability; choosing among them does not: in
+a source of few documents the same ones are taken under nearly any seed.
 
 Null texts have no words. Null sources form a source of their own, the last. Repeated
 rows count as they stand and share their draw. An empty table gives an empty result.
