@@ -18,10 +18,10 @@ HEADLINE = (
     "p1_parse_events", "t4_candidate_transactions", "t8_attribution", "t10_recurrence",
     "f1_purchase_history", "f7_all_features", "f9_processed_table",
     "d9_feature_checks", "e10_conversion_by_tenure", "e13_numeric_profile", "e15_correlation_matrix",
-    "e17_covariate_balance", "e23_response_funnel", "e31_window_spend",
+    "e16_redundant_pairs", "e17_covariate_balance", "e19_assignment_balance", "e23_response_funnel", "e31_window_spend",
     "r1_uplift_ranking", "r13_gain_curves", "r16_conversions_by_decile", "r19_metrics_by_strategy",
     "q4_gain_by_quadrant", "v3_scoring_frame", "v4_recommend", "v8_allocate", "v10_projection",
-    "g1_client_features", "g2_design_matrix", "g9_segment_response", "m7_effect_stages_fitted",
+    "g1_client_features", "g2_design_matrix", "g9_segment_response", "m7_effect_stages_fitted", "g5_fit_clusters", "j1_prepare", "j3_staged_history",
 )
 
 
