@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offertide.models.fitting import laid_out
+from offertide.models.fitting import for_trees, laid_out
 from offertide.models.matrix import FEATURES, linear_matrix, slots, tree_matrix
 from offertide.settings import Settings
 
@@ -30,7 +30,7 @@ class ConversionModel:
             maxIter=self.cfg.conversion_trees, maxDepth=self.cfg.conversion_depth,
             stepSize=self.cfg.conversion_step, seed=self.cfg.seed,
             minInstancesPerNode=self.cfg.tree_min_rows,
-        ).fit(rows)
+        ).fit(for_trees(rows, self.cfg.tree_min_rows))
         return self
 
     def _fitted(self) -> tuple[PipelineModel, GBTClassificationModel]:

@@ -8,6 +8,7 @@ from typing import TypeVar
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from offertide.functions.storage import written
 
@@ -28,6 +29,18 @@ def together(fits: Mapping[Hashable, Callable[[], T]], threads: int) -> dict[Has
         return {name: future.result() for name, future in running.items()}
 
 
+def for_trees(rows: DataFrame, min_rows: int) -> DataFrame:
+    """`rows` whose categories are plain numbers if there are too few rows for Spark to bin them.
+
+    Fewer than two leaves' rows can't be split at all, so up to there the fit is the same constant.
+    """
+    few = max(2 * min_rows, 8)
+    if rows.limit(few).count() < few:
+        plain = F.col("features").alias("features", metadata={"plain": True})
+        return rows.select(*[plain if c == "features" else F.col(c) for c in rows.columns])
+    return rows
+
+
 def laid_out(df: DataFrame, rows_per_task: int, name: str = "fit-rows") -> DataFrame:
     """`df` stored once and read in as many partitions as its rows need.
 

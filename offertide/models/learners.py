@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offertide.functions.storage import small_or_same
+from offertide.models.fitting import for_trees
 from offertide.models.matrix import EFFECT_FEATURES, tree_matrix
 from offertide.settings import Settings
 
@@ -58,10 +59,11 @@ class TreeLearner:
         return self.matrix.transform(df).select(*df.columns, "features")
 
     def fit(self, df: DataFrame, target: str) -> TreeStage:
+        rows = for_trees(df.select("features", F.col(target).cast("double").alias(target)), self.cfg.tree_min_rows)
         return TreeStage(GBTRegressor(
             labelCol=target, maxIter=self.cfg.effect_trees, maxDepth=self.cfg.effect_depth,
             stepSize=self.cfg.effect_step, seed=self.cfg.seed, minInstancesPerNode=self.cfg.tree_min_rows,
-        ).fit(df.select("features", F.col(target).cast("double").alias(target))))
+        ).fit(rows))
 
     def save(self, path: str) -> None:
         self.matrix.write().overwrite().save(f"{path}/matrix")

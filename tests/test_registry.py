@@ -7,7 +7,6 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from offertide.models import effect
 from offertide.operators import segments
 from offertide.registry import workspace as workspace_module
 from offertide.registry.workspace import workspace
@@ -75,14 +74,14 @@ def test_models_and_clusters_run_at_the_configured_size(spark, monkeypatch):
         seen.append(next(a for a in args if isinstance(a, Settings)))
         raise Stop
 
-    for owner, name in ((segments, "scan_k"), (segments, "fit_clusters"), (effect, "EffectModel"), (workspace_module, "BlendedModel")):
+    for owner, name in ((segments, "scan_k"), (segments, "fit_clusters"), (workspace_module, "EffectModel"), (workspace_module, "ConversionModel")):
         monkeypatch.setattr(owner, name, spy)
     for query in ("g3_scan_k", "g5_fit_clusters", "g13_centroids", "m7_effect_trees"):
         with pytest.raises(Stop):
             entry.queries()[query](spark, ws.folder)
     with pytest.raises(Stop):
         ws.blended
-    assert len(seen) == 5 and all(cfg == ws.cfg for cfg in seen)
+    assert len(seen) == 6 and all(cfg == ws.cfg for cfg in seen)
 
 
 def test_entry_and_registry(spark):
