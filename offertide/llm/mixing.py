@@ -1,22 +1,24 @@
 """Mixing sources to target weights.
 
 Words are summed per source, targets and repetition rates follow from the sums, and each
-document is taken floor(rate) times plus once more with the fraction as probability. The
-draw is a hash of the document's id. One draw serves ROTATIONS trials per source, each a
-rotation of the unit circle, and the trial whose words come nearest the target is used, so
-that a source with a few very long documents doesn't miss its target by chance. Each
-trial alone gives every document its exact probability; choosing among them does not: in
-a source of few documents the same ones are taken under nearly any seed.
+document is taken floor(rate) times plus one more copy with the fraction as probability. The
+draw is a hash of the document's id. So that a source with a few very long documents doesn't miss
+its target by chance, draws are stratified: a source's documents fall into classes of like size, and
+each class takes its expected number of extra copies, rounded along the classes from a
+start drawn by a hash of the source. The documents of a class with the smallest draws get them.
+Every document so has exactly the fraction as its probability, also the only one of its source, and the
+number of copies is less than one off in each run of classes from the smallest on.
 
 Null texts have no words. Null sources form a source of their own, the last. Repeated
-rows count as they stand and share their draw. An empty table gives an empty result.
+rows count as they stand and share their draw, as do rows of one class without id: they are taken together. An
+empty table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offertide.functions.ranked import Ranked, numbered
@@ -24,7 +26,6 @@ from offertide.llm.common import BROADCAST_ROWS, attach_groups, hash_unit, text_
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
-ROTATIONS = 64
 SEED = 11
 
 _WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
@@ -74,33 +75,43 @@ def _rates(targets: DataFrame) -> DataFrame:
     return targets.withColumn("_whole", F.floor(rate).cast("long")).withColumn("_part", rate - F.floor(rate))
 
 
-def _trial(k) -> Column:
-    moved = F.col("_u") + k / F.lit(float(ROTATIONS))
-    return F.when(moved - F.floor(moved) < F.col("_part"), 1).otherwise(0).cast("long")
+def _size_class() -> Column:
+    """Two classes for each doubling of the size."""
+    return F.expr("2 * length(bin(size)) + CAST(shiftright(size, greatest(length(bin(size)) - 2, 0)) & 1 AS INT)")
 
 
-def rates_and_trials(sizes: DataFrame, weights: Sequence[int], most: int) -> tuple[DataFrame, int]:
-    """Stored (_source, _n, source_size, target, _whole, _part, _trial), and the number of rows."""
-    rates = written(_rates(source_targets(sizes, weights, most)), "mix-rates")
-    total = rates.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    extra = [F.sum(F.col("size") * _trial(F.lit(k))).alias(f"_t{k}") for k in range(ROTATIONS)]
-    drawn = attach_groups(sizes, rates.select("_source", "_n", "_part"), ["_source"], "_n", total)
-    sums = drawn.groupBy("_source").agg(*extra)
-    miss = F.array(*[
-        F.struct(F.abs(F.col("source_size") * F.col("_whole") + F.col(f"_t{k}") - F.col("target")).alias("miss"),
-                 F.lit(k).alias("k")) for k in range(ROTATIONS)])
-    return written(rates.join(sums, "_source").select(
-        *rates.columns, F.array_min(miss)["k"].alias("_trial")), "mix-trials"), total
+def _draws(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, *more: Column) -> DataFrame:
+    sizes = df.select(*more, _source_key(source_col).alias("_source"), word_count(text_col).alias("size"),
+                      hash_unit(seed, "mix", id_col).alias("_u"))
+    return sizes.withColumn("_class", _size_class())
+
+
+def copies_by_class(sizes: DataFrame, weights: Sequence[int], most: int, seed: int) -> tuple[DataFrame, int]:
+    """Stored (_source, _class, _m, source_size, target, _whole, _mark), and the number of rows of `sizes`.
+
+    `_m` is the rows of the class; those with a draw up to `_mark` get one copy more than `_whole`.
+    """
+    rates = _rates(source_targets(sizes, weights, most))
+    classes = sizes.groupBy("_source", "_class").agg(F.count("*").alias("_m")).join(rates.drop("_n"), "_source")
+    # A source has at most two classes for each bit of its sizes.
+    so_far = F.sum("_m").over(Window.partitionBy("_source").orderBy("_class"))
+    start = hash_unit(seed, "start", "_source")
+    quota = F.floor(so_far * F.col("_part") + start) - F.floor((so_far - F.col("_m")) * F.col("_part") + start)
+    classes = written(classes.withColumn("_quota", quota), "mix-classes")
+    total = classes.agg(F.coalesce(F.sum("_m"), F.lit(0))).first()[0]
+    keys = ["_source", "_class"]
+    ranked = numbered(sizes.select(*keys, "_u"), [F.asc("_u")], keys, "_at")
+    marks = attach_groups(ranked, classes.select(*keys, "_m", "_quota"), keys, "_m", total).where("_at = _quota")
+    return written(classes.join(marks.select(*keys, F.col("_u").alias("_mark")), keys, "left").drop("_quota", "_part"),
+                   "mix-marks"), total
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:
     """One row per row of `df`: id, size, source_size, target (both its source's) and taken words."""
-    sizes = written(df.select(
-        F.col(id_col).alias("_id"), _source_key(source_col).alias("_source"),
-        word_count(text_col).alias("size"), hash_unit(seed, "mix", id_col).alias("_u")), "mix-sizes")
-    rates, total = rates_and_trials(sizes, weights, most)
-    out = attach_groups(sizes, rates, ["_source"], "_n", total)
+    sizes = written(_draws(df, id_col, text_col, source_col, seed, F.col(id_col).alias("_id")), "mix-sizes")
+    classes, total = copies_by_class(sizes, weights, most, seed)
+    out = attach_groups(sizes, classes, ["_source", "_class"], "_m", total)
     return out.select(F.col("_id").alias(id_col), "size", "source_size", "target",
                       (F.col("size") * _copies()).alias("taken"))
 
@@ -108,18 +119,17 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 def take_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:
     """The rows of `df` as the mix takes them: left out, once, or repeated."""
-    wide = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all"),
-                     _source_key(source_col).alias("_source"), hash_unit(seed, "mix", id_col).alias("_u"))
-    sizes = written(df.select(
-        _source_key(source_col).alias("_source"), word_count(text_col).alias("size"),
-        hash_unit(seed, "mix", id_col).alias("_u")), "mix-sizes")
-    rates, total = rates_and_trials(sizes, weights, most)
-    out = attach_groups(wide, rates, ["_source"], "_n", total).withColumn("_copies", _copies()).where("_copies > 0")
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all")
+    sizes = written(_draws(df, id_col, text_col, source_col, seed), "mix-sizes")
+    classes, total = copies_by_class(sizes, weights, most, seed)
+    wide = _draws(df, id_col, text_col, source_col, seed, whole)
+    out = attach_groups(wide, classes, ["_source", "_class"], "_m", total).withColumn("_copies", _copies()).where("_copies > 0")
     return out.select("_all", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("_all.*")
 
 
 def _copies() -> Column:
-    return F.col("_whole") + _trial(F.col("_trial"))
+    """A class without a mark gets no extra copies."""
+    return F.col("_whole") + F.when(F.col("_u") <= F.col("_mark"), 1).otherwise(0).cast("long")
 
 
 __all__ = ["BROADCAST_ROWS", "mix", "source_targets", "take_mix", "word_count"]

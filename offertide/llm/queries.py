@@ -88,9 +88,10 @@ def _side(name: str, side: int, count: str) -> str:
 
 ORACLES: dict[str, str] = {
     "op2_mixing": r"""
-        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+        WITH l AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+        d AS (SELECT *, 2 * length(bin(size)) + ((size >> greatest(length(bin(size)) - 2, 0)) & 1) AS class,
                 ((('0x' || substr(md5(concat_ws('|', '11|mix', doc_id::VARCHAR)), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
-            FROM documents),
+            FROM l),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
         w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM s),
         r AS (SELECT *, sum(source_size) OVER o AS sizes, sum(weight) OVER o AS weights,
@@ -99,13 +100,14 @@ ORACLES: dict[str, str] = {
         share AS (SELECT max((all_sizes - 3 * (sizes - source_size))::DOUBLE / (all_weights - (weights - weight))::DOUBLE) AS share FROM r),
         t AS (SELECT source, source_size, least((3 * source_size)::DOUBLE, coalesce(share, 0) * weight) AS target FROM w, share),
         p AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
-        k AS (SELECT d.doc_id, d.size, p.*, g.k, floor(rate)::BIGINT + CASE WHEN
-                (u + g.k / 64.0::DOUBLE) - floor(u + g.k / 64.0::DOUBLE) < rate - floor(rate) THEN 1 ELSE 0 END AS copies
-            FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source, generate_series(0, 63) AS g(k)),
-        miss AS (SELECT source, k, abs(sum(size * copies) - max(target)) AS miss FROM k GROUP BY source, k),
-        best AS (SELECT source, k FROM miss QUALIFY row_number() OVER (PARTITION BY source ORDER BY miss, k) = 1)
-        SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken
-        FROM k JOIN best ON k.k = best.k AND k.source IS NOT DISTINCT FROM best.source""",
+        c AS (SELECT source, class, count(*) AS m FROM d GROUP BY source, class),
+        q AS (SELECT c.class, c.m, p.*, sum(m) OVER (PARTITION BY c.source ORDER BY class)::BIGINT AS so_far,
+                ((('0x' || substr(md5('11|start|' || coalesce('0' || c.source, '1')), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS start
+            FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source),
+        e AS (SELECT *, (floor(so_far * (rate - floor(rate)) + start) - floor((so_far - m) * (rate - floor(rate)) + start))::BIGINT AS quota FROM q),
+        k AS (SELECT d.*, row_number() OVER (PARTITION BY source, class ORDER BY u) AS pos FROM d)
+        SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + CASE WHEN pos <= quota THEN 1 ELSE 0 END))::BIGINT AS taken
+        FROM k JOIN e ON k.class = e.class AND k.source IS NOT DISTINCT FROM e.source""",
     "op3_preference_pairs": rf"""
         WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side,
                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos,

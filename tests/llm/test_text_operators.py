@@ -212,6 +212,29 @@ def test_mixing(stored):
     assert sum(size(r["text"]) for r in taken.collect()) == sum(g["taken"] for g in got)
 
 
+def test_extra_copies_have_the_fraction_as_probability(spark):
+    """Many equal sources are as many trials: each of their documents, and the only one of a source, keeps its probability."""
+    lengths = [3, 3, 4, 9, 40, 41, 300]
+    rows = [(1000 * s + d, "w " * n, f"s{s:04}") for s in range(900) for d, n in enumerate(lengths)]
+    for sizes, table in ((lengths, rows), ([7], [r for r in rows if r[0] % 1000 == 0])):
+        got = mixing.mix(spark.createDataFrame(table, "doc_id long, text string, source string")).collect()
+        extra = defaultdict(list)
+        for g in got:
+            rate = g["target"] / g["source_size"]
+            extra[round(rate, 6), g["doc_id"] % 1000].append(g["taken"] // g["size"] - int(rate))
+        assert len(extra) == 3 * len(sizes)
+        for (rate, _), copies in extra.items():
+            assert set(copies) <= {0, 1}
+            p, n = rate - int(rate), len(copies)
+            assert abs(sum(copies) / n - p) <= 4.5 * (p * (1 - p) / n) ** 0.5 + 1e-9
+        if len(sizes) > 1:  # rounded along the classes: less than one copy off for the whole source
+            by_source = defaultdict(int)
+            for g in got:
+                rate = g["target"] / g["source_size"]
+                by_source[g["doc_id"] // 1000, rate - int(rate)] += g["taken"] // g["size"] - int(rate)
+            assert all(abs(n - p * len(sizes)) < 1 + 1e-9 for (_, p), n in by_source.items())
+
+
 def test_language(stored):
     out = {(r["doc_id"], r["held_out"]): r for r in language.language_report(stored).collect()}
     for r in stored.collect():
