@@ -5,9 +5,13 @@ belongs (after password, secret, token, pwd, bearer and the like, also at the en
 name, or as the password of a URL) is cut into the pieces that make it cheapest to guess:
 words, dates, repeats, keyboard walks and brute force. The cheapest cut is found by dynamic programming over its characters, and
 the value is a secret if even that cut takes LEAST_LOG10 or more powers of ten of guesses.
+Words are ranked by a short list of frequent passwords, then by the corpus itself: its RANKED_WORDS most
+frequent runs of letters that occur LEAST_SEEN times or more, counted over all texts. That list is all that passes
+through the driver. A keyboard walk goes from key to neighbouring key and pays for each turn.
 Such spans are of kind "guess"; they never overlap a base span, and base spans stay. Of a
 value that a base span covers in part, the rest is a span: scored with the whole value if that
-is closed by a quote or is in a URL, and alone otherwise. Unquoted values end at , ; < or >.
+is closed by a quote or is in a URL, and alone otherwise. Unquoted values end at , ; < or >. Quoted values may hold single blanks, unless a
+comma, full stop or the like before a blank shows them to be sentences.
 Values have no upper length; the search takes time in proportion to it.
 
 Offsets are code points, ends exclusive. A null text is empty and has no spans. Repeated rows
@@ -17,9 +21,10 @@ are scanned alike. An empty table gives an empty result. Other columns are not l
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections.abc import Mapping, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +41,7 @@ KINDS = ("assign", "access", "hex")
 # Where a credential stands besides the base patterns.
 CONTEXT = re.compile(
     r"""(?:password|passwd|secret|token|api[_-]?key|(?<![A-Z0-9])(?:pwd|pass|passphrase|passcode|pin_code|credentials?|(?:private|access|client|auth|secret)[_-]?key|bearer))"""
-    r"""["']?(?:\x20*[:=]\x20*|\x20+(?<=bearer\x20))(?="([^\s"]{6,})"|'([^\s']{6,})'|["']?([^\s"'<>,;]{6,}))""",
+    r"""["']?(?:\x20*[:=]\x20*|\x20+(?<=bearer\x20))(?="((?=[^"]{6})[^\s"]+(?:(?<![.,;:!?])\x20[^\s"]+)*)"|'((?=[^']{6})[^\s']+(?:(?<![.,;:!?])\x20[^\s']+)*)'|["']?([^\s"'<>,;]{6,}))""",
     re.ASCII | re.IGNORECASE)
 USERINFO = re.compile(r"://[^\s/:@]+:([^\s/:@]{6,})@")
 CONTEXT_WORDS = ("pwd", "pass", "pin_code", "credential", "key", "bearer", "secret", "token")
@@ -51,35 +56,77 @@ WORDS = ("password pass secret admin welcome login letmein dragon monkey master
          "the and for you not with key token qwerty").split()
 KEYBOARD_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 
-_RANK = {w: r + 1 for r, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
+RANKED_WORDS = 20_000
+LEAST_SEEN = 20
+LONGEST_WORD = 24
+"""Words of the corpus that count in a cut: at most so many, so frequent, of 3 to so many letters."""
+
+LONGEST_WALK = 40
+"""Keys of one walk; a longer one is several pieces."""
+
+_KEYS = {k: (x, y) for y, row in enumerate(KEYBOARD_ROWS) for x, k in enumerate(row)}
+_STEPS = {(1, 0), (-1, 0), (0, 1), (0, -1), (-1, 1), (1, -1)}  # each row stands half a key right of the one above
 _LEET = str.maketrans("043157$@!", "oaelstsai")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
 
 
-def guess_cost(value: str) -> float:
+def word_ranks(corpus_words: Sequence[str] = ()) -> dict[str, int]:
+    """Ranks from 1: the fixed list, then `corpus_words` by falling frequency."""
+    return {w: r + 1 for r, w in enumerate(dict.fromkeys([*WORDS, *corpus_words]))}
+
+
+FIXED_RANKS = word_ranks()
+
+
+def frequent_words(df: DataFrame, text_col: str = "text") -> list[str]:
+    """The most frequent words of all texts, at most RANKED_WORDS; ties by the word itself."""
+    found = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"\p{L}+"), F.lit(0))
+    words = df.select(F.explode(found).alias("word")).where(F.length("word").between(3, LONGEST_WORD))
+    counted = words.groupBy("word").count().where(F.col("count") >= LEAST_SEEN)
+    return [r["word"] for r in counted.orderBy(F.desc("count"), "word").limit(RANKED_WORDS).collect()]
+
+
+def _walk_ends(plain: str, i: int):
+    """(end, turns) of the keyboard walks of three keys or more that begin at `i`."""
+    here, way, turns = _KEYS.get(plain[i]), None, 0
+    for j in range(i + 1, min(len(plain), i + LONGEST_WALK)):
+        there = _KEYS.get(plain[j])
+        if here is None or there is None:
+            return
+        step = (there[0] - here[0], there[1] - here[1])
+        if step not in _STEPS:
+            return
+        turns += way is not None and step != way
+        here, way = there, step
+        if j - i >= 2:
+            yield j + 1, turns
+
+
+def guess_cost(value: str, ranks: Mapping[str, int] = FIXED_RANKS) -> float:
     """log10 of the guesses that the cheapest cut of `value` takes."""
     n, plain = len(value), value.lower()
+    if len(plain) != n:  # a letter that becomes two when lowered
+        plain = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     unleet = plain.translate(_LEET)
-    pool = np.log10(sum(size for size, found in (
+    pool = math.log10(sum(size for size, found in (
         (26, re.search("[a-z]", value)), (26, re.search("[A-Z]", value)), (10, re.search("[0-9]", value)),
         (33, re.search("[^A-Za-z0-9]", value))) if found) or 1)
     best, runs = [0.0] + [float("inf")] * n, {}
     for i in range(n):
         here = best[i]
         best[i + 1] = min(best[i + 1], here + pool)  # brute force, one character
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            rank = _RANK.get(plain[i:j]) or 2 * _RANK.get(unleet[i:j], 0)
+        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
+            rank = ranks.get(plain[i:j]) or 2 * ranks.get(unleet[i:j], 0)
             if rank:
                 cased = 1 + sum(c.isupper() for c in value[i:j])
-                best[j] = min(best[j], here + np.log10(2 * rank * cased) + 1)
+                best[j] = min(best[j], here + math.log10(2 * rank * cased) + 1)
         if m := _DATE.match(value, i):
-            best[m.end()] = min(best[m.end()], here + np.log10(365 * 120 if m.end() - i > 4 else 120) + 1)
+            best[m.end()] = min(best[m.end()], here + math.log10(365 * 120 if m.end() - i > 4 else 120) + 1)
         for width in (1, 2, 3, 4):
             # A repeat that begins later in the same run is tried only where it can be cheaper than
             # the earlier one, so a long run is not walked from each of its characters.
             from_, until = runs.get((width, i % width), (0, 0))
-            if i + width <= until and here - best[from_] >= np.log10((i - from_) // width + 1):
+            if i + width <= until and here - best[from_] >= math.log10((i - from_) // width + 1):
                 continue
             unit, j = plain[i:i + width], i + width
             if len(unit) < width:
@@ -89,15 +136,10 @@ def guess_cost(value: str) -> float:
             while plain.startswith(unit, j):
                 j += width
                 if j - i >= 3:
-                    best[j] = min(best[j], here + width * pool + np.log10((j - i) // width) + 0.5)
+                    best[j] = min(best[j], here + width * pool + math.log10((j - i) // width) + 0.5)
             runs[width, i % width] = (i, j)
-        for row in KEYBOARD_ROWS:
-            for line in (row, row[::-1]):
-                at, j = line.find(plain[i]), i + 1
-                while at >= 0 and j < n and at + j - i < len(line) and plain[j] == line[at + j - i]:
-                    j += 1
-                    if j - i >= 3:
-                        best[j] = min(best[j], here + np.log10(94 * (j - i)) + 0.5)
+        for j, turns in _walk_ends(plain, i):
+            best[j] = min(best[j], here + math.log10(94 * (j - i)) + turns * math.log10(5) + 0.5)
     return float(best[n])
 
 
@@ -113,7 +155,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def guessed_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+def guessed_spans(text: str, taken: list[tuple[int, int, int]],
+                  ranks: Mapping[str, int] = FIXED_RANKS) -> list[tuple[int, int]]:
     """Values in credential contexts that are hard to guess and outside the spans in `taken`."""
     lower, found = text.lower(), []
     if any(w in lower for w in CONTEXT_WORDS):
@@ -133,8 +176,8 @@ def guessed_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[in
         if at < b:
             rests.append((at, b))
         # Where a closing mark shows that all of it is the value, the value counts as a whole.
-        hard = bool(rests) and closed and guess_cost(text[a:b]) >= LEAST_LOG10
-        more = [(s, e) for s, e in rests if hard or guess_cost(text[s:e]) >= LEAST_LOG10]
+        hard = bool(rests) and closed and guess_cost(text[a:b], ranks) >= LEAST_LOG10
+        more = [(s, e) for s, e in rests if hard or guess_cost(text[s:e], ranks) >= LEAST_LOG10]
         if more:
             out += more
             last = b
@@ -147,14 +190,17 @@ def secret_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         T.StructField(id_col, df.schema[id_col].dataType), *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS],
         T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_guess", T.LongType())])
 
+    shared = df.sparkSession.sparkContext.broadcast(frequent_words(df, text_col))
+
     def scan(batches):
+        ranks = word_ranks(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rows = []
                 for text in part.column("text").to_pylist():
                     base = base_spans(text or "")
-                    more = guessed_spans(text or "", base)
+                    more = guessed_spans(text or "", base, ranks)
                     told = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in base)
                     every = sorted([*base, *((a, 3, b) for a, b in more)])
                     rows.append((*[sum(x[1] == k for x in base) for k in range(3)],

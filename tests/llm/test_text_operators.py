@@ -368,6 +368,89 @@ def test_guess_cost_prefers_structure():
     assert secrets.guess_cost("19981224") < 7
 
 
+def _cheapest(value, ranks):
+    """guess_cost by trying every cut; a piece costs the least of what it can be read as."""
+    pool = 0
+    for size, there in ((26, str.islower), (26, str.isupper), (10, str.isdigit), (33, lambda c: not c.isalnum())):
+        pool += size * any(map(there, value))
+    pool = np.log10(pool)
+    rows = [secrets.KEYBOARD_ROWS[y] for y in range(4)]
+    spot = {c: (x, y) for y, row in enumerate(rows) for x, c in enumerate(row)}
+
+    def piece(raw):
+        low, costs = raw.lower(), [pool] if len(raw) == 1 else []
+        ups = sum(c.isupper() for c in raw)
+        plain = "".join({"0": "o", "4": "a", "3": "e", "1": "l", "5": "s", "7": "t", "$": "s", "@": "a", "!": "i"}.get(c, c) for c in low)
+        if len(raw) >= 3:
+            if low in ranks:
+                costs.append(np.log10(2 * ranks[low] * (1 + ups)) + 1)
+            elif plain in ranks:
+                costs.append(np.log10(4 * ranks[plain] * (1 + ups)) + 1)
+            for w in (1, 2, 3, 4):
+                if len(low) > w and len(low) % w == 0 and low == low[:w] * (len(low) // w):
+                    costs.append(w * pool + np.log10(len(low) // w) + 0.5)
+            ways = [(spot[b][0] - spot[a][0], spot[b][1] - spot[a][1]) if a in spot and b in spot else None for a, b in zip(low, low[1:])]
+            if all(d in {(1, 0), (-1, 0), (0, 1), (0, -1), (-1, 1), (1, -1)} for d in ways):
+                turns = sum(a != b for a, b in zip(ways, ways[1:]))
+                costs.append(np.log10(94 * len(low)) + turns * np.log10(5) + 0.5)
+        return min(costs, default=np.inf)
+
+    def rest(at):
+        return 0.0 if at == len(value) else min(piece(value[at:end]) + rest(end) for end in range(at + 1, len(value) + 1))
+
+    return rest(0)
+
+
+def test_guess_cost_is_that_of_the_cheapest_cut():
+    rnd, ranks = random.Random(12), secrets.word_ranks(["abc", "cab", "sabba", "waste"])
+    for alphabet in ("ab", "abcB", "aswqAz", "p@s$w0rdS", "123qweasd", "x#7"):
+        for _ in range(60):
+            value = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 10)))
+            assert not secrets._DATE.search(value)
+            assert secrets.guess_cost(value, ranks) == pytest.approx(_cheapest(value, ranks)), value
+
+
+def test_neighbouring_keys_are_cheap():
+    assert secrets.guess_cost("1qaz2wsx") < secrets.LEAST_LOG10 < secrets.guess_cost("1z4m9wxp")
+
+
+def test_words_of_the_corpus_are_no_secrets(spark):
+    plain = "The bearer established himself, required congratulations and so on. "
+    rows = [(k, plain) for k in range(25)] + [(90, "The bearer esthablisqued xx"), (91, None)]
+    got = {r["doc_id"]: r for r in secrets.secret_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k]["spans"] == "" for k in (*range(25), 91)) and got[90]["n_guess"] == 1
+    words = secrets.frequent_words(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert words[:2] == ["bearer", "the"] and "esthablisqued" not in words
+
+
+@pytest.mark.parametrize(("text", "value"), [
+    ('passphrase = "zebra lamp orbit cloud"', "zebra lamp orbit cloud"),
+    ("passcode: 'zebra lamp orbit cloud'", "zebra lamp orbit cloud"),
+    ('secret: "nobody came, so we left. It was late"', None), ('passphrase = "zebra  lamp"', None), ('pwd = "zebra\nlamp"', None)])
+def test_quoted_phrases(text, value):
+    got = [text[a:b] for a, b in secrets.guessed_spans(text, secrets.base_spans(text))]
+    assert [g for g in got if " " in g] == ([value] if value else [])
+
+
+def test_rest_of_a_quoted_phrase_beside_a_base_span():
+    text = 'password = "correcthorse battery staple"'
+    base = secrets.base_spans(text)
+    assert [text[a:b] for _, a, b in [(k, a, b) for a, k, b in base]] == ['password = "correcthorse']
+    assert [text[a:b] for a, b in secrets.guessed_spans(text, base)] == [" battery staple"]
+
+
+def test_base_spans_equal_a_plain_scan():
+    rnd, bits = random.Random(8), ["password", "API_key", "token", "=", ":", " ", '"', "'", "AKIA", "0af9", "Zz9+/", "AB12", "deadbeef" * 4, "\n", "é", "."]
+    for _ in range(400):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 25)))
+        want = []
+        for kind, pattern, group, least in (
+                (0, r"""(?i:(password|passwd|secret|token|api_?key))["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+                (1, r"(AKIA[A-Z0-9]+)", 1, 16), (2, r"([0-9a-f]+)", 1, 32)):
+            want += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+        assert secrets.base_spans(text) == sorted(want), text
+
+
 def test_preferences(spark):
     rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "yo"), (0, 2, "user", "x"), (1, 1, "assistant", "yo"), (1, 0, "user", "hi"),
             (1, 2, "user", "y <|end|>"), (1, 3, "assistant", None), (2, 0, None, "alone"), (None, 0, "user", "lost"), (4, 0, "user", "s"), (5, 0, "user", "s")]
