@@ -5,9 +5,9 @@ belongs (after password, secret, token, pwd, bearer and the like, also at the en
 name, or as the password of a URL) is cut into the pieces that make it cheapest to guess:
 words, dates, repeats, keyboard walks and brute force. The cheapest cut is found by dynamic programming over its characters, and
 the value is a secret if even that cut takes LEAST_LOG10 or more powers of ten of guesses.
-Words are ranked by a short list of frequent passwords, then by the corpus itself: its RANKED_WORDS most
-frequent runs of letters that occur LEAST_SEEN times or more, counted over all texts. That list is all that passes
-through the driver. A keyboard walk goes from key to neighbouring key and pays for each turn.
+Words are ranked by a short list of frequent passwords, then by the corpus itself: its most frequent
+runs of letters, RANKED_WORDS at most, that occur LEAST_SEEN times or more, counted over all texts. That list is all
+that passes through the driver. A keyboard walk goes from key to neighbouring key and pays for each turn.
 Such spans are of kind "guess"; they never overlap a base span, and base spans stay. Of a
 value that a base span covers in part, the rest is a span: scored with the whole value if that
 is closed by a quote or is in a URL, and alone otherwise. Unquoted values end at , ; < or >. Quoted values may hold single blanks, unless a
@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from offertide.llm.common import written
+
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # 16 or more in all
@@ -78,12 +80,26 @@ def word_ranks(corpus_words: Sequence[str] = ()) -> dict[str, int]:
 FIXED_RANKS = word_ranks()
 
 
-def frequent_words(df: DataFrame, text_col: str = "text") -> list[str]:
-    """The most frequent words of all texts, at most RANKED_WORDS; ties by the word itself."""
+def frequent_words(df: DataFrame, text_col: str = "text", most: int = RANKED_WORDS) -> list[str]:
+    """The most frequent words of all texts by falling count, ties by the word itself.
+
+    Counts fall into classes, 16 to a doubling. The list holds the highest classes that
+    together have at most `most` words, so no task or driver has to hold more.
+    """
     found = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"\p{L}+"), F.lit(0))
     words = df.select(F.explode(found).alias("word")).where(F.length("word").between(3, LONGEST_WORD))
-    counted = words.groupBy("word").count().where(F.col("count") >= LEAST_SEEN)
-    return [r["word"] for r in counted.orderBy(F.desc("count"), "word").limit(RANKED_WORDS).collect()]
+    often = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SEEN)
+    counted = written(often.withColumn("class", F.floor(16 * F.log2("n"))), "word-counts")
+    total, least = 0, None
+    for r in sorted(counted.groupBy("class").count().collect(), reverse=True):  # at most 16 classes for each bit of a count
+        total += r["count"]
+        if total > most:
+            break
+        least = r["class"]
+    if least is None:
+        return []
+    kept = counted.where(F.col("class") >= F.lit(least)).select("word", "n").collect()
+    return [r["word"] for r in sorted(kept, key=lambda r: (-r["n"], r["word"]))]
 
 
 def _walk_ends(plain: str, i: int):

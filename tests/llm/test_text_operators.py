@@ -421,6 +421,9 @@ def test_words_of_the_corpus_are_no_secrets(spark):
     assert all(got[k]["spans"] == "" for k in (*range(25), 91)) and got[90]["n_guess"] == 1
     words = secrets.frequent_words(spark.createDataFrame(rows, "doc_id long, text string"))
     assert words[:2] == ["bearer", "the"] and "esthablisqued" not in words
+    few = spark.createDataFrame([("one " * 90 + "two " * 60 + "three four " * 30,)], "text string")
+    assert [secrets.frequent_words(few, most=n) for n in (1, 3, 4)] == [["one"], ["one", "two"], ["one", "two", "four", "three"]]
+    assert secrets.frequent_words(few, most=0) == []
 
 
 @pytest.mark.parametrize(("text", "value"), [
