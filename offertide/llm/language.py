@@ -5,7 +5,9 @@ Training counts the n-grams of each language in a bounded sample of labelled row
 of BUCKETS rows and one column per language: its size doesn't depend on the data, and it is
 broadcast. Scoring is sparse: a text's n-grams select rows of the matrix, which numpy adds
 up a batch at a time. Texts are lower-cased, and runs of characters that aren't letters
-become one space. Whole texts are scored, long ones in segments.
+become one space. Whole texts are scored, long ones in segments that carry the last characters on, so
+that no n-gram is lost between them. All languages are equally likely beforehand. More than MOST_LANGUAGES
+labels raise a ValueError, as the matrix would have no bound.
 
 A text that is null or has no letter is "und" with score 0. Ties go to the language that
 sorts first. Without any labelled text everything is "und". The score is the posterior
@@ -30,6 +32,8 @@ BUCKETS = 1 << 15
 TRAIN_ROWS = 8_000
 SMOOTHING = 0.5
 SEGMENT = 1 << 18
+BATCH_GRAMS = 1 << 18
+"""A batch is scored whenever it has so many n-grams, whatever the length of its texts."""
 MOST_LANGUAGES = 500
 """More labels than this are not languages; the matrix would no longer be small."""
 
@@ -56,21 +60,27 @@ class _Grams:
         return any(map(str.isalpha, text))
 
     def segments(self, text: str):
+        """Bucket numbers of the n-grams of `text`, a part at a time."""
+        carried = np.zeros(0, np.uint64)
         for at in range(0, len(text), SEGMENT):
-            yield self.buckets(text[at:at + SEGMENT])
-
-    def buckets(self, text: str) -> np.ndarray:
-        codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = np.where(self.letter[codes], codes, np.uint32(32))
-        blank = codes == 32
-        codes = codes[~(blank & np.r_[False, blank[:-1]])].astype(np.uint64)
+            codes = np.frombuffer(text[at:at + SEGMENT].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+            codes = np.where(self.letter[codes], codes, np.uint32(32))
+            blank = codes == 32
+            after_blank = np.r_[bool(len(carried)) and carried[-1] == 32, blank[:-1]]
+            codes = np.r_[carried, codes[~(blank & after_blank)].astype(np.uint64)]
+            yield self.buckets(codes, len(carried))
+            carried = codes[max(0, len(codes) - max(self.orders) + 1):]
+
+    def buckets(self, codes: np.ndarray, known: int) -> np.ndarray:
+        """Of the n-grams that end after the first `known` characters."""
         out, rolled = [], np.zeros(len(codes), np.uint64)
         for n in range(1, max(self.orders) + 1):
             if len(codes) < n:
                 break
             rolled = (rolled[:len(codes) - n + 1] + codes[n - 1:]) * _MULTIPLIER
             if n in self.orders:
-                out.append((rolled ^ (rolled >> np.uint64(29))) * _MULTIPLIER >> self.shift)
+                new = rolled[max(0, known - n + 1):]
+                out.append((new ^ (new >> np.uint64(29))) * _MULTIPLIER >> self.shift)
         return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -118,27 +128,43 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", orders: tuple[i
 
     def score(batches):
         languages, weights, prior = shared.value
-        grams = _Grams(orders, len(weights))
-
-        def one(text):
-            if text is None or not languages or not grams.has_letter(text):
-                return UNKNOWN, 0.0
-            total, n = prior.copy(), 0
-            for got in grams.segments(text):
-                # Rows of the matrix that the text selects, each as often as it occurs.
-                times = np.bincount(got, minlength=0) if len(got) > len(weights) else None
-                total += (times @ weights[:len(times)]) if times is not None else weights[got].sum(axis=0, dtype=np.float64)
-                n += len(got)
-            best = int(np.argmax(total))
-            return languages[best], float(1.0 / np.exp(total - total[best]).sum())
+        grams, by_language = _Grams(orders, len(weights)), np.ascontiguousarray(weights.T)
+
+        def add(totals, owners, held):
+            """One product of the batch's n-gram counts with the matrix: its rows, summed over each text's stretch."""
+            cells = np.concatenate(held)
+            starts = np.r_[0, np.cumsum([len(h) for h in held])[:-1]]
+            for k, column in enumerate(by_language):
+                np.add.at(totals[:, k], owners, np.add.reduceat(column[cells], starts, dtype=np.float64))
+
+        def judge(texts):
+            known = np.array([t is not None and bool(languages) and grams.has_letter(t) for t in texts], bool)
+            totals = np.tile(prior, (len(texts), 1))
+            owners, held, size = [], [], 0
+            for i in np.flatnonzero(known):
+                for got in grams.segments(texts[i]):
+                    if len(got):
+                        owners.append(i)
+                        held.append(got)
+                        size += len(got)
+                    if size >= BATCH_GRAMS:
+                        add(totals, owners, held)
+                        owners, held, size = [], [], 0
+            if held:
+                add(totals, owners, held)
+            if not languages:
+                return [UNKNOWN] * len(texts), np.zeros(len(texts))
+            best = totals.argmax(axis=1)
+            top = totals[np.arange(len(texts)), best]
+            scores = np.where(known, 1.0 / np.exp(totals - top[:, None]).sum(axis=1), 0.0)
+            return [languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], scores
 
         for batch in batches:
             labels, scores = [], []
             for at in range(0, batch.num_rows, 256):
-                for text in batch.column(text_col).slice(at, 256).to_pylist():
-                    label, value = one(text)
-                    labels.append(label)
-                    scores.append(value)
+                found, values = judge(batch.column(text_col).slice(at, 256).to_pylist())
+                labels += found
+                scores += values.tolist()
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in names], pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
                 names=[*names, "lang_pred", "score"])

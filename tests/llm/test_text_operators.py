@@ -252,6 +252,48 @@ def test_language_is_learnt(spark):
     assert all(r["lang_pred"] == rows[r["doc_id"]][2] for r in out)
 
 
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = language.language_report(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'")
+    right = [r["lang"] == r["lang_pred"] for r in out.collect()]
+    assert len(right) > 100 and sum(right) / len(right) > 0.98
+
+
+def test_ngrams_survive_the_seams_of_segments(monkeypatch):
+    grams, rnd = language._Grams(language.ORDERS, language.BUCKETS), random.Random(5)
+    for _ in range(60):
+        text = "".join(rnd.choice("abcé  .1ß") for _ in range(rnd.randint(0, 60)))
+        got = []
+        for size in (1, 2, 3, 7, 1000):
+            monkeypatch.setattr(language, "SEGMENT", size)
+            got.append(np.sort(np.concatenate([*grams.segments(text), np.zeros(0, np.int64)])).tolist())
+        assert all(g == got[-1] for g in got), text
+
+
+def test_batches_score_as_single_texts_do(spark, monkeypatch):
+    rnd = random.Random(9)
+    model = language.Model(["x", "y", "z"], np.log(np.random.default_rng(1).random((language.BUCKETS, 3))).astype(np.float32), np.zeros(3))
+    texts = [None, "", " 12 ", "ab", *["".join(rnd.choice("abcd e") for _ in range(rnd.randint(1, 900))) for _ in range(40)]]
+    got = {}
+    for size in (1, 500, 1 << 18):
+        monkeypatch.setattr(language, "BATCH_GRAMS", size)
+        out = language.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), model).collect()
+        got[size] = {r["doc_id"]: (r["lang_pred"], round(r["score"], 6)) for r in out}
+    grams = language._Grams(language.ORDERS, language.BUCKETS)
+    for i, text in enumerate(texts):
+        want = ("und", 0.0)
+        if any(map(str.isalpha, text or "")):
+            sums = sum(model.weights[g].sum(axis=0, dtype=np.float64) for g in grams.segments(text))
+            want = ("xyz"[int(sums.argmax())], round(float(1 / np.exp(sums - sums.max()).sum()), 6))
+        assert {g[i] for g in got.values()} == {want}
+
+
+def test_too_many_labels_raise(spark):
+    rows = spark.range(language.MOST_LANGUAGES + 2).selectExpr("id AS doc_id", "'some text' AS text", "CAST(id AS STRING) AS lang")
+    with pytest.raises(ValueError, match="labels"):
+        language.train(rows)
+
+
 def test_sharding(stored):
     got = sharding.shard_report(stored).collect()
     want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in stored.collect())
