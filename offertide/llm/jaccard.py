@@ -64,6 +64,8 @@ LEAST_BUCKETS = 64
 
 CHUNK = 4_000_000
 REMEMBERED = 200_000
+KNOWN_WORDS = 200_000
+"""Word hashes that a worker keeps, some 40 MB."""
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -91,7 +93,7 @@ class Shingler:
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
         if not words:
             return np.zeros(0, np.uint64)
-        if len(self.known) > 1_000_000:
+        if len(self.known) > KNOWN_WORDS:
             self.known.clear()
         codes = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         width = min(WORDS, len(words))
