@@ -16,7 +16,10 @@ The order and the sample change the work, never the result.
 
 Links. Sets with a signature in common are tied to one of them, their leader, then once more to
 leaders drawn anew where a signature is still shared by more than one component. Where that leaves
-components apart, every pair of a signature's sets from different components counts. Such pairs are
+components apart, every pair of a signature's sets from different components counts, if at most
+HOT_MEMBERS sets share it. The sets of more common signatures, such as those of a template, are enumerated
+once more, by the rarest elements among them: for each band of partners' sizes, so many that two linked sets must
+share one. Sets that have little but the template in common don't meet there. All pairs are
 first held against a sketch of one parity bit for each range of a finer cut: sets differ in at least as many elements as sketches
 differ in bits. Pairs that pass are checked on the sets themselves. So no link between
 components is lost, though a group of thousands of copies is never expanded into pairs.
@@ -34,7 +37,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,10 +62,17 @@ DRAWS = 4
 """Leaders drawn for a signature that several components share."""
 
 BRIEF = 16
-LEAST_BUCKETS = 64
-"""Signatures travel in one row for each document and bucket, so rows are at most signatures."""
+LEAST_BUCKETS = 16
+BUCKET_BYTES = 8 << 20
+"""Text for each bucket of signatures, so that a task's share stays the same however large the table is.
+Signatures travel in one row for each document and bucket, so rows are at most signatures."""
 
-CHUNK = 4_000_000
+HOT_MEMBERS = 256
+"""Sets behind one signature from which they are compared by their rarest elements and not pair by pair."""
+BANDS = 20
+"""Bands of set sizes for each factor of e, that is, some 5 % wide."""
+
+CHUNK = 1_000_000
 REMEMBERED = 200_000
 KNOWN_WORDS = 200_000
 """Word hashes that a worker keeps, some 40 MB."""
@@ -159,9 +169,8 @@ def signatures(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _common_elements(texts: DataFrame, sample_rows: int) -> np.ndarray:
-    """Elements of many rows in a bounded sample, to order parts by."""
-    n = texts.count()
+def _common_elements(texts: DataFrame, n: int, sample_rows: int) -> np.ndarray:
+    """Elements of many rows in a bounded sample of the `n` rows, to order parts by."""
     share = min(1.0, sample_rows / max(n, 1))
     some = texts.where(F.pmod(F.col("k"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)).select("text")
 
@@ -304,13 +313,17 @@ class _Checker:
     def __init__(self, texts: DataFrame, nodes: DataFrame) -> None:
         self.texts, self.nodes, self.sets = texts, nodes, None
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of stored `pairs` that link."""
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def fetch(self, asked: DataFrame) -> DataFrame:
+        """Stored sets that include those of the distinct nodes `asked(node)`."""
         if self.sets is not None:
             asked = asked.join(self.sets.select("node"), "node", "left_anti")
         new = self._make(written(asked.join(self.nodes.select("node", "k"), "node").select("k"), "jaccard-asked"))
         self.sets = new if self.sets is None else self.sets.union(new)
+        return self.sets
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of stored `pairs` that link."""
+        self.fetch(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         a = self.sets.select(F.col("node").alias("a"), F.col("set").alias("_x"))
         b = self.sets.select(F.col("node").alias("b"), F.col("set").alias("_y"))
         both = F.size(F.array_intersect("_x", "_y")).cast("long")
@@ -372,7 +385,7 @@ def _drawn_pairs(mixed: DataFrame, draws: int) -> DataFrame:
     return drawn.distinct()
 
 
-def _remaining_pairs(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
+def _remaining_pairs(mixed: DataFrame, nodes: DataFrame, checker: _Checker) -> DataFrame:
     """Pairs (a, b) from different components with a signature in common and brief sketches near enough.
 
     A node stands here once for each of its signatures, so it carries its sketch folded to
@@ -380,13 +393,47 @@ def _remaining_pairs(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     words = (f"transform(sequence(0, {BRIEF - 1}), i -> aggregate(filter(sketch, (x, j) -> j % {BRIEF} = i), 0L, (s, x) -> s ^ x))")
     brief = nodes.selectExpr("node", "n", f"IF(size(sketch) <= {BRIEF}, sketch, {words}) AS sketch")
+    hot = written(mixed.groupBy("sig").count().where(F.col("count") > HOT_MEMBERS).select("sig"), "jaccard-hot")
     few = mixed.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, BRIEF).alias("sigs"))
-    rows = written(mixed.join(brief, "node").join(few, "node"), "jaccard-remaining")
+    cold = mixed.join(hot, "sig", "left_anti")
+    rows = written(cold.join(brief, "node").join(few, "node"), "jaccard-remaining")
     side = lambda x: rows.select("sig", F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "root", "sketch", "sigs")])
-    # Of a pair's common signatures among the first of each, only the first gives the pair.
+    # Of a pair's common signatures among the first of each, only the first gives the pair; if that is a hot one, it does below.
     once = "sig = coalesce(array_min(array_intersect(a_sigs, b_sigs)), sig)"
-    return side("a").join(side("b"), "sig").where(
+    pairs = side("a").join(side("b"), "sig").where(
         f"a > b AND a_root <> b_root AND {_near_size()} AND {once} AND {_alike()}").select("a", "b").distinct()
+    if hot.isEmpty():
+        return pairs
+    members = written(mixed.join(hot, "sig", "left_semi").select("node", "root").distinct().join(brief, "node"), "jaccard-members")
+    return pairs.union(_pairs_by_rarest(members, checker.fetch(members.select("node")))).distinct()
+
+
+def _pairs_by_rarest(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of stored `members(node, root, n, sketch)` that may link, from their rarest elements.
+
+    Linked sets of sizes a and b have t = 3 * (a + b) / 7 elements in common, so in one order of all
+    elements they share one among the first a - t + 1 and b - t + 1. The order is by rarity
+    among the members. A set stands under each band of sizes that a partner may have, with as many elements
+    as the smallest size of that band asks for. Elements of one set alone count in the order only.
+    """
+    once = sets.dropDuplicates(["node"])  # repeated rows give a set more than once
+    held = members.select("node").join(once, "node").select("node", F.explode("set").alias("e"))
+    often = written(held.groupBy("e").agg(F.count("*").alias("often")).where("often > 1"), "jaccard-often")
+    order = Window.partitionBy("node").orderBy(F.coalesce("often", F.lit(1)), "e")
+    ranked = held.join(often, "e", "left").withColumn("place", F.row_number().over(order)).where("often > 1").drop("often")
+    band = lambda x: f"CAST(floor({BANDS} * ln({x})) AS INT)"
+    least = f"greatest(1, CAST(floor(exp(other / {BANDS}.0D)) AS BIGINT) - 1)"  # at most the smallest size of the band
+    other = F.explode(F.expr(f"sequence({band(f'greatest(1, n * {NUMERATOR} div {DENOMINATOR} - 1)')}, {band(f'n * {DENOMINATOR} div {NUMERATOR} + 1')})"))
+    placed = ranked.join(members.select("node", "root", "n"), "node").withColumn("other", other).where(
+        f"place <= n - (3 * (n + {least}) + 6) div 7 + 1").selectExpr("node", "root", "e", f"{band('n')} AS own", "other")
+    key = ["e", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")]
+    stored = written(placed.select(*key, "own", "other", "node", "root"), "jaccard-rarest")
+    mixed = stored.groupBy("e", "low", "high").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").drop("r", "s")
+    rows = stored.join(mixed, ["e", "low", "high"], "left_semi")
+    a = rows.selectExpr("e", "own", "other", "node AS a", "root AS a_root")
+    b = rows.selectExpr("e", "other AS own", "own AS other", "node AS b", "root AS b_root")
+    pairs = a.join(b, ["e", "own", "other"]).where("a > b AND a_root <> b_root").select("a", "b").distinct()
+    return _with_sketches(pairs, members).where(_alike()).select("a", "b")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -399,11 +446,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _grouped(df: DataFrame, id_col: str, text_col: str, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """_id, k (hash of id and text) and n of each row; of its group, if it has several rows, the first id and k, null ids last."""
-    spark = df.sparkSession
     keyed = df.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
     texts = keyed.select("k", "text")
-    buckets = max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    stored = _tie(_enumerate(texts, _common_elements(texts, sample_rows), buckets), buckets)
+    rows, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    buckets = LEAST_BUCKETS + size // BUCKET_BYTES
+    stored = _tie(_enumerate(texts, _common_elements(texts, rows, sample_rows), buckets), buckets)
     docs = stored.where("sig IS NULL").select("k", "node", "n", "sketch")
     ties = stored.where("sig IS NOT NULL").select("sig", "lead", "lead_n", "node", "n")
 
@@ -422,7 +469,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, sample_rows: int = SAMPL
     links = links.union(check(_drawn_pairs(mixed, DRAWS)))
     roots = connected(links, rounds=2)
     mixed = _mixed_signatures(ties, roots)
-    links = links.union(check(_remaining_pairs(mixed, nodes)))
+    links = links.union(check(_remaining_pairs(mixed, nodes, checker)))
     roots = connected(links)
 
     total = docs.count()

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,8 +119,9 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return Model(languages, weights.astype(np.float32), np.zeros(len(languages)))
 
 
-def predict(df: DataFrame, model: Model, text_col: str = "text", orders: tuple[int, ...] = ORDERS) -> DataFrame:
-    """`df` with lang_pred and score added; its own columns stay."""
+def predict(df: DataFrame, model: Model, text_col: str = "text", orders: tuple[int, ...] = ORDERS,
+            inside: str | None = None) -> DataFrame:
+    """`df` with lang_pred and score added; its own columns stay. The text is a field of column `inside`, if that is named."""
     names = [c for c in df.columns if c not in ("lang_pred", "score")]
     schema = T.StructType([*[df.schema[c] for c in names], T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
@@ -160,14 +162,13 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", orders: tuple[i
             return [languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], scores
 
         for batch in batches:
-            labels, scores = [], []
             for at in range(0, batch.num_rows, 256):
-                found, values = judge(batch.column(text_col).slice(at, 256).to_pylist())
-                labels += found
-                scores += values.tolist()
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in names], pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
-                names=[*names, "lang_pred", "score"])
+                part = batch.slice(at, 256)
+                texts = part.column(text_col) if inside is None else pc.struct_field(part.column(inside), text_col)
+                labels, scores = judge(texts.to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c) for c in names], pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
+                    names=[*names, "lang_pred", "score"])
 
     return df.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(score, schema)
 
@@ -190,5 +191,5 @@ def keep_identified(df: DataFrame, least: float = 0.5, id_col: str = "doc_id", t
     """The rows whose language has a posterior of at least `least` among the learned ones, as they are."""
     labelled = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     model = train(labelled.where(~held_out("_id")), "_id", "_text", "_lang")
-    wide = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all"), F.col(text_col).alias("_text"))
-    return predict(wide, model, "_text").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_all.*")
+    wide = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all"))
+    return predict(wide, model, text_col, inside="_all").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_all.*")

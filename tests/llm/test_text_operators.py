@@ -99,6 +99,57 @@ def test_signatures_of_linked_sets_meet():
                 assert np.intersect1d(jaccard.signatures(a, none), jaccard.signatures(b, none)).size
 
 
+def test_sets_behind_hot_signatures_meet_by_rarest_elements(spark, monkeypatch):
+    rnd = random.Random(9)
+    template = [f"t{i}" for i in range(120)]
+    texts = []
+    for k in range(150):  # little more than the template in common: no links
+        texts.append(" ".join(template + [f"own{k}_{i}" for i in range(rnd.randint(24, 60))]))
+    for k in range(0, 150, 5):  # near copies, longer and shorter ones, of some of them
+        words = texts[k].split()
+        texts.append(" ".join(words[:len(words) - rnd.randint(1, 20)]))
+        texts.append(" ".join([*words, *[f"new{k}_{i}" for i in range(rnd.randint(1, 30))]]))
+    df = spark.createDataFrame([*enumerate(texts), (3, texts[3])], "doc_id long, text string")
+    sets, root = _linked([*texts, texts[3]])
+    least = {}
+    for i, k in zip([*range(len(texts)), 3], root, strict=True):
+        least[k] = min(least.get(k, 1 << 60), i)
+    want = Counter((i, len(s), least[k]) for i, s, k in zip([*range(len(texts)), 3], sets, root, strict=True))
+    monkeypatch.setattr(jaccard, "DRAWS", 1)
+    seen = []
+    by_rarest = jaccard._pairs_by_rarest
+    monkeypatch.setattr(jaccard, "_pairs_by_rarest", lambda members, have: seen.append(members.count()) or by_rarest(members, have))
+    for most in (0, 8, 10_000):
+        monkeypatch.setattr(jaccard, "HOT_MEMBERS", most)
+        got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df).collect())
+        assert got == want
+    assert len(seen) == 2 and seen[0] > 100
+
+
+def test_rarest_elements_lose_no_pair_and_part_the_unlike(spark):
+    rnd = np.random.default_rng(11)
+    sets = []
+    for size in (3, 5, 9, 20, 21, 64, 100, 130, 400):
+        for _ in range(4):
+            a = np.unique(rnd.integers(0, 1 << 62, size))
+            sets.append(a)
+            for share in (0.01, 0.05, 0.12, 0.2):
+                sets.append(np.unique(np.r_[a[rnd.random(len(a)) > share], rnd.integers(0, 1 << 62, int(size * share * rnd.random()) + 1)]))
+    template = rnd.integers(0, 1 << 62, 200)
+    unlike = range(len(sets), len(sets) + 40)
+    sets += [np.unique(np.r_[template, rnd.integers(0, 1 << 62, 60)]) for _ in unlike]
+    rows = [(i, i, len(s), jaccard.sketch_of(s.astype(np.uint64)).tolist()) for i, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "node long, root long, n long, sketch array<long>")
+    have = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)] * 2, "node long, set array<long>")
+    got = {(r["a"], r["b"]) for r in jaccard._pairs_by_rarest(members, have).collect()}
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if 4 * both >= 3 * (len(a) + len(sets[j]) - both):
+                assert (i, j) in got
+    assert not any(i in unlike and j in unlike for i, j in got)
+
+
 def test_components(spark):
     rnd = random.Random(1)
     pairs = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(rnd.randrange(200, 400), rnd.randrange(200, 400)) for _ in range(120)]
@@ -518,6 +569,15 @@ def test_one_of_each_with_repeated_and_null_ids(spark):
     assert sorted((r["text"][:1], r["doc_id"] or 0) for r in got) == [("", 9), ("", 10), ("a", 1), ("b", 0), ("c", 7), ("d", 8)]
 
 
+def test_language_stage_keeps_clashing_columns(spark):
+    rows = [(i, ["le chat dort bien ce soir", "the dog runs in the park", "", None][i % 4], ["fr", "en", "en", None][i % 4], f"p{i}", i / 2)
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    got = language.keep_identified(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == [r for r in rows if r[1]]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     for f in (jaccard.near_duplicates, exact_dedup.duplicate_report, exact_dedup.drop_exact_duplicates, packing.pack, mixing.mix,
