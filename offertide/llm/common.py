@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def sparing(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """`work` over batches, giving the memory that Arrow holds for reuse back after each batch.
+
+    Python workers outlive their tasks, so what one keeps is missing to the stages that follow.
+    """
+
+    def run(batches):
+        def each():
+            for batch in batches:
+                yield batch
+                del batch
+                pa.default_memory_pool().release_unused()
+
+        yield from work(each())
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

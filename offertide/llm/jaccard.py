@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offertide.llm.common import attach_groups, connected, written
+from offertide.llm.common import attach_groups, connected, sparing, written
 from offertide.llm.exact_dedup import known_slots, marked
 
 WORDS = 5
@@ -181,7 +181,7 @@ def _common_elements(texts: DataFrame, n: int, sample_rows: int) -> np.ndarray:
                 sets = [make(t) for t in batch.column("text").slice(at, 512).to_pylist()]
                 yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate(sets).view(np.int64))})
 
-    often = some.mapInArrow(elements, "h long").groupBy("h").count().where(F.col("count") >= COMMON_ROWS)
+    often = some.mapInArrow(sparing(elements), "h long").groupBy("h").count().where(F.col("count") >= COMMON_ROWS)
     got = often.orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").toArrow()
     return np.sort(got.column("h").to_numpy().astype(np.int64).view(np.uint64))
 
@@ -218,7 +218,7 @@ def _enumerate(texts: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
                         rows.append((int(to[a]), 0, node, n, None, sigs[a:b].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return texts.mapInArrow(emit, "bucket int, k long, node long, n long, sketch array<long>, sigs binary")
+    return texts.mapInArrow(sparing(emit), "bucket int, k long, node long, n long, sketch array<long>, sigs binary")
 
 
 class _Leaders:
@@ -290,7 +290,7 @@ def _tie(enumerated: DataFrame, buckets: int) -> DataFrame:
             yield from flush()
 
     dealt = enumerated.repartition(buckets, "bucket")
-    return written(dealt.mapInArrow(reduce, "k long, sig long, lead long, lead_n long, node long, n long, sketch array<long>"), "jaccard-ties")
+    return written(dealt.mapInArrow(sparing(reduce), "k long, sig long, lead long, lead_n long, node long, n long, sketch array<long>"), "jaccard-ties")
 
 
 def _near_size(a: str = "a_n", b: str = "b_n") -> str:
@@ -349,7 +349,7 @@ class _Checker:
         words, slots = known_slots(wanted.select(F.col("k").alias("_hash")), n)
         near = marked(self.texts.withColumn("_hash", F.col("k")), words, slots).where("_suspect")
         found = near.join(wanted, "k", "left_semi").select("text")
-        return written(found.mapInArrow(sets, "node long, set array<long>"), "jaccard-sets")
+        return written(found.mapInArrow(sparing(sets), "node long, set array<long>"), "jaccard-sets")
 
 
 def _with_root(rows: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:

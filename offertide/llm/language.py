@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from offertide.llm.common import sparing
+
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
 TRAIN_ROWS = 8_000
@@ -111,7 +113,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         which, bucket = np.nonzero(sums)
         yield pa.RecordBatch.from_pydict({"which": pa.array(which), "bucket": pa.array(bucket), "n": pa.array(sums[which, bucket])})
 
-    counts = sample.mapInArrow(count, "which long, bucket long, n long").groupBy("which", "bucket").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(sparing(count), "which long, bucket long, n long").groupBy("which", "bucket").agg(F.sum("n").alias("n"))
     got = counts.toArrow()  # at most languages x buckets rows
     table = np.full((buckets, len(languages)), SMOOTHING)
     table[got.column("bucket").to_numpy(), got.column("which").to_numpy()] += got.column("n").to_numpy()
@@ -170,7 +172,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", orders: tuple[i
                     [*[part.column(c) for c in names], pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
                     names=[*names, "lang_pred", "score"])
 
-    return df.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(score, schema)
+    return df.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(sparing(score), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offertide.llm.common import written
+from offertide.llm.common import sparing, written
 
 SIZE = 2048
 END_ID = 1
 LONG_BLANK = 4096
 """White space in a row from which a chunk goes to the full tokenizer: the quick one gives up on runs of a million."""
-CACHED_CHUNKS = 500_000
-"""Chunks of text kept with their ids by each Python worker (about 100 MB)."""
+CACHED_CHUNKS = 200_000
+"""Chunks of text kept with their ids by each Python worker (about 40 MB)."""
 
 # Between two characters that aren't white space, one space always begins a new token, so
 # a text may be cut there and the chunks tokenised on their own.
@@ -247,7 +247,7 @@ def pieces(df: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID
 
     kinds = [to_arrow_type(f.dataType) for f in fields]
     source = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    return written(source.mapInArrow(cut, T.StructType(fields)), "pieces")
+    return written(source.mapInArrow(sparing(cut), T.StructType(fields)), "pieces")
 
 
 def place(cut: DataFrame, size: int = SIZE) -> DataFrame:
@@ -268,7 +268,7 @@ def place(cut: DataFrame, size: int = SIZE) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in kept], pa.array(sequence), pa.array(offset)], names=schema.names)
 
-    return ranked.mapInArrow(find, schema)
+    return ranked.mapInArrow(sparing(find), schema)
 
 
 def pack(df: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id",
