@@ -24,8 +24,9 @@ def together(fits: Mapping[Hashable, Callable[[], T]], threads: int) -> dict[Has
     if not fits:
         return {}
     with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
-        inherit = inheritable_thread_target(SparkSession.active())
-        running = {name: pool.submit(inherit(fit)) for name, fit in fits.items()}
+        session = SparkSession.active()
+        # One wrapper each: a wrapper hands the same local properties to all it wraps, and Spark changes them in place.
+        running = {name: pool.submit(inheritable_thread_target(session)(fit)) for name, fit in fits.items()}
         return {name: future.result() for name, future in running.items()}
 
 
