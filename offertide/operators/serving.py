@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from offertide.functions.draws import fnv_uniform
 from offertide.functions.ranked import numbered, top
+from offertide.functions.storage import small_or_same, written
 from offertide.functions.timeline import HotKeys
 from offertide.operators import clean
 from offertide.operators.contract import enforce_schema
@@ -42,7 +43,8 @@ def build_scoring_frame(events: DataFrame, offers: DataFrame, profile: DataFrame
                         hot: HotKeys | None = None) -> DataFrame:
     """Contract rows for every (customer, active offer), with history up to `at`.
 
-    History is computed once per customer and only then combined with the offers.
+    History is computed and stored once per customer and only then combined with the offers, so the
+    grid itself is never stored: a reader pays for the columns and offers it takes.
     Concurrency counts the other offers of the grid, unless real `receipts` are given.
     """
     active = offers if active is None else active
@@ -53,14 +55,15 @@ def build_scoring_frame(events: DataFrame, offers: DataFrame, profile: DataFrame
     if receipts is None:
         others = active.agg(F.expr("CAST(count(duration) AS INT) AS n_known"))
         customers = customers.crossJoin(others)
-    grid = customers.crossJoin(active.selectExpr("id AS offer_id"))
-    featured = offer_terms(grid, offers)
-    if receipts is None:
-        featured = featured.withColumn("n_concurrent_offers", F.expr("n_known - IF(duration IS NULL, 0, 1)"))
-    unknown = featured.selectExpr(
+    # All that depends on the offer alone is joined before the grid is formed.
+    terms = offer_terms(active.selectExpr("id AS offer_id"), offers).selectExpr(
         "*", "1 AS treatment", "0 AS converted", "0D AS conversion_value", "0 AS is_recurrent",
         "0 AS campaign_wave")
-    return enforce_schema(clean.add_reward_cost(unknown, offers))
+    priced = small_or_same(clean.add_reward_cost(terms, offers), cfg.small_table_rows)[0]
+    featured = written(customers, "customers").crossJoin(priced)
+    if receipts is None:
+        featured = featured.withColumn("n_concurrent_offers", F.expr("n_known - IF(duration IS NULL, 0, 1)"))
+    return enforce_schema(featured)
 
 
 def best_offer_per_customer(scored: DataFrame, score: str = "score", group: Sequence[str] = (),
@@ -77,12 +80,17 @@ def best_offer_per_customer(scored: DataFrame, score: str = "score", group: Sequ
 
 def recommend(scored: DataFrame, budget: int, temperature: float = 0.0, seed: int = 42) -> DataFrame:
     """Best offer per customer, customers ordered by softmax draw, cut at the budget."""
-    best = softmax_key(best_offer_per_customer(scored), temperature, seed, "score", PAIR)
+    best = best_offer_per_customer(scored)
+    if temperature > 0:
+        best = written(best, "best")  # the scaling reads it twice
+    best = softmax_key(best, temperature, seed, "score", PAIR)
     return top(best, best_first("order_key", PAIR), budget).select(*RECOMMENDATION_COLUMNS)
 
 
 def add_hash_score(df: DataFrame, seed: int, name: str = "score_random") -> DataFrame:
-    return df.withColumn(name, fnv_uniform(seed, F.concat_ws("|", "account_id", "offer_id")))
+    # A column of its own, as the hash reads the text once a character.
+    keyed = df.withColumn("_text", F.concat_ws("|", "account_id", "offer_id"))
+    return keyed.select(*df.columns, fnv_uniform(seed, F.col("_text")).alias(name))
 
 
 def eligible(matrix: DataFrame, offer_types: Sequence[str], quadrants: Sequence[str],
@@ -104,7 +112,7 @@ def allocate(rows: DataFrame, budget: int, seed: int, strategies: Sequence[str]
     pairs = ", ".join(f"struct('{s}' AS strategy, {STRATEGY_COLUMNS[s]} AS score)" for s in strategies)
     keep = ("uplift", "p_convert", "quadrant")
     long = add_hash_score(rows, seed).selectExpr("account_id", "offer_id", "offer_type", *keep, f"inline(array({pairs}))")
-    best = best_offer_per_customer(long, "score", ["strategy"], keep)
+    best = written(best_offer_per_customer(long, "score", ["strategy"], keep), "best")  # the ranking reads it twice
     if temperature > 0 and UPLIFT in strategies:
         drawn = softmax_key(best.where(F.col("strategy") == UPLIFT), temperature, seed, "score", PAIR)
         plain = best.where(F.col("strategy") != UPLIFT).withColumn("order_key", F.col("score"))

@@ -107,21 +107,19 @@ class Workspace:
     @cached_property
     def serving_frame(self) -> DataFrame:
         at = serving.decision_time(self.log).first()[0]
-        frame = serving.build_scoring_frame(
+        return serving.build_scoring_frame(
             self.log, self.offers, self.profile, at, self.cfg, self.active, hot=self.hot)
-        return written(frame, "serving")
 
     @cached_property
     def matrix(self) -> DataFrame:
-        """Serving rows with formula scores; other types keep null scores."""
+        """Serving rows with formula scores; other types keep null scores. Computed from the stored customers by each reader."""
         frame = self.serving_frame
         paid = quadrant.add_quadrant(
             ranking.add_dynamic_score(with_formula_scores(clean.paid_types_only(frame)), 1.0), self.cfg)
         keep = ["account_id", "offer_id", "offer_type"]
         scores = ["uplift", "p_convert", "uncertainty", "score_dynamic", "quadrant"]
         others = frame.where("offer_type NOT IN ('bogo', 'discount')").select(*keep)
-        return written(
-            paid.select(*keep, *scores).unionByName(others, allowMissingColumns=True), "matrix")
+        return paid.select(*keep, *scores).unionByName(others, allowMissingColumns=True)
 
     @cached_property
     def scored_holdout(self) -> DataFrame:

@@ -261,3 +261,18 @@ def test_scoring_grid_and_history(make_events, make_offers, spark, cfg):
     real = serving.build_scoring_frame(events, offers, profile, at, cfg, offers.where("id = 'o1'"), receipts=events.where("event = 'offer received'").selectExpr(
         "account_id", "offer_ref AS offer_id", "time AS received_time"))
     assert {r["account_id"]: r["n_concurrent_offers"] for r in real.collect()} == {"a": 1, "b": 0}
+
+
+def test_the_grid_is_never_stored_and_its_terms_are_joined_before_it(make_events, make_offers, spark, cfg):
+    from offertide.settings import BOUGHT, SENT
+
+    offers = make_offers(("o1", "bogo", 5, 4, 7), ("o2", "discount", 5, 2, 7))
+    events = make_events(("a", BOUGHT, 1.0, None, 10.0), ("a", SENT, 3.0, "o1"))
+    profile = spark.createDataFrame(
+        [("a", 30, "F", 1.0, 0, 5), ("b", 40, "M", 2.0, 0, 6)],
+        "account_id string, age int, gender string, credit_card_limit double, identity_missing int, tenure_days int")
+    frame = serving.build_scoring_frame(events, offers, profile, 9.0, cfg)
+    assert frame.count() == 4
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    # One join of stored customers with the terms; history and catalogue joins lie before it.
+    assert plan.count("Join ") == 1 and "Aggregate" not in plan
