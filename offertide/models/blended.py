@@ -67,8 +67,8 @@ class BlendedModel:
 
     def save(self, path: str, spark: SparkSession) -> None:
         kinds = sorted(self.effect.models)
-        self.effect.save(f"{path}/effect")
-        self.conversion.save(f"{path}/conversion")
+        together({"effect": lambda: self.effect.save(f"{path}/effect"),
+                  "conversion": lambda: self.conversion.save(f"{path}/conversion")}, 2)
         row = [(json.dumps(kinds), self.cfg.blend_mode, self.cfg.blend_lambda, self.cfg.blend_gamma,
                 self.cfg.blend_temperature, self.cfg.seed)]
         spark.createDataFrame(
@@ -81,8 +81,10 @@ class BlendedModel:
         model = cls(cfg.but(
             blend_mode=saved["blend_mode"], blend_lambda=saved["blend_lambda"], blend_gamma=saved["blend_gamma"],
             blend_temperature=saved["blend_temperature"], seed=saved["seed"]), learner)
-        model.effect.restore(spark, f"{path}/effect", json.loads(saved["kinds"]))
-        model.conversion = ConversionModel.load(model.cfg, f"{path}/conversion")
+        kinds = json.loads(saved["kinds"])
+        parts = together({"effect": lambda: model.effect.restore(spark, f"{path}/effect", kinds),
+                          "conversion": lambda: ConversionModel.load(model.cfg, f"{path}/conversion")}, 2)
+        model.conversion = parts["conversion"]
         return model
 
 

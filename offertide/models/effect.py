@@ -161,14 +161,14 @@ class EffectModel:
     def save(self, path: str) -> None:
         models = self.models
         self.learner.save(path)
-        for kind, stages in models.items():
-            for stage, fitted in stages.items():
-                fitted.save(f"{path}/type={kind}/{stage}")
+        together({(k, s): partial(fitted.save, f"{path}/type={k}/{s}") for k, stages in models.items()
+                  for s, fitted in stages.items()}, self.cfg.fits_at_once)
 
     def restore(self, spark, path: str, kinds: list[str]) -> "EffectModel":
         self.learner = self.learner.load(path)
-        self._models = {
-            k: {s: self.learner.load_stage(spark, f"{path}/type={k}/{s}") for s in STAGES} for k in kinds}
+        loaded = together({(k, s): partial(self.learner.load_stage, spark, f"{path}/type={k}/{s}") for k in kinds
+                           for s in STAGES}, self.cfg.fits_at_once)
+        self._models = {k: {s: loaded[k, s] for s in STAGES} for k in kinds}
         return self
 
 

@@ -63,8 +63,8 @@ def recommend(spark: SparkSession, raw_folder: str, model_path: str, cfg: Settin
     model = BlendedModel.load(spark, cfg, model_path, learner)
     offers, profile, log = _raw(spark, raw_folder, cfg, multi_line, store)
     at = serving.decision_time(log, decision_time).first()[0]
-    frame = written(serving.build_scoring_frame(
-        log, offers, profile, at, cfg, serving.paid_offers(serving.sent_offers(offers, clean.receipts(log))), hot=hot_accounts(log, cfg)), "scoring")
+    active = small_or_same(serving.paid_offers(serving.sent_offers(offers, clean.receipts(log))), cfg.small_table_rows)[0]
+    frame = serving.build_scoring_frame(log, offers, profile, at, cfg, active, hot=hot_accounts(log, cfg))
     scored = written(model.score(frame).select("account_id", "offer_id", "offer_type", "score"), "scores")
     chosen = serving.recommend(scored, budget or cfg.predict_budget, model.cfg.blend_temperature, model.cfg.seed)
     if out:
@@ -78,8 +78,8 @@ def publish(spark: SparkSession, raw_folder: str, processed_path: str, model_pat
     model = BlendedModel.load(spark, cfg, model_path, learner)
     offers, profile, log = _raw(spark, raw_folder, cfg, multi_line, store)
     at = serving.decision_time(log).first()[0]
-    frame = written(serving.build_scoring_frame(
-        log, offers, profile, at, cfg, serving.sent_offers(offers, clean.receipts(log)), hot=hot_accounts(log, cfg)), "scoring")
+    active = small_or_same(serving.sent_offers(offers, clean.receipts(log)), cfg.small_table_rows)[0]
+    frame = serving.build_scoring_frame(log, offers, profile, at, cfg, active, hot=hot_accounts(log, cfg))
     matrix = written(attach_scores(frame, model, cfg).select(
         "account_id", "offer_id", "offer_type", "uplift", "p_convert", "uncertainty", "score_dynamic", "quadrant"),
         "matrix")

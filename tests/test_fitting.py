@@ -5,8 +5,12 @@ from __future__ import annotations
 from functools import partial
 from threading import Barrier
 
+from offertide.models import conversion
+from offertide.models.effect import STAGES, EffectModel
 from offertide.models.fitting import together
 
+from planted import planted
+
 
 def test_fits_keep_their_own_local_properties(spark):
     context, both = spark.sparkContext, Barrier(2, timeout=60)
@@ -20,3 +24,35 @@ def test_fits_keep_their_own_local_properties(spark):
 
     assert together({n: partial(fit, n) for n in "ab"}, 2) == {"a": "a", "b": "b"}
     assert context.getLocalProperty("test.fit") is None
+
+
+def test_stages_are_saved_and_loaded_side_by_side(spark, cfg):
+    both = Barrier(2, timeout=20)
+
+    class Stage:
+        def save(self, path):
+            both.wait()
+
+    class Stub:
+        def save(self, path):
+            pass
+
+        def load(self, path):
+            return self
+
+        def load_stage(self, spark, path):
+            both.wait()
+            return path
+
+    model = EffectModel(cfg.but(fits_at_once=2), Stub())
+    model._models = {"bogo": {s: Stage() for s in STAGES}}
+    model.save("m")
+    assert model.restore(spark, "m", ["bogo"]).models == {"bogo": {s: f"m/type=bogo/{s}" for s in STAGES}}
+
+
+def test_logistic_passes_run_over_as_few_partitions_as_the_rows_need(spark, cfg, monkeypatch):
+    parts, fit = [], conversion.LogisticRegression.fit
+    monkeypatch.setattr(conversion.LogisticRegression, "fit",
+                        lambda self, rows: parts.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    conversion.logistic_anchor(planted(spark, 200).repartition(16), cfg.but(logit_max_iter=3))
+    assert parts == [1]
