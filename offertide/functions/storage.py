@@ -54,10 +54,11 @@ def small_or_same(df: DataFrame, limit: int) -> tuple[DataFrame, bool]:
     """A driver-side copy of `df` if it has at most `limit` rows, else `df` itself.
 
     The copy carries exact size statistics, so Catalyst broadcasts it without a
-    hint; a larger table keeps its plan and joins by shuffle. Never more than
+    hint; a larger table keeps its plan and is marked to join by shuffle. Never more than
     `limit + 1` rows reach the driver.
     """
     table = df.limit(limit + 1).toArrow()
     if table.num_rows > limit:
-        return df, False
+        # The files of a table may be far smaller than its rows, so Catalyst might still broadcast it.
+        return df.hint("merge"), False
     return df.sparkSession.createDataFrame(table, df.schema), True

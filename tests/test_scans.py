@@ -101,3 +101,9 @@ def test_checkpoints_use_the_configured_folder(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert durable(spark.range(10)).count() == 10
     assert spark.sparkContext.getCheckpointDir().startswith("file:" + shared_folder(spark))
+
+
+def test_a_large_side_table_is_not_broadcast_however_small_its_files(spark):
+    large, small = small_or_same(spark.range(50).withColumnRenamed("id", "k"), 10)
+    plan = spark.range(90).join(large.selectExpr("k AS id"), "id", "left")._jdf.queryExecution().executedPlan().toString()
+    assert not small and "SortMergeJoin" in plan and "Broadcast" not in plan
