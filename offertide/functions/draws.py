@@ -34,7 +34,11 @@ def poisson_one(u: Column) -> Column:
         total += term
         steps.append(total)
         term /= k + 1
-    return F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda c: c <= u))
+    # A chain of comparisons is compiled and ends at the first step above u; a lambda over an array of the steps is neither.
+    count = F.when(u < F.lit(steps[0]), 0)
+    for k, step in enumerate(steps[1:], 1):
+        count = count.when(u < F.lit(step), k)
+    return count.when(u.isNotNull(), len(steps)).otherwise(0)
 
 
 def fnv_uniform(seed: int, text: Column) -> Column:

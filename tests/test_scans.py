@@ -1,5 +1,6 @@
 """The two scan primitives against plain windows."""
 
+import math
 import random
 
 import pytest
@@ -107,3 +108,18 @@ def test_a_large_side_table_is_not_broadcast_however_small_its_files(spark):
     large, small = small_or_same(spark.range(50).withColumnRenamed("id", "k"), 10)
     plan = spark.range(90).join(large.selectExpr("k AS id"), "id", "left")._jdf.queryExecution().executedPlan().toString()
     assert not small and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_poisson_draws_count_the_steps_reached_without_a_lambda(spark):
+    total, term, steps = 0.0, math.exp(-1.0), []
+    for k in range(18):
+        total += term
+        steps.append(total)
+        term /= k + 1
+    near = [v for s in steps for v in (math.nextafter(s, 0), s, math.nextafter(s, 2))]
+    values = [0.0, *near, 1.0, None]
+    drawn = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, u double").select("i", "u", poisson_one(F.col("u")).alias("w"))
+    for r in drawn.collect():
+        assert r["w"] == (0 if r["u"] is None else sum(s <= r["u"] for s in steps))
+    # A lambda runs uncompiled, at some 30 microseconds a draw.
+    assert "lambda" not in drawn._jdf.queryExecution().analyzed().toString()
