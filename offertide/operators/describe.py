@@ -300,8 +300,8 @@ def categorical_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counted.join(totals, "column").selectExpr("column", "level", "rows", "rows / total AS share")
 
 
-BLOCK = 5
-"""Columns in a block of the correlation matrix."""
+BLOCK = 2
+"""Columns in a block of the correlation matrix. Larger blocks give updates too long to be compiled."""
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -314,18 +314,19 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     blocks = -(-len(columns) // BLOCK)
     padded = [f"CAST({c} AS DOUBLE)" for c in columns] + ["CAST(NULL AS DOUBLE)"] * (blocks * BLOCK - len(columns))
     places = range(BLOCK)
-    dealt = ", ".join(
-        "struct({})".format(", ".join([f"{i} AS i", f"{j} AS j", *[f"{padded[BLOCK * i + p]} AS x{p}" for p in places],
-                                       *[f"{padded[BLOCK * j + q]} AS y{q}" for q in places]]))
-        for i in range(blocks) for j in range(i, blocks))
     cells = [(p, q) for p in places for q in places]
-    sums = df.selectExpr(f"inline(array({dealt}))").groupBy("i", "j").agg(*[
+    dealt = (
+        df.selectExpr(f"array({', '.join(padded)}) AS v", f"explode(sequence(0, {blocks - 1})) AS i")
+        .selectExpr("v", "i", f"explode(sequence(i, {blocks - 1})) AS j")
+        .selectExpr("i", "j", *[f"v[{BLOCK} * i + {p}] AS x{p}" for p in places], *[f"v[{BLOCK} * j + {q}] AS y{q}" for q in places])
+    )
+    sums = dealt.groupBy("i", "j").agg(*[
         F.expr(f"try_divide(regr_sxy(y{q}, x{p}), sqrt(regr_sxx(y{q}, x{p})) * sqrt(regr_syy(y{q}, x{p}))) AS r{p}_{q}")
         for p, q in cells])
     found = ", ".join(f"struct({BLOCK} * i + {p} AS a, {BLOCK} * j + {q} AS b, r{p}_{q} AS r)" for p, q in cells)
     half = sums.selectExpr("i", "j", f"inline(array({found}))")
     # Pairs within one block come in both orders already.
-    both = half.select("a", "b", "r").unionByName(half.where("i < j").selectExpr("b AS a", "a AS b", "r"))
+    both = half.selectExpr("inline(IF(i < j, array(struct(a, b, r), struct(b AS a, a AS b, r)), array(struct(a, b, r))))")
     names = "array({})".format(", ".join(f"'{c}'" for c in columns))
     return both.where(f"a < {len(columns)} AND b < {len(columns)}").selectExpr(
         f"{names}[a] AS feature_a", f"{names}[b] AS feature_b", "a", "b", "r")

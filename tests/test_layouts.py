@@ -80,3 +80,9 @@ def test_correlation_plan_has_one_aggregation(spark):
     df = spark.range(5).selectExpr(*[f"CAST(id * {k} AS DOUBLE) AS {c}" for k, c in enumerate(names)])
     plan = describe.correlation_pairs(df, names)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regr_sxy") <= 2 * describe.BLOCK**2 and describe.correlation_pairs(df, names).count() == 625
+
+
+def test_correlations_read_the_rows_once(spark):
+    rows = spark.createDataFrame([(1.0, 2.0, 3.0)], "a double, b double, c double").repartition(2)
+    plan = describe.correlation_pairs(rows, ["a", "b", "c"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1
