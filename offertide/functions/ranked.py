@@ -102,9 +102,9 @@ class Ranked:
 
 
 def numbered(df: DataFrame, order: Sequence[Column], group: Sequence[str] = (),
-             name: str = "rank", partitions: int | None = None) -> DataFrame:
+             name: str = "rank", partitions: int | None = None, sized: bool = False) -> DataFrame:
     """1-based position in a total order, without a single-task window."""
-    ranked = Ranked(df, order, group, partitions)
+    ranked = Ranked(df, order, group, partitions, sized)
     out = ranked.running(ranked.rows, sums={name: F.lit(1).cast("long")})
     return out.drop(PART)
 

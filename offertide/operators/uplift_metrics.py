@@ -45,7 +45,7 @@ def _tied(df: DataFrame, scores: Mapping[str, str]) -> DataFrame:
 
 
 def _points(df: DataFrame, scores: Mapping[str, str]) -> DataFrame:
-    ranked = Ranked(_tied(df, scores), [F.desc("score")], ["strategy"])
+    ranked = Ranked(_tied(df, scores), [F.desc("score")], ["strategy"], sized=True)
     return ranked.running(ranked.rows, sums={c: F.col(f"own_{c}") for c in _COUNTS})
 
 
@@ -104,17 +104,22 @@ def metrics_table(df: DataFrame, scores: Mapping[str, str]) -> DataFrame:
         "strategy", "inline(array(struct('qini' AS metric, qini AS value), struct('auuc' AS metric, auuc AS value)))")
 
 
-def shuffle_treatment(df: DataFrame, seed: int, replicate: int = 0) -> DataFrame:
+def treatment_slots(df: DataFrame) -> DataFrame:
+    """Rows with their place in key order inside each offer type, which every shuffle shares."""
+    return numbered(df.drop("treatment"), [F.asc(k) for k in GRAIN], ["offer_type"], "slot", sized=True)
+
+
+def shuffle_treatment(df: DataFrame, seed: int, replicate: int = 0, slots: DataFrame | None = None) -> DataFrame:
     """Treatment permuted inside each offer type; the size of each arm is kept.
 
     The k-th row in key order takes the treatment of the k-th row in hash order. Both
-    positions come from range layouts, so a type may hold any share of the rows.
+    positions come from range layouts, so a type may hold any share of the rows. `slots`
+    are those of `df`, if they are at hand.
     """
-    keys = [F.asc(k) for k in GRAIN]
-    slots = numbered(df.drop("treatment"), keys, ["offer_type"], "slot")
+    slots = treatment_slots(df) if slots is None else slots
     hashed = df.select("offer_type", "treatment", *GRAIN,
                        keyed_uniform(seed, "placebo", F.lit(replicate), *GRAIN).alias("u"))
-    dealt = numbered(hashed, [F.asc("u"), *keys], ["offer_type"], "slot").select("offer_type", "slot", "treatment")
+    dealt = numbered(hashed, [F.asc("u"), *[F.asc(k) for k in GRAIN]], ["offer_type"], "slot", sized=True).select("offer_type", "slot", "treatment")
     return slots.join(dealt, ["offer_type", "slot"]).select(*df.columns)
 
 

@@ -167,3 +167,13 @@ def test_jobs_end_to_end(spark, make_events, tmp_path):
     meta = tables["metadata"].first()
     assert (meta["n_clients"], meta["n_rows"]) == (80, 480) and meta["mean_profit"] > 0
     assert tables["holdout"].count() == meta["n_holdout_rows"]
+
+
+def test_placebo_replicates_share_the_rows_in_key_order(sides, monkeypatch):
+    train, holdout = sides
+    made = []
+    real = uplift_metrics.treatment_slots
+    monkeypatch.setattr(uplift_metrics, "treatment_slots", lambda df: made.append(df.columns) or real(df))
+    learner = CellMeanLearner(("hist_txn_count >= 4",), CFG)
+    blended.placebo_scores(train, holdout, CFG, learner, 2)
+    assert len(made) == 1 and "campaign_wave" not in made[0]
