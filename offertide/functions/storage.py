@@ -50,6 +50,15 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame, rows: int, rows_per_task: int) -> DataFrame:
+    """`df`, dealt to more partitions if each would otherwise give more than `rows_per_task` of the `rows` made from it.
+
+    A stored table has partitions by its bytes, which is too few before a step that multiplies its rows.
+    """
+    parts = -(-rows // rows_per_task)
+    return df.repartition(parts) if parts > df.rdd.getNumPartitions() else df
+
+
 def small_or_same(df: DataFrame, limit: int) -> tuple[DataFrame, bool]:
     """A driver-side copy of `df` if it has at most `limit` rows, else `df` itself.
 

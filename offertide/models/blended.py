@@ -92,7 +92,8 @@ class BlendedModel:
 
 def attach_scores(frame: DataFrame, model: BlendedModel, cfg: Settings) -> DataFrame:
     """Model columns and quadrant on rows of paid types; other types keep nulls."""
-    paid = durable(model.components(clean.paid_types_only(frame)))
+    # Stored by column, so that the scaling and each reader read back only the columns they use.
+    paid = written(model.components(clean.paid_types_only(frame)), "paid-scores")
     scored = quadrant.add_quadrant(ranking.add_dynamic_score(paid, cfg.serving_score_gamma), cfg)
     others = frame.where(~F.col("offer_type").isin(*PAID_TYPES))
     return scored.unionByName(others, allowMissingColumns=True)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from offertide.functions.draws import fnv_uniform
 from offertide.functions.ranked import numbered, top
-from offertide.functions.storage import small_or_same, written
+from offertide.functions.storage import small_or_same, spread, written
 from offertide.functions.timeline import HotKeys
 from offertide.operators import clean
 from offertide.operators.contract import enforce_schema
@@ -60,7 +60,9 @@ def build_scoring_frame(events: DataFrame, offers: DataFrame, profile: DataFrame
         "*", "1 AS treatment", "0 AS converted", "0D AS conversion_value", "0 AS is_recurrent",
         "0 AS campaign_wave")
     priced = small_or_same(clean.add_reward_cost(terms, offers), cfg.small_table_rows)[0]
-    featured = written(customers, "customers").crossJoin(priced)
+    stored = written(customers, "customers")
+    # The grid has as many partitions as the customers it is made from.
+    featured = spread(stored, stored.count() * priced.count(), cfg.grid_rows_per_task).crossJoin(priced)
     if receipts is None:
         featured = featured.withColumn("n_concurrent_offers", F.expr("n_known - IF(duration IS NULL, 0, 1)"))
     return enforce_schema(featured)

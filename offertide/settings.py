@@ -83,6 +83,7 @@ class Settings:
     # physical layout
     rows_per_task: int = 5_000_000
     tree_rows_per_task: int = 200_000
+    grid_rows_per_task: int = 100_000
     fits_at_once: int = 8
     """An account with more log rows than this is cut into time segments."""
     small_table_rows: int = 10_000
@@ -103,7 +104,7 @@ _COUNTS = (
             "histogram_bins", "outlier_iqr_multiplier", "validation_wave_cutoff",
             "conversion_trees", "effect_trees", "predict_budget", "blend_gamma",
             "gain_curve_n_bootstrap", "placebo_n_permutations",
-            "quadrant_tau_epsilon", "serving_score_gamma", "rows_per_task", "tree_rows_per_task",
+            "quadrant_tau_epsilon", "serving_score_gamma", "rows_per_task", "tree_rows_per_task", "grid_rows_per_task",
             "fits_at_once")
 _SHARES = ("gain_curve_confidence_level", "placebo_confidence_level", "quadrant_p_convert_threshold")
 

@@ -276,3 +276,15 @@ def test_the_grid_is_never_stored_and_its_terms_are_joined_before_it(make_events
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     # One join of stored customers with the terms; history and catalogue joins lie before it.
     assert plan.count("Join ") == 1 and "Aggregate" not in plan
+
+
+def test_grid_is_dealt_to_tasks_by_its_rows(spark, cfg, make_events, make_offers):
+    events = make_events(("a", "offer received", 0.0, "o1", None))
+    offers = make_offers(("o1", "bogo", 10, 5, 7), ("o2", "discount", 10, 2, 7), ("o3", "discount", 20, 5, 9))
+    names = [f"c{k}" for k in range(40)]
+    profile = spark.createDataFrame(
+        [(n, 30, "F", 100.0, 0, 50) for n in names],
+        "account_id string, age int, gender string, credit_card_limit double, identity_missing int, tenure_days int")
+    frame = serving.build_scoring_frame(events, offers, profile, 9.0, cfg.but(grid_rows_per_task=5))
+    assert frame.rdd.getNumPartitions() == 24
+    assert sorted((r["account_id"], r["offer_id"]) for r in frame.collect()) == sorted((n, o) for n in names for o in ("o1", "o2", "o3"))
