@@ -21,7 +21,8 @@ HOT_MEMBERS sets share it. The sets of more common signatures, such as those of
 once more, by the rarest elements among them: for each band of partners' sizes, so many that two linked sets must
 share one. Sets that have little but the template in common don't meet there. All pairs are
 first held against a sketch of one parity bit for each range of a finer cut: sets differ in at least as many elements as sketches
-differ in bits. Pairs that pass are checked on the sets themselves. So no link between
+differ in bits. Where signatures or rare elements meet, the join itself does so: the comparisons may grow with the square of a
+family of unlinked variants, the rows that leave the join don't. Pairs that pass are checked on the sets themselves. So no link between
 components is lost, though a group of thousands of copies is never expanded into pairs.
 Equal sets are one node from the start. Memory: a task holds one chunk of signatures and
 one leader for each distinct signature of its bucket, whatever the size of a group.
@@ -65,7 +66,7 @@ BRIEF = 16
 LEAST_BUCKETS = 16
 BUCKET_BYTES = 8 << 20
 """Text for each bucket of signatures, so that a task's share stays the same however large the table is.
-Signatures travel in one row for each document and bucket, so rows are at most signatures."""
+Signatures of many documents travel packed, in one row for each bucket."""
 
 HOT_MEMBERS = 256
 """Sets behind one signature from which they are compared by their rarest elements and not pair by pair."""
@@ -73,6 +74,8 @@ BANDS = 20
 """Bands of set sizes for each factor of e, that is, some 5 % wide."""
 
 CHUNK = 1_000_000
+PACKED = 1 << 17
+"""Signatures, a megabyte, that a task collects before it sends them to their buckets."""
 REMEMBERED = 200_000
 KNOWN_WORDS = 200_000
 """Word hashes that a worker keeps, some 40 MB."""
@@ -186,14 +189,45 @@ def _common_elements(texts: DataFrame, n: int, sample_rows: int) -> np.ndarray:
     return np.sort(got.column("h").to_numpy().astype(np.int64).view(np.uint64))
 
 
+def _packed(nodes: list[int], sizes: list[int], parts: list[np.ndarray], buckets: int):
+    """(bucket, sets, bytes) with a blob for each bucket: nodes, sizes and counts of its sets, then their signatures."""
+    sigs = np.concatenate(parts)
+    own = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    to = (sigs >> np.uint64(40)) % np.uint64(buckets)
+    order = np.argsort(to, kind="stable")
+    to, own, sigs = to[order], own[order], sigs[order]
+    runs = np.flatnonzero(np.r_[True, (to[1:] != to[:-1]) | (own[1:] != own[:-1])])
+    ends = np.r_[runs[1:], len(sigs)]
+    node, n = np.array(nodes, np.int64)[own[runs]], np.array(sizes, np.int32)[own[runs]]
+    counts, place = (ends - runs).astype(np.int32), to[runs]
+    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    for x, y in zip(first, [*first[1:], len(runs)], strict=True):
+        yield int(place[x]), int(y - x), b"".join(
+            [node[x:y].tobytes(), n[x:y].tobytes(), counts[x:y].tobytes(), sigs[runs[x]:ends[y - 1]].tobytes()])
+
+
+def _unpacked(sets: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of a blob, each with its node and size."""
+    node, n, counts = (np.frombuffer(blob, t, sets, at * sets) for t, at in ((np.int64, 0), (np.int32, 8), (np.int32, 12)))
+    return np.frombuffer(blob, np.uint64, offset=16 * sets), np.repeat(node, counts), np.repeat(n, counts).astype(np.int64)
+
+
 def _enumerate(texts: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
-    """Rows (bucket, k, node, n, sketch, sigs): one for each document, and its signatures by bucket."""
+    """Rows (bucket, k, node, n, sketch) for each document, and packed (bucket, node: number of sets, sigs) for many at once."""
     shared = texts.sparkSession.sparkContext.broadcast(common)
     schema = pa.schema([("bucket", pa.int32()), ("k", pa.int64()), ("node", pa.int64()), ("n", pa.int64()),
                         ("sketch", pa.list_(pa.int64())), ("sigs", pa.binary())])
 
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
     def emit(batches):
-        make, seen = Shingler(), set()
+        make, seen, waiting = Shingler(), set(), 0
+        nodes, sizes, parts = [], [], []
+
+        def pack():
+            yield batch_of([(bucket, 0, sets, 0, None, blob) for bucket, sets, blob in _packed(nodes, sizes, parts, buckets)])
+
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
@@ -208,15 +242,15 @@ def _enumerate(texts: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
                         seen.clear()
                     seen.add(node)
                     sigs = signatures(shingles, shared.value)
-                    to = (sigs >> np.uint64(40)) % np.uint64(buckets)
-                    order = np.argsort(to, kind="stable")
-                    to, sigs = to[order], sigs[order]
-                    if not len(to):
-                        continue
-                    cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-                    for a, b in zip(cuts, [*cuts[1:], len(to)], strict=True):
-                        rows.append((int(to[a]), 0, node, n, None, sigs[a:b].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    if len(sigs):
+                        nodes.append(node), sizes.append(n), parts.append(sigs)
+                        waiting += len(sigs)
+                yield batch_of(rows)
+                if waiting >= PACKED:
+                    yield from pack()
+                    nodes, sizes, parts, waiting = [], [], [], 0
+        if waiting:
+            yield from pack()
 
     return texts.mapInArrow(sparing(emit), "bucket int, k long, node long, n long, sketch array<long>, sigs binary")
 
@@ -277,12 +311,10 @@ def _tie(enumerated: DataFrame, buckets: int) -> DataFrame:
                                                   docs.column("sketch")], schema=schema)
             if not plain.all():
                 rows = batch.filter(pa.array(~plain))
-                blobs = rows.column("sigs").to_pylist()
-                counts = np.array([len(b) // 8 for b in blobs])
-                held.append(tuple([
-                    np.repeat(rows.column("bucket").to_numpy(), counts), np.frombuffer(b"".join(blobs), np.uint64),
-                    np.repeat(rows.column("node").to_numpy(), counts), np.repeat(rows.column("n").to_numpy(), counts)]))
-                size += int(counts.sum())
+                for bucket, sets, blob in zip(*(rows.column(c).to_pylist() for c in ("bucket", "node", "sigs")), strict=True):
+                    sig, node, n = _unpacked(sets, blob)
+                    held.append((np.full(len(sig), bucket, np.int32), sig, node, n))
+                    size += len(sig)
                 if size >= CHUNK:
                     yield from flush()
                     held, size = [], 0
@@ -363,9 +395,12 @@ def _with_sketches(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs
 
 
-def _mixed_signatures(ties: DataFrame, roots: DataFrame) -> DataFrame:
-    """Stored (sig, node, root) of the signatures that components share; equal memberships once."""
-    members = ties.select("sig", "node").union(ties.select("sig", F.col("lead").alias("node"))).distinct()
+def _members(ties: DataFrame) -> DataFrame:
+    return ties.select("sig", "node").union(ties.select("sig", F.col("lead").alias("node"))).distinct()
+
+
+def _mixed_signatures(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Stored (sig, node, root) of the signatures in `members(sig, node)` that components share; equal memberships once."""
     placed = _with_root(members, roots, "node", "root")
     mixed = placed.groupBy("sig").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many"),
@@ -428,12 +463,16 @@ def _pairs_by_rarest(members: DataFrame, sets: DataFrame) -> DataFrame:
         f"place <= n - (3 * (n + {least}) + 6) div 7 + 1").selectExpr("node", "root", "e", f"{band('n')} AS own", "other")
     key = ["e", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")]
     stored = written(placed.select(*key, "own", "other", "node", "root"), "jaccard-rarest")
-    mixed = stored.groupBy("e", "low", "high").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").drop("r", "s")
-    rows = stored.join(mixed, ["e", "low", "high"], "left_semi")
-    a = rows.selectExpr("e", "own", "other", "node AS a", "root AS a_root")
-    b = rows.selectExpr("e", "other AS own", "own AS other", "node AS b", "root AS b_root")
-    pairs = a.join(b, ["e", "own", "other"]).where("a > b AND a_root <> b_root").select("a", "b").distinct()
-    return _with_sketches(pairs, members).where(_alike()).select("a", "b")
+    # An element whose holders all look for partners of a size that none of them has gives no pair.
+    mixed = stored.groupBy("e", "low", "high").agg(
+        F.min("root").alias("r"), F.max("root").alias("s"), F.min("own").alias("least"), F.max("own").alias("most"),
+    ).where("r <> s AND least = low AND most = high").select("e", "low", "high")
+    rows = written(stored.join(mixed, ["e", "low", "high"], "left_semi").join(members.select("node", "n", "sketch"), "node"), "jaccard-sketched")
+    side = lambda x, own, other: rows.select(
+        "e", F.col(own).alias("own"), F.col(other).alias("other"), F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "root", "sketch")])
+    # The sketches decide where a pair meets, so only pairs that may link become rows.
+    return side("a", "own", "other").join(side("b", "other", "own"), ["e", "own", "other"]).where(
+        f"a > b AND a_root <> b_root AND {_alike()}").select("a", "b").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -465,10 +504,11 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, sample_rows: int = SAMPL
         F.greatest("lead", "node").alias("a"), F.least("lead", "node").alias("b")).distinct()
     links = check(tied)
     roots = connected(links, rounds=2)
-    mixed = _mixed_signatures(ties, roots)
+    mixed = _mixed_signatures(_members(ties), roots)
     links = links.union(check(_drawn_pairs(mixed, DRAWS)))
     roots = connected(links, rounds=2)
-    mixed = _mixed_signatures(ties, roots)
+    # Components only grow, so a signature that they don't share by now stays so.
+    mixed = _mixed_signatures(mixed.select("sig", "node"), roots)
     links = links.union(check(_remaining_pairs(mixed, nodes, checker)))
     roots = connected(links)
 

@@ -150,6 +150,46 @@ def test_rarest_elements_lose_no_pair_and_part_the_unlike(spark):
     assert not any(i in unlike and j in unlike for i, j in got)
 
 
+def _joined_rows(plan) -> list[int]:
+    """Rows that left each join of an executed plan."""
+    name, found = plan.nodeName(), []
+    if name == "AdaptiveSparkPlan":
+        return _joined_rows(plan.executedPlan())
+    if "QueryStage" in name:
+        return _joined_rows(plan.plan())
+    if "Join" in name:
+        found.append(plan.metrics().apply("numOutputRows").value())
+    children = plan.children()
+    return found + [n for i in range(children.size()) for n in _joined_rows(children.apply(i))]
+
+
+def test_variants_that_arent_linked_leave_no_rows_where_rare_elements_meet(spark):
+    rnd = np.random.default_rng(3)
+    base = rnd.integers(0, 1 << 62, 146)
+    # Each lacks 25 elements of the base and has 5 others, so two differ in about 50 of at most 38.
+    sets = [np.unique(np.r_[rnd.permutation(base)[25:], rnd.integers(0, 1 << 62, 5)]) for _ in range(120)]
+    rows = [(i, i, len(s), jaccard.sketch_of(s.astype(np.uint64)).tolist()) for i, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "node long, root long, n long, sketch array<long>")
+    have = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "node long, set array<long>")
+    pairs = jaccard._pairs_by_rarest(members, have)
+    got = {(r["a"], r["b"]) for r in pairs.collect()}
+    linked = {(i, j) for i, a in enumerate(sets) for j in range(i)
+              if 4 * (both := len(np.intersect1d(a, sets[j]))) >= 3 * (len(a) + len(sets[j]) - both)}
+    assert linked <= got
+    joined = _joined_rows(pairs._jdf.queryExecution().executedPlan())
+    assert joined and max(joined) < 120 * 119 / 2 / 2
+
+
+def test_packed_signatures_come_back_by_bucket():
+    rnd = np.random.default_rng(5)
+    parts = [rnd.integers(0, 1 << 63, k, dtype=np.uint64) for k in (1, 40, 7, 300)]
+    want = Counter((int((x >> np.uint64(40)) % np.uint64(9)), int(x), i - 2, len(p)) for i, p in enumerate(parts) for x in p)
+    got = Counter()
+    for bucket, sets, blob in jaccard._packed([-2, -1, 0, 1], [len(p) for p in parts], parts, 9):
+        got.update((bucket, int(x), int(node), int(n)) for x, node, n in zip(*jaccard._unpacked(sets, blob), strict=True))
+    assert got == want
+
+
 def test_components(spark):
     rnd = random.Random(1)
     pairs = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(rnd.randrange(200, 400), rnd.randrange(200, 400)) for _ in range(120)]
