@@ -396,11 +396,11 @@ def _with_sketches(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _members(ties: DataFrame) -> DataFrame:
-    return ties.select("sig", "node").union(ties.select("sig", F.col("lead").alias("node"))).distinct()
+    return ties.select("sig", "node", "n").union(ties.select("sig", F.col("lead").alias("node"), F.col("lead_n").alias("n"))).distinct()
 
 
 def _mixed_signatures(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Stored (sig, node, root) of the signatures in `members(sig, node)` that components share; equal memberships once."""
+    """Stored (sig, node, n, root) of the signatures in `members(sig, node, n)` that components share; equal memberships once."""
     placed = _with_root(members, roots, "node", "root")
     mixed = placed.groupBy("sig").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many"),
@@ -410,11 +410,11 @@ def _mixed_signatures(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _drawn_pairs(mixed: DataFrame, draws: int) -> DataFrame:
-    """Pairs (a, b) of nodes with leaders drawn for each signature."""
+    """Pairs (a, b) of nodes with leaders drawn for each signature, if their sizes are near enough."""
     drawn = None
     for salt in range(draws):
-        lead = mixed.groupBy("sig").agg(F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(salt), "node")).alias("l"))
-        pairs = mixed.join(lead, "sig").where("root <> l.root").select(
+        lead = mixed.groupBy("sig").agg(F.min_by(F.struct("node", "root", "n"), F.xxhash64(F.lit(salt), "node")).alias("l"))
+        pairs = mixed.join(lead, "sig").where(f"root <> l.root AND {_near_size('l.n', 'n')}").select(
             F.greatest("node", "l.node").alias("a"), F.least("node", "l.node").alias("b"))
         drawn = pairs if drawn is None else drawn.union(pairs)
     return drawn.distinct()
@@ -429,6 +429,7 @@ def _remaining_pairs(mixed: DataFrame, nodes: DataFrame, checker: _Checker) -> D
     words = (f"transform(sequence(0, {BRIEF - 1}), i -> aggregate(filter(sketch, (x, j) -> j % {BRIEF} = i), 0L, (s, x) -> s ^ x))")
     brief = nodes.selectExpr("node", "n", f"IF(size(sketch) <= {BRIEF}, sketch, {words}) AS sketch")
     hot = written(mixed.groupBy("sig").count().where(F.col("count") > HOT_MEMBERS).select("sig"), "jaccard-hot")
+    mixed = mixed.drop("n")
     few = mixed.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, BRIEF).alias("sigs"))
     cold = mixed.join(hot, "sig", "left_anti")
     rows = written(cold.join(brief, "node").join(few, "node"), "jaccard-remaining")
@@ -508,7 +509,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, sample_rows: int = SAMPL
     links = links.union(check(_drawn_pairs(mixed, DRAWS)))
     roots = connected(links, rounds=2)
     # Components only grow, so a signature that they don't share by now stays so.
-    mixed = _mixed_signatures(mixed.select("sig", "node"), roots)
+    mixed = _mixed_signatures(mixed.select("sig", "node", "n"), roots)
     links = links.union(check(_remaining_pairs(mixed, nodes, checker)))
     roots = connected(links)
 
