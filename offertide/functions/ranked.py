@@ -27,12 +27,17 @@ class Ranked:
 
     With `sized` the input is stored first, so that it is computed once and its rows decide the
     number of pieces; else it is `partitions` or the session's number of shuffle partitions.
+    `piece` numbers the pieces of each group in the order, if the place of a row is known: then nothing is dealt out.
     """
 
     def __init__(self, df: DataFrame, order: Sequence[Column], group: Sequence[str] = (),
-                 partitions: int | None = None, sized: bool = False, piece_rows: int = PIECE_ROWS) -> None:
+                 partitions: int | None = None, sized: bool = False, piece_rows: int = PIECE_ROWS,
+                 piece: Column | None = None) -> None:
         self.group = list(group)
         self.order = list(order)
+        if piece is not None:
+            self.rows = written(df.withColumn(PART, piece), "layout")
+            return
         spark = df.sparkSession
         n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
         if sized and not partitions:
@@ -82,8 +87,9 @@ class Ranked:
         totals = rows.groupBy(*self.group, PART).agg(*[fn(c).alias(n) for n, fn, c in pieces])
         return self._with_earlier(local, totals, pieces)
 
-    def running_maxima(self, sums: Mapping[str, Column], maxima: Mapping[str, Column], keep: Sequence[str]) -> DataFrame:
-        """Columns `keep` and running maxima of expressions over running sums.
+    def running_maxima(self, sums: Mapping[str, Column], maxima: Mapping[str, Column], keep: Sequence[str],
+                       wanted: Column | None = None) -> DataFrame:
+        """Columns `keep` and running maxima of expressions over running sums, of the rows that are `wanted`.
 
         Sums and maxima are scanned in one pass over the layout, which is stored; what the maxima
         of earlier pieces add is then a join with one row per piece.
@@ -91,10 +97,17 @@ class Ranked:
         pieces = [(n, F.max, c) for n, c in maxima.items()]
         summed = self.running(self.rows, sums)
         over = self._inside()
-        local = written(summed.select(*self.order_columns(), *self.group, PART, *keep, *[c.alias(f"_own_{n}") for n, c in maxima.items()])
-                        .select(*self.group, PART, *keep, *[F.max(f"_own_{n}").over(over).alias(n) for n in maxima]), "curve")
+        local = summed.select(*self.order_columns(), *self.group, PART, *keep, *[c.alias(f"_own_{n}") for n, c in maxima.items()])
+        running = [F.max(f"_own_{n}").over(over).alias(n) for n in maxima]
+        if wanted is None:
+            local = written(local.select(*self.group, PART, *keep, *running), "curve")
+        else:  # and the last row of each piece, which holds its total
+            last = F.lead(F.lit(True)).over(Window.partitionBy(*self.group, PART).orderBy(*self.order)).isNull()
+            local = written(local.select(*self.group, PART, *keep, *running, last.alias("_last"))
+                            .where(wanted | F.col("_last")).drop("_last"), "curve")
         totals = local.groupBy(*self.group, PART).agg(*[F.max(n).alias(n) for n in maxima])
-        return self._with_earlier(local, totals, pieces)
+        found = self._with_earlier(local, totals, pieces)
+        return found if wanted is None else found.where(wanted)
 
     def order_columns(self) -> list[str]:
         """Columns of the layout that the order may refer to."""

@@ -8,13 +8,13 @@ as the running maximum from 0.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offertide.functions.draws import keyed_uniform
-from offertide.functions.ranked import Ranked
+from offertide.functions.ranked import PIECE_ROWS, Ranked
 from offertide.operators.ranking import best_first, by_strategy
 from offertide.settings import Settings
 
@@ -41,10 +41,13 @@ def gain_curve(df: DataFrame, score: str) -> DataFrame:
     return gain_curves(df, {"one": score}).drop("strategy")
 
 
-def _curves(rows: DataFrame, group: list[str], order: list) -> DataFrame:
-    ranked = Ranked(rows, order, group, sized=True)
+def _curves(rows: DataFrame, group: list[str], order: list, piece: Column | None = None,
+            points: Sequence[int] | None = None) -> DataFrame:
+    """Curves of each group, or only their rows at the given points and the origin."""
+    ranked = Ranked(rows, order, group, sized=True, piece=piece)
+    wanted = None if points is None else F.col("n").isin([int(p) for p in points])
     maxima = {"gain": F.expr(f"{CONVERSIONS} * {UNIT_PROFIT}"), "conversions": F.expr(CONVERSIONS)}
-    top = ranked.running_maxima({n: F.expr(sql) for n, sql in _SUMS.items()}, maxima, ["n"])
+    top = ranked.running_maxima({n: F.expr(sql) for n, sql in _SUMS.items()}, maxima, ["n"], wanted)
     curve = top.selectExpr(*group, "n", "greatest(gain, 0D) AS gain", "greatest(conversions, 0D) AS conversions")
     origin = ranked.rows.select(*group).distinct().selectExpr(*group, "0L AS n", "0D AS gain", "0D AS conversions")
     return curve.unionByName(origin)
@@ -100,12 +103,13 @@ def best_lambda_by_decile(df: DataFrame, grid: Sequence[float]) -> DataFrame:
     )
 
 
-def _resampled_curves(df: DataFrame, scores: Mapping[str, str], cfg: Settings, replicates: int) -> DataFrame:
+def _resampled_curves(df: DataFrame, scores: Mapping[str, str], cfg: Settings, replicates: int,
+                      points: Callable[[int], Sequence[int] | None]) -> DataFrame:
     """Curves of bootstrap resamples that keep the ranking order.
 
     Every replicate draws as many positions as there are rows, by keyed hash; the
-    same draws serve all strategies. Replicates are groups of one range layout, so a
-    replicate may be larger than a task.
+    same draws serve all strategies. Places are drawn evenly, so equal ranges of them are
+    pieces of a replicate, which may be larger than a task. `points` gives the wanted points for the number of rows.
     """
     spark = df.sparkSession
     ranked = Ranked(by_strategy(df, scores, _INPUTS), best_first(), ["strategy"], sized=True)
@@ -120,14 +124,16 @@ def _resampled_curves(df: DataFrame, scores: Mapping[str, str], cfg: Settings, r
     )
     rows = placed.select("strategy", "place", *_INPUTS).join(drawn, "place").selectExpr(
         "strategy", "replicate", "place", *_INPUTS, "explode(sequence(1, copies)) AS copy")
-    return _curves(rows, ["strategy", "replicate"], [F.asc("place"), F.asc("copy")])
+    pieces = max(1, -(-n // PIECE_ROWS))
+    return _curves(rows, ["strategy", "replicate"], [F.asc("place"), F.asc("copy")],
+                   F.expr(f"CAST((place - 1) * {pieces}L DIV {max(n, 1)}L AS INT)"), points(n))
 
 
 def gain_curves_with_bands(df: DataFrame, scores: Mapping[str, str], cfg: Settings,
                            replicates: int | None = None, points: Sequence[int] | None = None) -> DataFrame:
     """Curves with percentile bootstrap bands at every n, or only at the given points."""
     tail = (1 - cfg.gain_curve_confidence_level) / 2
-    resampled = _resampled_curves(df, scores, cfg, replicates or cfg.gain_curve_n_bootstrap)
+    resampled = _resampled_curves(df, scores, cfg, replicates or cfg.gain_curve_n_bootstrap, lambda n: points)
     curves = gain_curves(df, scores)
     if points is not None:
         wanted = F.col("n").isin([int(p) for p in points])
@@ -141,7 +147,9 @@ def gain_curves_with_bands(df: DataFrame, scores: Mapping[str, str], cfg: Settin
 def conversions_by_decile_with_bands(df: DataFrame, scores: Mapping[str, str], cfg: Settings,
                                      replicates: int | None = None) -> DataFrame:
     tail = (1 - cfg.gain_curve_confidence_level) / 2
-    resampled = _resampled_curves(df, scores, cfg, replicates or cfg.gain_curve_n_bootstrap)
+    # Every replicate has as many rows as the frame, so the ends of the deciles are known.
+    resampled = _resampled_curves(df, scores, cfg, replicates or cfg.gain_curve_n_bootstrap,
+                                  lambda n: [round(n * d / 10) for d in range(11)])
     bands = _marginals(resampled, ["strategy", "replicate"]).groupBy("strategy", "decile").agg(
         F.expr(f"percentile(conversions, {tail!r}) AS conversions_lo"),
         F.expr(f"percentile(conversions, {1 - tail!r}) AS conversions_hi"))

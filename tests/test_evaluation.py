@@ -79,6 +79,21 @@ def test_bands_contain_the_point(make_holdout, cfg):
     assert gain.gain_curves_with_bands(df, {"a": "s"}, cfg, 5, points=[10, 20]).count() == 2
 
 
+def test_bands_at_deciles_equal_those_of_whole_curves(make_holdout, cfg, monkeypatch):
+    rng = random.Random(4)
+    df = make_holdout(*[(int(rng.random() < 0.6), int(rng.random() < 0.5), 20.0, 5.0, 1000 - i) for i in range(35)])
+    known = {}
+    curves = gain._curves
+    monkeypatch.setattr(gain, "_curves", lambda rows, group, *more: known.setdefault(len(group), curves(rows, group, *more)))
+    got = gain.conversions_by_decile_with_bands(df, {"a": "s"}, cfg, 20).orderBy("decile").collect()
+    at_cuts = {r["n"] for r in known[2].collect()}
+    assert at_cuts == {round(35 * d / 10) for d in range(11)}
+    whole = gain._resampled_curves(df, {"a": "s"}, cfg, 20, lambda n: None)
+    monkeypatch.setattr(gain, "_resampled_curves", lambda *a: whole)
+    want = gain.conversions_by_decile_with_bands(df, {"a": "s"}, cfg, 20).orderBy("decile").collect()
+    assert got == want
+
+
 @pytest.fixture
 def scores(spark):
     return spark.createDataFrame(

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from offertide.functions import ranked
 from offertide.functions.quantiles import exact_quantiles
 from offertide.functions.ranked import PART, Ranked
 from offertide.operators import describe
@@ -24,6 +25,24 @@ def rows(spark):
     return data, spark.createDataFrame(data, "g string, s int, k int, v double").repartition(7)
 
 
+@pytest.mark.parametrize("pieces", [1, 3, 50])
+def test_wanted_rows_of_known_pieces_equal_a_plain_scan(rows, monkeypatch, pieces):
+    data, df = rows
+    stored = {}
+    plain = ranked.written
+    monkeypatch.setattr(ranked, "written", lambda t, name: stored.setdefault(name, plain(t, name)))
+    layout = Ranked(df, [F.asc("k")], ["g"], piece=F.expr(f"k * {pieces} DIV {ROWS}"))
+    wanted = [1, 7, 90, 150]
+    got = layout.running_maxima({"n": F.lit(1), "t": F.col("v")}, {"top": F.expr("t * 2 - n")}, ["k", "n"], F.col("n").isin(wanted))
+    want = {}
+    for g in {r[0] for r in data}:
+        own = sorted((r for r in data if r[0] == g), key=lambda r: r[2])
+        tops = accumulate((2 * t - n for n, t in enumerate(accumulate(r[3] for r in own), 1)), max)
+        want |= {r[2]: (n, top) for n, (r, top) in enumerate(zip(own, tops), 1) if n in wanted}
+    assert {r["k"]: (r["n"], r["top"]) for r in got.collect()} == want
+    assert set(stored) == {"layout", "curve"} and stored["curve"].count() <= 3 * (len(wanted) + pieces)
+
+
 @pytest.mark.parametrize("piece_rows", [2, 200, 10_000])
 def test_running_maxima_equal_a_plain_scan(rows, piece_rows):
     data, df = rows
