@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Hashable, Mapping
+from collections.abc import Callable, Hashable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
 
@@ -42,11 +42,38 @@ def for_trees(rows: DataFrame, min_rows: int) -> DataFrame:
     return rows
 
 
+FEW = 25_000
+"""Rows that are not worth a task of their own in a pass: they are binned and summed in some milliseconds."""
+LONG = 10
+"""One wave of long tasks is faster than several of short ones, so tasks grow this much before there are more than cores."""
+
+
+def part_sizes(stored: DataFrame, *group: str) -> dict[tuple, list[int]]:
+    """Rows of each partition that holds any, per value of the few-valued `group`."""
+    found = stored.groupBy(*group, F.spark_partition_id()).count().collect()  # at most a row per partition and value
+    sizes: dict[tuple, list[int]] = {}
+    for r in found:
+        sizes.setdefault(tuple(r[g] for g in group), []).append(r["count"])
+    return sizes
+
+
 def laid_out(df: DataFrame, rows_per_task: int, name: str = "fit-rows") -> DataFrame:
-    """`df` stored once and read in as many partitions as its rows need.
+    """`df` stored once and dealt evenly for many passes."""
+    stored = written(df, name)
+    return dealt(stored, part_sizes(stored).get((), []), rows_per_task)
+
 
-    Each pass of a fit runs one task per partition, so small data should not be in many.
+def dealt(stored: DataFrame, sizes: Sequence[int], rows_per_task: int, beside: int | None = None) -> DataFrame:
+    """`stored`, whose partitions have `sizes` rows, in as many equal ones as its share of the cores can take.
+
+    Each pass of a fit runs one task per partition and waits for the longest. So small data should not be in
+    many, and larger data in equal tasks on all cores, whatever files it was stored in. `beside` counts
+    the rows of all fits that run at the same time, which share the cores.
     """
-    stored = written(df, name)
-    parts = max(1, -(-stored.count() // rows_per_task))
-    return stored.coalesce(parts) if parts < stored.rdd.getNumPartitions() else stored
+    cores, count = stored.sparkSession.sparkContext.defaultParallelism, sum(sizes)
+    share = max(1, min(round(cores * count / max(beside or count, 1)), count // FEW))
+    parts = share * max(1, -(-count // (LONG * rows_per_task * share)))
+    if parts == 1:
+        return stored.coalesce(1)
+    even = parts <= len(sizes) <= 1.5 * parts and max(sizes) * len(sizes) <= 1.25 * count
+    return stored if even else stored.repartition(parts)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from functools import partial
 from threading import Barrier
 
+from pyspark.sql import functions as F
+
 from offertide.models import conversion
 from offertide.models.effect import STAGES, EffectModel
-from offertide.models.fitting import together
+from offertide.models.fitting import dealt, part_sizes, together
 
 from planted import planted
 
@@ -56,3 +58,29 @@ def test_logistic_passes_run_over_as_few_partitions_as_the_rows_need(spark, cfg,
                         lambda self, rows: parts.append(rows.rdd.getNumPartitions()) or fit(self, rows))
     conversion.logistic_anchor(planted(spark, 200).repartition(16), cfg.but(logit_max_iter=3))
     assert parts == [1]
+
+
+def test_tree_passes_run_over_equal_tasks_on_all_cores(spark, cfg, monkeypatch):
+    monkeypatch.setattr("offertide.models.fitting.FEW", 50, raising=False)
+    parts, fit = [], conversion.GBTClassifier.fit
+    monkeypatch.setattr(conversion.GBTClassifier, "fit", lambda self, rows: parts.append(
+        [len(p) for p in rows.rdd.glom().collect()]) or fit(self, rows))
+    conversion.ConversionModel(cfg.but(conversion_trees=1)).fit(planted(spark, 900).coalesce(1))
+    assert len(parts[0]) == spark.sparkContext.defaultParallelism and max(parts[0]) - min(parts[0]) <= len(parts[0])
+
+
+def test_fits_side_by_side_share_the_cores_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr("offertide.models.fitting.FEW", 50)
+    rows = spark.range(900).coalesce(1)
+    found = {(count, limit): [len(p) for p in dealt(rows.limit(count), [count], limit, 900).rdd.glom().collect()]
+             for count, limit in ((20, 1000), (450, 1000), (900, 1000), (900, 15))}
+    assert {k: len(v) for k, v in found.items()} == {(20, 1000): 1, (450, 1000): 2, (900, 1000): 4, (900, 15): 8}
+    assert all(sum(v) == count and max(v) - min(v) <= len(v) for (count, _), v in found.items())
+
+
+def test_rows_in_even_partitions_are_not_dealt_again(spark, monkeypatch):
+    monkeypatch.setattr("offertide.models.fitting.FEW", 50)
+    even = spark.range(0, 900, 1, 5)
+    assert part_sizes(even.withColumn("side", F.lit("a")), "side") == {("a",): [180] * 5}
+    assert dealt(even, [180] * 5, 1000) is even
+    assert dealt(even, [100, 100, 100, 100, 500], 1000).rdd.getNumPartitions() == 4
