@@ -8,6 +8,7 @@ p * tau_c + (1 - p) * tau_t and its uncertainty |tau_t - tau_c|.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import partial, reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from offertide.functions.draws import keyed_uniform
 from offertide.functions.ranked import numbered
-from offertide.functions.storage import durable
-from offertide.models.fitting import laid_out, together
+from offertide.functions.storage import durable, written
+from offertide.models.fitting import dealt, part_sizes, together
 from offertide.models.learners import Fitted, Learner, TreeLearner
 from offertide.models.matrix import EFFECT_FEATURES, slots
 from offertide.settings import GRAIN, Settings
@@ -41,26 +42,31 @@ class EffectModel:
         """Both outcome models of all types are fitted side by side, then both effect models."""
         self.learner = self.learner.prepare(train)
         size, threads = self.cfg.tree_rows_per_task, self.cfg.fits_at_once
-        shaped = laid_out(self.learner.shape(train.select(*GRAIN, *EFFECT_FEATURES, "offer_type", "treatment", "converted"))
-                          .select("offer_type", "treatment", "converted", *self.learner.inputs), size)
-        arms = shaped.groupBy("offer_type").agg(F.min("treatment").alias("least"), F.max("treatment").alias("most")).collect()
-        for arm in arms:
-            if (arm["least"], arm["most"]) != (0, 1):
-                raise ValueError(f"offer type {arm['offer_type']!r} has only one arm in the training rows")
-        kinds = sorted(arm["offer_type"] for arm in arms)
+        shaped = written(self.learner.shape(train.select(*GRAIN, *EFFECT_FEATURES, "offer_type", "treatment", "converted"))
+                         .select("offer_type", "treatment", "converted", *self.learner.inputs), "fit-rows")
+        arms = part_sizes(shaped, "offer_type", "treatment")
+        kinds = sorted({kind for kind, _ in arms})
+        for kind in kinds:
+            if {t for k, t in arms if k == kind} != {0, 1}:
+                raise ValueError(f"offer type {kind!r} has only one arm in the training rows")
+        everything = sum(map(sum, arms.values()))
 
         def rows(kind: str, treatment: int) -> DataFrame:
             return shaped.where((F.col("offer_type") == kind) & (F.col("treatment") == treatment))
 
+        def fitted(stored: DataFrame, sizes: list[int], target: str) -> Fitted:
+            return self.learner.fit(dealt(stored, sizes, size, everything), target)
+
         def outcome(kind: str, treatment: int) -> Fitted:
-            return self.learner.fit(rows(kind, treatment), "converted")
+            return fitted(rows(kind, treatment), arms[kind, treatment], "converted")
 
         def effect(kind: str, treatment: int) -> Fitted:
             # The effect of the arm in sight, by the outcome model of the other arm, stored before the fit reads it.
             other = outcomes[kind, 1 - treatment].predict(rows(kind, treatment), "m")
             sign = 1 if treatment else -1
             target = other.withColumn("d", sign * (F.col("converted") - F.col("m"))).drop("m")
-            return self.learner.fit(laid_out(target, size, "effect-rows"), "d")
+            stored = written(target, "effect-rows")
+            return fitted(stored, part_sizes(stored)[()], "d")
 
         cells = [(k, t) for k in kinds for t in (0, 1)]
         outcomes = together({c: partial(outcome, *c) for c in cells}, threads)
@@ -109,50 +115,40 @@ class EffectModel:
         Per type a surrogate learns tau from the features; a feature's importance is the
         rise of its squared error when the feature is taken from another row of the type
         instead, relative to the variance of tau. All features are measured in one pass:
-        every row is scored once per feature with only that feature exchanged.
+        every row is scored once per feature that the surrogate uses, with only that feature
+        exchanged. Types are measured side by side.
         """
         if not isinstance(self.learner, TreeLearner):
             raise TypeError("causal importance needs the tree learner")
-        owners = [owner for _, owner in slots(EFFECT_FEATURES)]
-        number = {f: i for i, f in enumerate(EFFECT_FEATURES)}
         totals, weight = dict.fromkeys(EFFECT_FEATURES, 0.0), 0
         scored = durable(self.learner.shape(self.score(df)).select(
             *GRAIN, "offer_type", "tau", "features", vector_to_array("features").alias("x")))
-        kinds = sorted(r[0] for r in scored.select("offer_type").distinct().collect())
+        sizes = {kind: own for (kind,), own in part_sizes(scored, "offer_type").items()}
+        everything = sum(map(sum, sizes.values()))
 
-        def of(kind: str) -> DataFrame:
-            return scored.where(F.col("offer_type") == kind)
-
-        def fitted(kind: str) -> Fitted:
-            return self.learner.fit(laid_out(of(kind).select("features", "tau"), self.cfg.tree_rows_per_task), "tau")
-
-        surrogates = together({k: partial(fitted, k) for k in kinds}, self.cfg.fits_at_once)
-        for kind in kinds:
-            rows, surrogate = of(kind), surrogates[kind]
+        def measured(kind: str) -> tuple[dict[str, float], int]:
+            rows = scored.where(F.col("offer_type") == kind)
+            surrogate = self.learner.fit(
+                dealt(rows.select("features", "tau"), sizes[kind], self.cfg.tree_rows_per_task, everything), "tau")
             keys = [F.asc(k) for k in GRAIN]
-            taker = numbered(rows.select(*GRAIN, "tau", "x"), keys, name="place")
+            taker = numbered(rows.select(*GRAIN, "tau", "x"), keys, name="place", sized=True)
             giver = numbered(
                 rows.select(*GRAIN, F.col("x").alias("y"),
                             keyed_uniform(self.cfg.seed, "importance", *GRAIN).alias("u")),
-                [F.asc("u"), *keys], name="place").select("place", "y")
-            owner_ids = F.array(*[F.lit(number[o]) for o in owners])
-            mixed = F.transform(
-                F.sequence(F.lit(0), F.lit(len(owners) - 1)),
-                lambda i: F.when(F.get(F.col("owner_ids"), i) == F.col("j"), F.get(F.col("y"), i))
-                .otherwise(F.get(F.col("x"), i)))
-            trials = (
-                taker.join(giver, "place").withColumn("owner_ids", owner_ids)
-                # j = -1 leaves every feature in place and gives the base error.
-                .withColumn("j", F.explode(F.sequence(F.lit(-1), F.lit(len(EFFECT_FEATURES) - 1))))
-                .select("j", "tau", array_to_vector(mixed).alias("features"))
-            )
-            errors = {r["j"]: (r["mse"], r["spread"], r["n"]) for r in surrogate.predict(trials, "guess")
-                      .groupBy("j").agg(F.expr("avg(power(tau - guess, 2)) AS mse"),
-                                        F.expr("var_pop(tau) AS spread"), F.expr("count(1) AS n")).collect()}
-            base, spread, n = errors[-1]
-            for feature, i in number.items():
-                drop = (errors[i][0] - base) / spread if spread else 0.0
-                totals[feature] += max(drop, 0.0) * n
+                [F.asc("u"), *keys], name="place", sized=True).select("place", "y")
+            # A feature in no split of the surrogate can't change its error.
+            used = sorted({owners[i] for i in surrogate.used_slots()}, key=EFFECT_FEATURES.index)
+            trials = exchanged(taker.join(giver, "place"), EFFECT_FEATURES, used)
+            errors = {r["feature"]: (r["mse"], r["spread"], r["n"]) for r in surrogate.predict(trials, "guess")
+                      .groupBy("feature").agg(F.expr("avg(power(tau - guess, 2)) AS mse"),
+                                              F.expr("var_pop(tau) AS spread"), F.expr("count(1) AS n")).collect()}
+            base, spread, n = errors[None]
+            return {f: max((errors[f][0] - base) / spread if spread else 0.0, 0.0) for f in used}, n
+
+        owners = [owner for _, owner in slots(EFFECT_FEATURES)]
+        for rises, n in together({k: partial(measured, k) for k in sorted(sizes)}, self.cfg.fits_at_once).values():
+            for feature, rise in rises.items():
+                totals[feature] += rise * n
             weight += n
         means = {f: v / weight for f, v in totals.items()} if weight else totals
         whole = sum(means.values())
@@ -172,6 +168,20 @@ class EffectModel:
         return self
 
 
+def exchanged(rows: DataFrame, features: Sequence[str], wanted: Sequence[str]) -> DataFrame:
+    """Per row of `rows` (tau and the slot arrays x and y): x as it is (`feature` null), and once per wanted
+    feature with that feature's slots taken from y.
+
+    The slots of a feature stand side by side, so an exchange is three slices, which are compiled.
+    """
+    owners = [owner for _, owner in slots(tuple(features))]
+    cuts = [("CAST(NULL AS STRING)", 0, 0), *[(f"'{f}'", owners.index(f), owners.count(f)) for f in wanted]]
+    listed = ", ".join(f"struct({name} AS feature, {start} AS start, {width} AS width)" for name, start, width in cuts)
+    size = len(owners)
+    return rows.selectExpr("tau", "x", "y", f"inline(array({listed}))").select("feature", "tau", array_to_vector(F.expr(
+        f"concat(slice(x, 1, start), slice(y, start + 1, width), slice(x, start + width + 1, {size}))")).alias("features"))
+
+
 def stage_diagnostics(scored: DataFrame) -> DataFrame:
     """Mean and population spread of mu0 and mu1, their gap and the mean effect per type."""
     return scored.groupBy("offer_type").agg(

@@ -38,6 +38,10 @@ class TreeStage:
     def predict(self, df: DataFrame, name: str) -> DataFrame:
         return self.model.copy().setPredictionCol(name).transform(df)
 
+    def used_slots(self) -> list[int]:
+        """Places of the vector that some split reads; every split has a gain, so its importance isn't 0."""
+        return [i for i, v in enumerate(self.model.featureImportances.toArray()) if v > 0]
+
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(path)
 

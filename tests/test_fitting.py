@@ -5,11 +5,14 @@ from __future__ import annotations
 from functools import partial
 from threading import Barrier
 
+import pytest
 from pyspark.sql import functions as F
 
 from offertide.models import conversion
-from offertide.models.effect import STAGES, EffectModel
+from offertide.models.effect import STAGES, EffectModel, exchanged
 from offertide.models.fitting import dealt, part_sizes, together
+from offertide.models.learners import TreeStage
+from offertide.models.matrix import EFFECT_FEATURES, slots
 
 from planted import planted
 
@@ -60,6 +63,34 @@ def test_logistic_passes_run_over_as_few_partitions_as_the_rows_need(spark, cfg,
     assert parts == [1]
 
 
+def test_importance_scores_only_features_in_use_by_compiled_expressions(spark, cfg, monkeypatch):
+    trials, predict = [], TreeStage.predict
+
+    def watched(self, df, name):
+        if name == "guess":
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            used = {owner for i, (_, owner) in enumerate(slots(EFFECT_FEATURES)) if self.model.featureImportances[i] > 0}
+            trials.append((used, {r[0] for r in df.select("feature").distinct().collect()}, "lambda" in plan))
+        return predict(self, df, name)
+
+    monkeypatch.setattr(TreeStage, "predict", watched)
+    rows = planted(spark, 600).where("offer_type <> 'informational'")
+    model = EffectModel(cfg.but(effect_trees=2)).fit(rows)
+    shares = model.causal_importance(rows)
+    assert len(trials) == 2 and all(seen == {None, *used} and not slow for used, seen, slow in trials)
+    assert set(shares) == set(EFFECT_FEATURES) and sum(shares.values()) == pytest.approx(1.0)
+    assert all(shares[f] == 0 for f in set(EFFECT_FEATURES) - trials[0][0] - trials[1][0])
+
+
+def test_an_exchange_takes_all_slots_of_a_feature_and_no_other(spark):
+    owners = [owner for _, owner in slots(EFFECT_FEATURES)]
+    n = len(owners)
+    rows = spark.createDataFrame([(0.5, [float(i) for i in range(n)], [float(-i - 1) for i in range(n)])],
+                                 "tau double, x array<double>, y array<double>")
+    found = {r["feature"]: list(r["features"]) for r in exchanged(rows, EFFECT_FEATURES, EFFECT_FEATURES).collect()}
+    assert found == {f: [float(-i - 1 if o == f else i) for i, o in enumerate(owners)] for f in (None, *EFFECT_FEATURES)}
+
+
 def test_tree_passes_run_over_equal_tasks_on_all_cores(spark, cfg, monkeypatch):
     monkeypatch.setattr("offertide.models.fitting.FEW", 50, raising=False)
     parts, fit = [], conversion.GBTClassifier.fit
