@@ -14,9 +14,13 @@ from offertide.models.effect import EffectModel
 from offertide.models.fitting import together
 from offertide.models.learners import Learner
 from offertide.models.matrix import EFFECT_FEATURES
-from offertide.operators import clean, quadrant, ranking, uplift_metrics
+from offertide.models.pairs import pair_components
+from offertide.operators import quadrant, ranking, uplift_metrics
+from offertide.operators.serving import ScoringGrid
 from offertide.settings import GRAIN, PAID_TYPES, Settings
 
+PAIR_COLUMNS, COMPONENTS = ("account_id", "offer_id", "offer_type"), ("uplift", "uncertainty", "p_convert")
+
 
 class BlendedModel:
     def __init__(self, cfg: Settings, learner: Learner | None = None) -> None:
@@ -35,13 +39,16 @@ class BlendedModel:
         model.effect, model.conversion = effect, conversion
         return model
 
-    def components(self, df: DataFrame) -> DataFrame:
-        """`df` plus uplift, uncertainty and p_convert."""
+    def components(self, df: DataFrame | ScoringGrid) -> DataFrame:
+        """`df` plus uplift, uncertainty and p_convert; of a grid, every pair with its offer type and these."""
+        if isinstance(df, ScoringGrid):
+            found = pair_components(df, self.effect, self.conversion)
+            return self.components(df.pairs()).select(*PAIR_COLUMNS, *COMPONENTS) if found is None else found
         scored = self.effect.score(df).selectExpr(*df.columns, "tau AS uplift", "uncertainty")
         return self.conversion.predict(scored)
 
-    def score(self, df: DataFrame) -> DataFrame:
-        """`df` plus the components and `score`."""
+    def score(self, df: DataFrame | ScoringGrid) -> DataFrame:
+        """What `components` returns, plus `score`."""
         found = self.components(df)
         if self.cfg.blend_mode == "dynamic":
             # The scaling reads the frame twice; the models should run once.
@@ -90,12 +97,15 @@ class BlendedModel:
         return model
 
 
-def attach_scores(frame: DataFrame, model: BlendedModel, cfg: Settings) -> DataFrame:
-    """Model columns and quadrant on rows of paid types; other types keep nulls."""
+def attach_scores(frame: DataFrame | ScoringGrid, model: BlendedModel, cfg: Settings) -> DataFrame:
+    """Model columns and quadrant on rows of paid types; other types keep nulls. Of a grid, every pair with its offer type and these."""
+    is_paid = F.col("offer_type").isin(*PAID_TYPES)
     # Stored by column, so that the scaling and each reader read back only the columns they use.
-    paid = written(model.components(clean.paid_types_only(frame)), "paid-scores")
+    paid = written(model.components(frame.where(is_paid)), "paid-scores")
     scored = quadrant.add_quadrant(ranking.add_dynamic_score(paid, cfg.serving_score_gamma), cfg)
-    others = frame.where(~F.col("offer_type").isin(*PAID_TYPES))
+    others = frame.where(~is_paid)
+    if isinstance(others, ScoringGrid):
+        others = others.pairs().select(*PAIR_COLUMNS)
     return scored.unionByName(others, allowMissingColumns=True)
 
 

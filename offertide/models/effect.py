@@ -81,14 +81,18 @@ class EffectModel:
             raise RuntimeError("the effect model is not fitted")
         return self._models
 
-    def score(self, df: DataFrame) -> DataFrame:
-        """`df` plus mu0, mu1, tau_t, tau_c, tau and uncertainty, joined to nothing."""
-        shares = {r["offer_type"]: r["propensity"] for r in fixed_propensity(df).collect()}
-        unknown = set(shares) - set(self.models)
+    def shares(self, df: DataFrame) -> dict[str, float]:
+        """The propensity of each offer type of `df`, all of which must have models."""
+        found = {r["offer_type"]: r["propensity"] for r in fixed_propensity(df).collect()}
+        unknown = set(found) - set(self.models)
         if unknown:
             raise ValueError(f"no model for offer types {sorted(unknown)}")
+        return found
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """`df` plus mu0, mu1, tau_t, tau_c, tau and uncertainty, joined to nothing."""
         parts = []
-        for kind, p in sorted(shares.items()):
+        for kind, p in sorted(self.shares(df).items()):
             rows = self.learner.shape(df.where(F.col("offer_type") == kind))
             for stage in STAGES:
                 rows = self.models[kind][stage].predict(rows, stage)

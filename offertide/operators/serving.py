@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offertide.functions.draws import fnv_uniform
@@ -38,34 +39,62 @@ def scoring_grain(profile: DataFrame, active_offers: DataFrame, at: float) -> Da
         "account_id", "offer_id", f"{float(at)!r}D AS received_time")
 
 
-def build_scoring_frame(events: DataFrame, offers: DataFrame, profile: DataFrame, at: float, cfg: Settings,
-                        active: DataFrame | None = None, receipts: DataFrame | None = None,
-                        hot: HotKeys | None = None) -> DataFrame:
-    """Contract rows for every (customer, active offer), with history up to `at`.
+@dataclass(frozen=True)
+class ScoringGrid:
+    """Stored customers with their history and active offers with their terms, of which every pair is wanted.
+
+    The grid itself is never stored: a reader pays for the columns and offers it takes.
+    """
+
+    customers: DataFrame
+    offers: DataFrame
+    small: bool
+    """Whether the offers are a table of the driver's."""
+    rows_per_task: int
+
+    def where(self, condition: Column) -> "ScoringGrid":
+        """The grid of only those offers."""
+        return replace(self, offers=self.offers.where(condition))
+
+    def dealt(self) -> DataFrame:
+        """The customers, dealt to tasks by the pairs that are made from them."""
+        return spread(self.customers, self.customers.count() * self.offers.count(), self.rows_per_task)
+
+    def pairs(self) -> DataFrame:
+        """Contract rows of every pair."""
+        return enforce_schema(self.dealt().crossJoin(self.offers))
+
 
-    History is computed and stored once per customer and only then combined with the offers, so the
-    grid itself is never stored: a reader pays for the columns and offers it takes.
+def scoring_grid(events: DataFrame, offers: DataFrame, profile: DataFrame, at: float, cfg: Settings,
+                 active: DataFrame | None = None, receipts: DataFrame | None = None,
+                 hot: HotKeys | None = None) -> ScoringGrid:
+    """Every customer and active offer, with history up to `at`.
+
+    History is computed and stored once per customer and only then combined with the offers.
     Concurrency counts the other offers of the grid, unless real `receipts` are given.
     """
     active = offers if active is None else active
     moments = profile.selectExpr("account_id", f"{float(at)!r}D AS received_time")
     blocks = ALL_BLOCKS if receipts is not None else tuple(b for b in ALL_BLOCKS if b != ACTIVE)
     past = history(moments, events, offers, blocks, receipts, hot)
-    customers = profile.join(past, "account_id", "left")
-    if receipts is None:
-        others = active.agg(F.expr("CAST(count(duration) AS INT) AS n_known"))
-        customers = customers.crossJoin(others)
     # All that depends on the offer alone is joined before the grid is formed.
     terms = offer_terms(active.selectExpr("id AS offer_id"), offers).selectExpr(
         "*", "1 AS treatment", "0 AS converted", "0D AS conversion_value", "0 AS is_recurrent",
         "0 AS campaign_wave")
-    priced = small_or_same(clean.add_reward_cost(terms, offers), cfg.small_table_rows)[0]
-    stored = written(customers, "customers")
-    # The grid has as many partitions as the customers it is made from.
-    featured = spread(stored, stored.count() * priced.count(), cfg.grid_rows_per_task).crossJoin(priced)
     if receipts is None:
-        featured = featured.withColumn("n_concurrent_offers", F.expr("n_known - IF(duration IS NULL, 0, 1)"))
-    return enforce_schema(featured)
+        others = active.agg(F.expr("CAST(count(duration) AS INT) AS n_known"))
+        terms = terms.crossJoin(others).selectExpr(
+            *terms.columns, "n_known - IF(duration IS NULL, 0, 1) AS n_concurrent_offers")
+    priced, small = small_or_same(clean.add_reward_cost(terms, offers), cfg.small_table_rows)
+    stored = written(profile.join(past, "account_id", "left"), "customers")
+    return ScoringGrid(stored, priced, small, cfg.grid_rows_per_task)
+
+
+def build_scoring_frame(events: DataFrame, offers: DataFrame, profile: DataFrame, at: float, cfg: Settings,
+                        active: DataFrame | None = None, receipts: DataFrame | None = None,
+                        hot: HotKeys | None = None) -> DataFrame:
+    """Contract rows for every (customer, active offer), with history up to `at`."""
+    return scoring_grid(events, offers, profile, at, cfg, active, receipts, hot).pairs()
 
 
 def best_offer_per_customer(scored: DataFrame, score: str = "score", group: Sequence[str] = (),

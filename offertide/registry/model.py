@@ -204,7 +204,7 @@ def _(w):
 
 @query("v5_attach_scores")
 def _(w):
-    return blended.attach_scores(w.serving_frame, w.blended, w.cfg).select(
+    return blended.attach_scores(w.serving_grid, w.blended, w.cfg).select(
         "account_id", "offer_id", "offer_type", "uplift", "p_convert", "uncertainty", "score_dynamic", "quadrant")
 
 

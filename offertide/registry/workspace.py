@@ -105,11 +105,15 @@ class Workspace:
 
 
     @cached_property
-    def serving_frame(self) -> DataFrame:
+    def serving_grid(self) -> serving.ScoringGrid:
         at = serving.decision_time(self.log).first()[0]
-        return serving.build_scoring_frame(
+        return serving.scoring_grid(
             self.log, self.offers, self.profile, at, self.cfg, self.active, hot=self.hot)
 
+    @cached_property
+    def serving_frame(self) -> DataFrame:
+        return self.serving_grid.pairs()
+
     @cached_property
     def matrix(self) -> DataFrame:
         """Serving rows with formula scores; other types keep null scores. Computed from the stored customers by each reader."""
