@@ -64,8 +64,8 @@ def recommend(spark: SparkSession, raw_folder: str, model_path: str, cfg: Settin
     offers, profile, log = _raw(spark, raw_folder, cfg, multi_line, store)
     at = serving.decision_time(log, decision_time).first()[0]
     active = small_or_same(serving.paid_offers(serving.sent_offers(offers, clean.receipts(log))), cfg.small_table_rows)[0]
-    frame = serving.build_scoring_frame(log, offers, profile, at, cfg, active, hot=hot_accounts(log, cfg))
-    scored = written(model.score(frame).select("account_id", "offer_id", "offer_type", "score"), "scores")
+    grid = serving.scoring_grid(log, offers, profile, at, cfg, active, hot=hot_accounts(log, cfg))
+    scored = written(model.score(grid).select("account_id", "offer_id", "offer_type", "score"), "scores")
     chosen = serving.recommend(scored, budget or cfg.predict_budget, model.cfg.blend_temperature, model.cfg.seed)
     if out:
         files.write_recommendations(chosen, out)

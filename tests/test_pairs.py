@@ -12,6 +12,7 @@ from offertide.arrays.pairs import PairForest, PairScores, packed, read_trees
 from offertide.models import blended, pairs
 from offertide.models.learners import CellMeanLearner
 from offertide.operators import clean, contract, serving
+from offertide.plans import jobs
 from offertide.settings import Settings
 
 from planted import planted
@@ -121,3 +122,22 @@ def test_other_learners_and_large_catalogues_score_rows(spark, model, grid, monk
 def test_offers_without_a_model_are_refused(model, grid):
     with pytest.raises(ValueError, match="no model for offer types"):
         model.components(grid)
+
+
+@pytest.fixture
+def raw(spark, model, make_events, make_offers, monkeypatch):
+    """The jobs' raw tables and fitted model, and the grids that were scored without forming their rows."""
+    log = make_events(*[(f"c{i}", "offer received", 5.0, f"o{i % 3}") for i in range(9)], *[(f"c{i}", "transaction", 6.0 + i, None, 9.0) for i in range(9)])
+    offers = make_offers(("o0", "bogo", 10, 5, 7), ("o1", "discount", 12, 2, 5), ("o2", "informational", 0, 0, 4))
+    profile = spark.createDataFrame([(f"c{i}", 30 + i, "F", 9.0, 0, 5) for i in range(9)],
+                                    "account_id string, age int, gender string, credit_card_limit double, identity_missing int, tenure_days int")
+    scored = []
+    monkeypatch.setattr(jobs, "_raw", lambda *_: (offers, profile, log))
+    monkeypatch.setattr(blended.BlendedModel, "load", lambda *_: model)
+    monkeypatch.setattr(blended, "pair_components", lambda *given: scored.append(pairs.pair_components(*given)) or scored[-1])
+    return scored
+
+
+def test_recommending_scores_pairs(spark, raw):
+    assert jobs.recommend(spark, "", "", CFG, 4).count() == 4
+    assert [found.count() for found in raw] == [18]
