@@ -79,8 +79,8 @@ def publish(spark: SparkSession, raw_folder: str, processed_path: str, model_pat
     offers, profile, log = _raw(spark, raw_folder, cfg, multi_line, store)
     at = serving.decision_time(log).first()[0]
     active = small_or_same(serving.sent_offers(offers, clean.receipts(log)), cfg.small_table_rows)[0]
-    frame = serving.build_scoring_frame(log, offers, profile, at, cfg, active, hot=hot_accounts(log, cfg))
-    matrix = written(attach_scores(frame, model, cfg).select(
+    grid = serving.scoring_grid(log, offers, profile, at, cfg, active, hot=hot_accounts(log, cfg))
+    matrix = written(attach_scores(grid, model, cfg).select(
         "account_id", "offer_id", "offer_type", "uplift", "p_convert", "uncertainty", "score_dynamic", "quadrant"),
         "matrix")
     _, held = clean.temporal_split(files.read_processed(spark, processed_path), cfg)

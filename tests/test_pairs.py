@@ -141,3 +141,10 @@ def raw(spark, model, make_events, make_offers, monkeypatch):
 def test_recommending_scores_pairs(spark, raw):
     assert jobs.recommend(spark, "", "", CFG, 4).count() == 4
     assert [found.count() for found in raw] == [18]
+
+
+def test_publishing_scores_pairs(spark, raw, tmp_path):
+    varied(spark, 120).write.parquet(str(tmp_path / "processed"))
+    tables = jobs.publish(spark, "", str(tmp_path / "processed"), "", str(tmp_path / "site"), CFG)
+    assert tables["matrix"].count() == 27 and tables["matrix"].where("uplift IS NULL").count() == 9
+    assert [found.count() for found in raw] == [18]
