@@ -13,8 +13,10 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from offertide.arrays.bands import MEASURES, Shape, bands, drawn, packed, peaks
 from offertide.functions.draws import keyed_uniform
 from offertide.functions.ranked import PIECE_ROWS, Ranked
+from offertide.functions.storage import written
 from offertide.operators.ranking import best_first, by_strategy
 from offertide.settings import Settings
 
@@ -27,6 +29,10 @@ _SUMS = {
     "cc": "IF(treatment = 1, 0L, CAST(converted AS BIGINT))",
     "pt": "IF(treatment = 1 AND converted = 1, net_profit, 0D)",
 }
+_BANDS = "strategy string, n long, gain_lo double, gain_hi double, conversions_lo double, conversions_hi double"
+BLOCK, STRETCH, DRAWS_PER_TASK = 4_096, 16_384, 500_000
+"""Places of a block of resamples, points of a stretch of bands and draws of a task: some tens of MB each."""
+MOST_PARTS = 1_000
 CONVERSIONS = "(ct - IF(nc > 0, cc * (nt / nc), 0D))"
 UNIT_PROFIT = "IF(ct > 0, pt / ct, 0D)"
 
@@ -129,15 +135,54 @@ def _resampled_curves(df: DataFrame, scores: Mapping[str, str], cfg: Settings, r
                    F.expr(f"CAST((place - 1) * {pieces}L DIV {max(n, 1)}L AS INT)"), points(n))
 
 
+def _bands_everywhere(df: DataFrame, scores: Mapping[str, str], cfg: Settings, replicates: int,
+                      tails: tuple[float, float]) -> DataFrame:
+    """(strategy, n, bands) at every n, of the resamples of `_resampled_curves`.
+
+    No row is made per replicate and point: a block of places holds how often each replicate drew each of them, and the
+    curves of all replicates are followed block by block, from the sums and maxima of the blocks before.
+    """
+    spark, n = df.sparkSession, df.count()
+    shape = Shape(tuple(scores), replicates, n, BLOCK, STRETCH, cfg.seed, DRAWS_PER_TASK, tails)
+    origin = spark.createDataFrame([(s, 0, 0.0, 0.0, 0.0, 0.0) for s in scores if n], _BANDS)
+    if not n:
+        return origin
+    ranked = Ranked(by_strategy(df, scores, _INPUTS), best_first(), ["strategy"], sized=True)
+    placed = ranked.running(ranked.rows, sums={"place": F.lit(1).cast("long")}).selectExpr(
+        f"(place - 1) DIV {BLOCK} AS block", "strategy", "place", *[f"coalesce(CAST({_SUMS[m]} AS DOUBLE), 0D) AS {m}" for m in MEASURES])
+    tasks = -(-n * replicates // DRAWS_PER_TASK)
+    draws = spark.range(0, tasks, 1, tasks).mapInArrow(drawn(shape), "block long, codes binary")
+    # A fixed number of tasks, as their work doesn't follow from their bytes.
+    def by(table: DataFrame, key: str):
+        return table.repartition(min(-(-n // (BLOCK if key == "block" else STRETCH)), MOST_PARTS), key).groupBy(key)
+
+    def earlier(table: DataFrame, column: str, fold: Callable) -> DataFrame:
+        before = Window.partitionBy("pos").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        return table.selectExpr("block", f"posexplode({column}) AS (pos, value)").select("block", "pos", fold("value").over(before).alias("before"))
+
+    blocks = written(by(draws, "block").cogroup(by(placed, "block")).applyInArrow(
+        packed(shape), "block long, counts binary, rows binary, sums array<double>"), "resampled-blocks")
+    sums = written(earlier(blocks, "sums", F.sum), "resampled-sums")
+    tops = written(by(blocks, "block").cogroup(by(sums, "block")).applyInArrow(
+        peaks(shape), "block long, peaks array<double>, stretches array<long>"), "resampled-peaks")
+    places = tops.selectExpr("block", "explode(stretches) AS stretch")
+    starts = sums.selectExpr("block", "false AS is_peak", "pos", "before").unionByName(
+        earlier(tops, "peaks", F.max).selectExpr("block", "true AS is_peak", "pos", "before"))
+    found = by(blocks.select("block", "counts", "rows").join(places, "block"), "stretch").cogroup(
+        by(starts.join(places.withColumnRenamed("stretch", "near"), "block"), "near")).applyInArrow(bands(shape), _BANDS)
+    return found.unionByName(origin)
+
+
 def gain_curves_with_bands(df: DataFrame, scores: Mapping[str, str], cfg: Settings,
                            replicates: int | None = None, points: Sequence[int] | None = None) -> DataFrame:
     """Curves with percentile bootstrap bands at every n, or only at the given points."""
     tail = (1 - cfg.gain_curve_confidence_level) / 2
-    resampled = _resampled_curves(df, scores, cfg, replicates or cfg.gain_curve_n_bootstrap, lambda n: points)
+    replicates = replicates or cfg.gain_curve_n_bootstrap
     curves = gain_curves(df, scores)
-    if points is not None:
-        wanted = F.col("n").isin([int(p) for p in points])
-        resampled, curves = resampled.where(wanted), curves.where(wanted)
+    if points is None:
+        return curves.join(_bands_everywhere(df, scores, cfg, replicates, (tail, 1 - tail)), ["strategy", "n"])
+    wanted = F.col("n").isin([int(p) for p in points])
+    resampled, curves = _resampled_curves(df, scores, cfg, replicates, lambda n: points).where(wanted), curves.where(wanted)
     bands = resampled.groupBy("strategy", "n").agg(*[
         F.expr(f"percentile({c}, {q!r}) AS {c}_{side}")
         for c in ("gain", "conversions") for side, q in (("lo", tail), ("hi", 1 - tail))])
