@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from offertide.functions.storage import small_or_same, written
 from offertide.models.blended import BlendedModel, attach_scores
+from offertide.models.fitting import together
 from offertide.models.learners import Learner
 from offertide.operators import clean, contract, quality, serving
 from offertide.plans import history
@@ -60,11 +61,16 @@ def recommend(spark: SparkSession, raw_folder: str, model_path: str, cfg: Settin
 
     With a `store`, the staged log is kept there, and later calls parse only new raw files.
     """
-    model = BlendedModel.load(spark, cfg, model_path, learner)
-    offers, profile, log = _raw(spark, raw_folder, cfg, multi_line, store)
-    at = serving.decision_time(log, decision_time).first()[0]
-    active = small_or_same(serving.paid_offers(serving.sent_offers(offers, clean.receipts(log))), cfg.small_table_rows)[0]
-    grid = serving.scoring_grid(log, offers, profile, at, cfg, active, hot=hot_accounts(log, cfg))
+
+    def staged() -> serving.ScoringGrid:
+        offers, profile, log = _raw(spark, raw_folder, cfg, multi_line, store)
+        at = serving.decision_time(log, decision_time).first()[0]
+        active = small_or_same(serving.paid_offers(serving.sent_offers(offers, clean.receipts(log))), cfg.small_table_rows)[0]
+        return serving.scoring_grid(log, offers, profile, at, cfg, active, hot=hot_accounts(log, cfg))
+
+    # The model is many small files, so it is loaded while the log is staged.
+    parts = together({"model": lambda: BlendedModel.load(spark, cfg, model_path, learner), "grid": staged}, 2)
+    model, grid = parts["model"], parts["grid"]
     scored = written(model.score(grid).select("account_id", "offer_id", "offer_type", "score"), "scores")
     chosen = serving.recommend(scored, budget or cfg.predict_budget, model.cfg.blend_temperature, model.cfg.seed)
     if out:
@@ -75,17 +81,27 @@ def recommend(spark: SparkSession, raw_folder: str, model_path: str, cfg: Settin
 def publish(spark: SparkSession, raw_folder: str, processed_path: str, model_path: str, out: str, cfg: Settings,
             multi_line: bool = False, learner: Learner | None = None, store: str | None = None) -> dict[str, DataFrame]:
     """Serving matrix, labelled scored holdout, catalogue and scalar metadata as Parquet; `store` as in `recommend`."""
-    model = BlendedModel.load(spark, cfg, model_path, learner)
-    offers, profile, log = _raw(spark, raw_folder, cfg, multi_line, store)
-    at = serving.decision_time(log).first()[0]
-    active = small_or_same(serving.sent_offers(offers, clean.receipts(log)), cfg.small_table_rows)[0]
-    grid = serving.scoring_grid(log, offers, profile, at, cfg, active, hot=hot_accounts(log, cfg))
-    matrix = written(attach_scores(grid, model, cfg).select(
-        "account_id", "offer_id", "offer_type", "uplift", "p_convert", "uncertainty", "score_dynamic", "quadrant"),
-        "matrix")
-    _, held = clean.temporal_split(files.read_processed(spark, processed_path), cfg)
-    holdout = written(serving.add_hash_score(
-        attach_scores(clean.add_net_profit(clean.paid_types_only(held)), model, cfg), cfg.seed), "holdout")
+
+    def staged() -> tuple[DataFrame, float, serving.ScoringGrid]:
+        offers, profile, log = _raw(spark, raw_folder, cfg, multi_line, store)
+        at = serving.decision_time(log).first()[0]
+        active = small_or_same(serving.sent_offers(offers, clean.receipts(log)), cfg.small_table_rows)[0]
+        return offers, at, serving.scoring_grid(log, offers, profile, at, cfg, active, hot=hot_accounts(log, cfg))
+
+    parts = together({"model": lambda: BlendedModel.load(spark, cfg, model_path, learner), "staged": staged}, 2)
+    model, (offers, at, grid) = parts["model"], parts["staged"]
+
+    def scored_grid() -> DataFrame:
+        return written(attach_scores(grid, model, cfg).select(
+            "account_id", "offer_id", "offer_type", "uplift", "p_convert", "uncertainty", "score_dynamic", "quadrant"), "matrix")
+
+    def scored_holdout() -> DataFrame:
+        _, held = clean.temporal_split(files.read_processed(spark, processed_path), cfg)
+        paid = clean.add_net_profit(clean.paid_types_only(held))
+        return written(serving.add_hash_score(attach_scores(paid, model, cfg), cfg.seed), "holdout")
+
+    scored = together({"matrix": scored_grid, "holdout": scored_holdout}, 2)
+    matrix, holdout = scored["matrix"], scored["holdout"]
     metadata = (
         serving.conversion_means(holdout)
         .crossJoin(matrix.agg(F.expr("count(DISTINCT account_id) AS n_clients"), F.expr("count(1) AS n_rows")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from offertide.functions.storage import shared_folder
 from offertide.models import blended, conversion, effect
+from offertide.models.fitting import together
 from offertide.models.learners import CellMeanLearner
 from offertide.models.matrix import FEATURES, linear_matrix, slots, tree_matrix
 from offertide.operators import contract, serving
@@ -204,7 +205,10 @@ def _(w):
 
 @query("v5_attach_scores")
 def _(w):
-    return blended.attach_scores(w.serving_grid, w.blended, w.cfg).select(
+    w.split  # noqa: B018 - the shared tables first
+    # Fits leave most of the cores idle, so the customers' history is stored beside them.
+    parts = together({"grid": lambda: w.serving_grid, "model": lambda: w.blended}, 2)
+    return blended.attach_scores(parts["grid"], parts["model"], w.cfg).select(
         "account_id", "offer_id", "offer_type", "uplift", "p_convert", "uncertainty", "score_dynamic", "quadrant")
 
 
@@ -234,10 +238,10 @@ def _(w):
 
 @query("j3_recommend")
 def _(w):
-    path = _folder(w, "model")
-    w.blended.save(path, w.spark)
-    out = _folder(w, "recommended")
-    jobs.recommend(w.spark, _raw_folder(w), path, w.cfg, 100, out=out)
+    w.split  # noqa: B018 - the shared tables first
+    path, out = _folder(w, "model"), _folder(w, "recommended")
+    parts = together({"model": lambda: w.blended.save(path, w.spark), "raw": lambda: _raw_folder(w)}, 2)
+    jobs.recommend(w.spark, parts["raw"], path, w.cfg, 100, out=out)
     return w.spark.read.csv(out, header=True, schema="rank bigint, account_id string, offer_id string, offer_type string, score double")
 
 
@@ -279,10 +283,11 @@ SELECT (SELECT max(time) FROM log) AS decision_time, coalesce(avg(net_profit) FI
   0.0::DOUBLE AS temperature_default, 1.0::DOUBLE AS temperature_max FROM holdout""",
        "decision_time mean_profit mean_revenue temperature_default temperature_max")
 def _(w):
+    w.split  # noqa: B018 - the shared tables first
     model, processed = _folder(w, "model"), _folder(w, "processed")
-    w.blended.save(model, w.spark)
-    files.write_processed(w.processed, processed)
-    return jobs.publish(w.spark, _raw_folder(w), processed, model, _folder(w, "published"), w.cfg)["metadata"]
+    parts = together({"model": lambda: w.blended.save(model, w.spark), "raw": lambda: _raw_folder(w),
+                      "processed": lambda: files.write_processed(w.processed, processed)}, 3)
+    return jobs.publish(w.spark, parts["raw"], processed, model, _folder(w, "published"), w.cfg)["metadata"]
 
 
 @query("s7_write_scored_tables", """SELECT 'matrix' AS name, (SELECT count(*) FROM profile) * (SELECT count(*) FROM active) AS rows

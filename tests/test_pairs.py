@@ -3,6 +3,7 @@ from __future__ import annotations
 import os
 import subprocess
 import sys
+import threading
 
 import numpy as np
 import pytest
@@ -148,3 +149,12 @@ def test_publishing_scores_pairs(spark, raw, tmp_path):
     tables = jobs.publish(spark, "", str(tmp_path / "processed"), "", str(tmp_path / "site"), CFG)
     assert tables["matrix"].count() == 27 and tables["matrix"].where("uplift IS NULL").count() == 9
     assert [found.count() for found in raw] == [18]
+
+
+def test_the_model_is_loaded_while_the_log_is_staged(spark, model, raw, monkeypatch):
+    """One waited for the other, with most cores idle."""
+    both = threading.Barrier(2, timeout=20)
+    staged, load = jobs._raw, blended.BlendedModel.load
+    monkeypatch.setattr(jobs, "_raw", lambda *a: both.wait() is None or staged(*a))
+    monkeypatch.setattr(blended.BlendedModel, "load", lambda *a: both.wait() is None or load(*a))
+    assert jobs.recommend(spark, "", "", CFG, 3).count() == 3
