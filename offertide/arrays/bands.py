@@ -155,9 +155,11 @@ def bands(shape: Shape) -> Callable[[pa.Table, pa.Table], pa.Table]:
                         np.maximum(top, max(peak[s, r, c], 0.0), out=curves[c, r, low - start:high - start])
             columns = {"strategy": pa.array([shape.strategies[s]] * width), "n": pa.array(np.arange(start + 1, start + width + 1))}
             for name, values in zip(("gain", "conversions"), curves, strict=True):
-                ordered = np.sort(np.ascontiguousarray(values.T), axis=1)
+                ordered = values.T.copy()
+                ordered.sort(axis=1)
                 columns |= {f"{name}_{side}": pa.array(_percentile(ordered, q)) for side, q in zip(("lo", "hi"), shape.tails, strict=True)}
             out.append(pa.table(columns))
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(out)
 
     return run
